@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from wayspan.llm.decontamination import op6_suffix_decontamination
+from wayspan.llm.neardup import op10_hyperminhash
 from wayspan.llm.sharding import op5_jump_hash
 
 QUERIES = {
     "op5_jump_hash": op5_jump_hash,
     "op6_suffix_decontamination": op6_suffix_decontamination,
+    "op10_hyperminhash": op10_hyperminhash,
 }
 
 ORACLES: dict[str, str] = {}
