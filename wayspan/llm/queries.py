@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from wayspan.llm.decontamination import op6_suffix_decontamination
 from wayspan.llm.neardup import op10_hyperminhash
+from wayspan.llm.quality import ORACLE as OP8_SQL
+from wayspan.llm.quality import op8_mcd_quality
 from wayspan.llm.sharding import op5_jump_hash
 
 QUERIES = {
     "op5_jump_hash": op5_jump_hash,
     "op6_suffix_decontamination": op6_suffix_decontamination,
+    "op8_mcd_quality": op8_mcd_quality,
     "op10_hyperminhash": op10_hyperminhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mcd_quality": OP8_SQL,
+}
