@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from wayspan.llm.decontamination import op6_suffix_decontamination
+from wayspan.llm.mixing import op4_raked_mixture
 from wayspan.llm.neardup import op10_hyperminhash
 from wayspan.llm.quality import ORACLE as OP8_SQL
 from wayspan.llm.quality import op8_mcd_quality
 from wayspan.llm.sharding import op5_jump_hash
 
 QUERIES = {
+    "op4_raked_mixture": op4_raked_mixture,
     "op5_jump_hash": op5_jump_hash,
     "op6_suffix_decontamination": op6_suffix_decontamination,
     "op8_mcd_quality": op8_mcd_quality,
