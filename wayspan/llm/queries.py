@@ -5,8 +5,10 @@ from __future__ import annotations
 from wayspan.llm.chat import ORACLE as OP2_SQL
 from wayspan.llm.chat import op2_reply_trees
 from wayspan.llm.decontamination import op6_suffix_decontamination
+from wayspan.llm.licenses import op1_license_scan
 from wayspan.llm.mixing import op4_raked_mixture
 from wayspan.llm.neardup import op10_hyperminhash
+from wayspan.llm.personal import op9_skip_chain
 from wayspan.llm.quality import ORACLE as OP8_SQL
 from wayspan.llm.quality import op8_mcd_quality
 from wayspan.llm.sharding import op5_jump_hash
@@ -14,6 +16,7 @@ from wayspan.llm.suffixes import op7_longest_previous_factor
 from wayspan.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_reply_trees": op2_reply_trees,
     "op3_warc": op3_warc,
     "op4_raked_mixture": op4_raked_mixture,
@@ -21,6 +24,7 @@ QUERIES = {
     "op6_suffix_decontamination": op6_suffix_decontamination,
     "op7_longest_previous_factor": op7_longest_previous_factor,
     "op8_mcd_quality": op8_mcd_quality,
+    "op9_skip_chain": op9_skip_chain,
     "op10_hyperminhash": op10_hyperminhash,
 }
 
