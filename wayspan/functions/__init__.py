@@ -1 +1 @@
-
+"""Column expressions: text cleaning, geometry and bit masks."""

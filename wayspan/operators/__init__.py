@@ -1 +1 @@
-
+"""Operators from DataFrames to DataFrames; column names are parameters."""
