@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings that count as true, and words of access texts.
 TRUE_TEXTS = ("1", "true", "yes", "y")
@@ -92,7 +93,7 @@ def plausible_int(c: Column, low: float, high: float) -> Column:
     return F.when((c > low) & (c <= high), c.cast("int"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
