@@ -317,23 +317,24 @@ def focal_sums(spark, sf_dir):
 
 @query(f"""with {GRID}, q as (select row * 1000 + col as point_id, row, col, height / 1000 as height from g where not ground), k as (select point_id, q.row as r0, q.col as c0, q.height as h0, step, cast(floor(q.row + step * -0.6::double + 0.5) as bigint) as r, cast(floor(q.col + step * 0.8::double + 0.5) as bigint) as c from q, range(1, 6) t(step)),
 m as (select point_id, r, c, (g.height / 1000 - h0) / step as slope, step from k join g on g.row = r and g.col = c), x as (select *, row_number() over (partition by point_id order by slope desc, step) as n from m where slope > 0.5)
-select q.point_id, x.r as row, x.c as col from q left join x on q.point_id = x.point_id and n = 1""")
+select q.point_id, coalesce(x.r, -1) as row, coalesce(x.c, -1) as col from q left join x on q.point_id = x.point_id and n = 1""")
 def sun_obstructions(spark, sf_dir):
     own = grid(spark, sf_dir).withColumn("height", F.col("height") / 1000)
     points = own.where("not ground").select((F.col("row") * 1000 + F.col("col")).alias("point_id"), "row", "col", "height")
-    return spatial.ray_obstruction(points, own, 5, F.lit(-0.6), F.lit(0.8), F.lit(0.5))
+    out = spatial.ray_obstruction(points, own, 5, F.lit(-0.6), F.lit(0.8), F.lit(0.5))
+    return out.select("point_id", F.coalesce("row", F.lit(-1)).alias("row"), F.coalesce("col", F.lit(-1)).alias("col"))
 
 
 # --- names and quality --------------------------------------------------------------------------
 
 
 @query("""select p_partkey, concat(upper(p_name[1]), substr(p_name, 2)) as title, replace(p_name, ' ', '-') as slug, concat(upper(split_part(p_name, ' ', 2)[1]), substr(split_part(p_name, ' ', 2), 2), ' ', split_part(p_name, ' ', 1)) as display,
-case when p_retailprice > 900 and p_retailprice <= 905 then cast(floor(p_retailprice) as int) end as plausible, concat('part:', sha256(concat(p_name, '/', p_brand))) as public_id, case when contains(lower(p_type), 'eco') then 'cheap' when contains(lower(p_type), 'small') then 'small' else 'other' end as kind from part""")
+coalesce(case when p_retailprice > 900 and p_retailprice <= 905 then cast(floor(p_retailprice) as int) end, -1) as plausible, concat('part:', sha256(concat(p_name, '/', p_brand))) as public_id, case when contains(lower(p_type), 'eco') then 'cheap' when contains(lower(p_type), 'small') then 'small' else 'other' end as kind from part""")
 def part_names(spark, sf_dir):
     name = F.col("p_name")
     flipped = F.concat(F.substring_index(name, " ", 1), F.lit(", "), F.substring_index(name, " ", -1))
     return table(spark, sf_dir, "part").select(
-        "p_partkey", text.capitalised(name).alias("title"), text.slug(name).alias("slug"), text.display_name(flipped).alias("display"), text.plausible_int(F.col("p_retailprice"), 900, 905).alias("plausible"),
+        "p_partkey", text.capitalised(name).alias("title"), text.slug(name).alias("slug"), text.display_name(flipped).alias("display"), F.coalesce(text.plausible_int(F.col("p_retailprice"), 900, 905), F.lit(-1)).alias("plausible"),
         text.public_id(F.concat(name, F.lit("/"), F.col("p_brand")), "part").alias("public_id"), text.first_rule(F.col("p_type"), (("cheap", ("eco",)), ("small", ("small",))), "other").alias("kind"),
     )
 
