@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from wayspan.plans import access, surfaces
+from wayspan.plans import access, reviews, surfaces
 
-ALL = {**access.QUERIES, **surfaces.QUERIES}
-SQL = {**access.SQL, **surfaces.SQL}
+ALL = {**access.QUERIES, **surfaces.QUERIES, **reviews.QUERIES}
+SQL = {**access.SQL, **surfaces.SQL, **reviews.SQL}
 
 
 def rows(frame):

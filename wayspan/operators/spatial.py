@@ -113,3 +113,39 @@ def ray_obstruction(points: DataFrame, heights: DataFrame, steps: int, d_row: Co
     met = walk.hint("merge").join(other, ["r", "c"]).withColumn("slope", (F.col("h") - F.col("height")) / F.col("step")).where("slope > _sun")
     best = met.groupBy("point_id").agg(F.max_by(F.struct("r", "c"), F.struct("slope", -F.col("step"))).alias("b"))
     return points.select("point_id").join(best.hint("merge"), "point_id", "left").select("point_id", F.col("b.r").alias("row"), F.col("b.c").alias("col"))
+
+
+def overlapping_boxes(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float) -> DataFrame:
+    """(left, right) whose boxes (x0, y0, x1, y1) touch; each pair once, from the cell of their common corner."""
+
+    def spread(df: DataFrame, key: str, p: str) -> DataFrame:
+        named = df.select(F.col(key).alias(f"{p}k"), *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
+        cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size).cast("long"), F.floor(F.col(b) / size).cast("long")))
+        return named.withColumn("_cx", cells(f"{p}x0", f"{p}x1")).withColumn("_cy", cells(f"{p}y0", f"{p}y1"))
+
+    met = spread(left, left_key, "l_").hint("merge").join(spread(right, right_key, "r_"), ["_cx", "_cy"])
+    touch = (F.col("l_x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1")) & (F.col("l_y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1"))
+    corner = (F.floor(F.greatest("l_x0", "r_x0") / size) == F.col("_cx")) & (F.floor(F.greatest("l_y0", "r_y0") / size) == F.col("_cy"))
+    return met.where(touch & corner).select(F.col("l_k").alias(left_key), F.col("r_k").alias(right_key))
+
+
+def segment_crossings(segments: DataFrame, segment: str, feature: str, size: float) -> DataFrame:
+    """(a, b, x, y): proper crossings of segments of different features; shared end points are none."""
+    cells = _segment_cells(segments.select(segment, feature, "ax", "ay", "bx", "by"), size, 0.0)
+    columns = (segment, feature, "ax", "ay", "bx", "by")
+    left, right = (cells.select("_cx", "_cy", *[F.col(c).alias(f"{p}_{c}") for c in columns]) for p in "lr")
+    met = left.hint("merge").join(right, ["_cx", "_cy"]).where((F.col(f"l_{segment}") < F.col(f"r_{segment}")) & (F.col(f"l_{feature}") != F.col(f"r_{feature}")))
+    side = lambda p, q, x: (F.col(f"{p}_bx") - F.col(f"{p}_ax")) * (F.col(f"{q}_{x}y") - F.col(f"{p}_ay")) - (F.col(f"{p}_by") - F.col(f"{p}_ay")) * (F.col(f"{q}_{x}x") - F.col(f"{p}_ax"))
+    met = met.withColumns({"d1": side("l", "r", "a"), "d2": side("l", "r", "b"), "d3": side("r", "l", "a"), "d4": side("r", "l", "b")})
+    crossing = met.where((F.col("d1") * F.col("d2") < 0) & (F.col("d3") * F.col("d4") < 0)).withColumn("t", F.col("d3") / (F.col("d3") - F.col("d4")))
+    x, y = (F.col(f"l_a{c}") + F.col("t") * (F.col(f"l_b{c}") - F.col(f"l_a{c}")) for c in "xy")
+    return crossing.select(F.col(f"l_{segment}").alias("a"), F.col(f"r_{segment}").alias("b"), x.alias("x"), y.alias("y")).dropDuplicates(["a", "b"])
+
+
+def vertices_on_segments(vertices: DataFrame, segments: DataFrame, vertex: str, segment: str, tolerance: float, size: float) -> DataFrame:
+    """(vertex, segment, share): vertices on the inside of a segment, off by the tolerance at most."""
+    met = with_cell(vertices.select(vertex, "x", "y"), "x", "y", size).join(_segment_cells(segments, size, tolerance).hint("merge"), ["_cx", "_cy"])
+    share, sx, sy = segment_projection(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    told = met.withColumn("share", share).where((F.col("share") > 0) & (F.col("share") < 1) & (distance(F.col("x"), F.col("y"), sx, sy) <= tolerance))
+    ends = F.least(distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay")), distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")))
+    return told.where(ends > tolerance).select(vertex, segment, "share")
