@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wayspan.llm.chat import ORACLE as OP2_SQL
 from wayspan.llm.chat import op2_reply_trees
+from wayspan.llm.decontamination import ORACLE as OP6_SQL
 from wayspan.llm.decontamination import op6_suffix_decontamination
 from wayspan.llm.licenses import op1_license_scan
 from wayspan.llm.mixing import op4_raked_mixture
@@ -30,5 +31,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_reply_trees": OP2_SQL,
+    "op6_suffix_decontamination": OP6_SQL,
     "op8_mcd_quality": OP8_SQL,
 }
