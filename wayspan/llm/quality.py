@@ -147,13 +147,14 @@ def _cells(stats: DataFrame) -> DataFrame:
 def estimates(vectors: DataFrame) -> DataFrame:
     """One row for each cell of vectors (cell, x0 to x4): the means and Cholesky factor of its minimum
     covariance determinant estimate."""
-    medians = _median_of(vectors, {f"b{i}": f"x{i}" for i in range(DIMENSIONS)})
-    deviations = _median_of(vectors.join(medians, "cell"), {f"a{i}": f"abs(x{i} - b{i})" for i in range(DIMENSIONS)})
-    told = vectors.join(written(medians.join(deviations, "cell"), "medians"), "cell").withColumn("d2", F.expr(_start()["d2"]))
+    # what is joined is written first, so its real size decides how
+    medians = written(_median_of(vectors, {f"b{i}": f"x{i}" for i in range(DIMENSIONS)}), "medians")
+    deviations = written(_median_of(vectors.join(medians, "cell"), {f"a{i}": f"abs(x{i} - b{i})" for i in range(DIMENSIONS)}), "deviations")
+    told = vectors.join(medians, "cell").join(deviations, "cell").withColumn("d2", F.expr(_start()["d2"]))
     for step in range(STEPS + 1):
         binned = told.withColumn("bin", F.expr(BIN)).select("cell", *X, "bin")
         if step < STEPS:
-            binned = binned.join(_median_of(binned, {"top": "bin"}, f"{COVERAGE}e0"), "cell").where("bin <= top")
+            binned = binned.join(written(_median_of(binned, {"top": "bin"}, f"{COVERAGE}e0"), "quantiles"), "cell").where("bin <= top")
         else:  # the last step: all that lie within the cutoff
             binned = told.where(f"d2 <= {CUTOFF}")
         moments = binned.groupBy("cell").agg(*[F.expr(v).alias(k) for k, v in _moments().items()])
