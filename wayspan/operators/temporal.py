@@ -26,7 +26,7 @@ def active_services(calendar: DataFrame, exceptions: DataFrame, dates: DataFrame
     days = F.array(*[F.struct(F.lit(i).alias("weekday"), F.col(d).alias("on")) for i, d in enumerate(WEEKDAYS)])
     flags = calendar.select("service_id", "start_date", "end_date", F.explode(days).alias("d")).where("d.on = '1'")
     asked = dates.select("date", F.weekday("date").alias("weekday")).distinct()
-    regular = flags.withColumn("weekday", F.col("d.weekday")).join(asked, "weekday").where(F.col("date").between(F.col("start_date"), F.col("end_date")))
+    regular = flags.withColumn("weekday", F.col("d.weekday")).join(asked.hint("merge"), "weekday").where(F.col("date").between(F.col("start_date"), F.col("end_date")))
     told = exceptions.join(dates.distinct(), "date", "left_semi")
     added = told.where("exception_type = '1'").select("date", "service_id")
     removed = told.where("exception_type = '2'").select("date", "service_id")
@@ -110,7 +110,7 @@ def weekly_hours(texts: DataFrame, text: str) -> DataFrame:
     rows = cut.where(good).select(text, F.explode("days").alias("weekday"), F.col("spans")).select(text, "weekday", F.explode("spans").alias("s"))
     rows = rows.select(text, "weekday", F.col("s.start_min").cast("int").alias("start_min"), F.col("s.end_min").cast("int").alias("end_min")).distinct()
     same = (known[text].eqNullSafe(rows[text])) & known["hours_known"]
-    return known.join(rows, same, "left").select(known[text], "hours_known", "weekday", "start_min", "end_min")
+    return known.join(rows.hint("merge"), same, "left").select(known[text], "hours_known", "weekday", "start_min", "end_min")
 
 
 def hours_text(days: dict[str, tuple[Column, Column]]) -> Column:

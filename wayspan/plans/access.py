@@ -99,7 +99,7 @@ i as (select place_id, d as weekday, h * 60 as a, 1020 as b from p, range(0, 5)
 @query(f"with {HOURS_SQL} select p.place_id, k <> 4 as hours_known, count(i.a) as intervals, cast(coalesce(sum(b - a), 0) as bigint) as minutes from p left join i on p.place_id = i.place_id group by all")
 def weekly_hours(spark, sf_dir):
     own = supplier_hours(spark, sf_dir)
-    told = own.join(temporal.weekly_hours(own, "hours"), "hours")
+    told = own.join(temporal.weekly_hours(own, "hours").hint("merge"), "hours")
     return told.groupBy("place_id", "hours_known").agg(F.count("start_min").alias("intervals"), F.coalesce(F.sum(F.col("end_min") - F.col("start_min")), F.lit(0)).alias("minutes"))
 
 
@@ -109,7 +109,7 @@ select m.moment_id, case when p.place_id % 17 = 0 then 'temporarily closed' when
 from p cross join m left join o on p.place_id = o.place_id and m.moment_id = o.moment_id group by all""")
 def availability(spark, sf_dir):
     own = supplier_hours(spark, sf_dir)
-    parsed = own.join(temporal.weekly_hours(own, "hours"), "hours")
+    parsed = own.join(temporal.weekly_hours(own, "hours").hint("merge"), "hours")
     places = parsed.select("place_id", "hours_known", (F.col("place_id") % 17 == 0).alias("temporarily_closed")).distinct()
     moments = spark.createDataFrame([(0, 0, 600), (1, 4, 1200), (2, 5, 60), (3, 6, 660)], "moment_id int, weekday int, minute int")
     states = temporal.availability(places, parsed.where("weekday is not null").select("place_id", "weekday", "start_min", "end_min"), moments)
