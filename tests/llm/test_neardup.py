@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from wayspan.llm import neardup as nd
 
@@ -60,8 +61,9 @@ def family(seed):
     return list(enumerate(docs))
 
 
-def test_families_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(nd, "HUBS", 2)
+@pytest.mark.parametrize("hubs", [2, 64])
+def test_families_equal_brute_force(spark, monkeypatch, hubs):
+    monkeypatch.setattr(nd, "HUBS", hubs)
     for seed, size in ((1, 2), (2, 5)):
         docs = family(seed)
         frame = spark.createDataFrame(docs, "doc_id long, text string")

@@ -8,9 +8,11 @@ Jaccard similarity and drops pairs far below the limit; the rest are verified on
 
 A band's bucket may hold a third of all documents, so its members are never paired with each other. First the
 hub of a bucket (its smallest document) is compared with all others. Links make components; only buckets
-that still hold several components go on, with hubs from their smaller components, until every pair of a
-bucket has been compared or is known to be in one component. No link between candidates is lost, and the work
-is linear in a bucket for each member outside its largest component.
+that still hold several components go on. There, members outside the largest component are compared with a
+few drawn from it, which joins nearly all that belong to it, and those still outside become hubs in turn,
+until every pair of a bucket has been compared or is known to be in one component. A bucket of many
+components (short texts around one common line agree in a band without being alike) is first split by
+further bands, as similar texts share many and others few, so its outsiders don't all meet each other.
 """
 
 from __future__ import annotations
@@ -21,19 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspan.llm.common import SPACED, chunked, mixed, pair_hash, utf8_view, word_hashes, written
 
-#: A pair at exactly 0.8 shares no band with a probability of (1 - 0.8 ** 5) ** 36 = 6e-7.
-BANDS, ROWS = 36, 5
+#: A pair at exactly 0.8 shares 16 of the bands on average; none with a probability of 5e-9, two at most with 1e-6.
+BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Pairs whose estimate lies so many standard errors below the limit are not verified.
 SIGMAS = 7
-#: Hubs of a bucket in each round after the first.
+#: Members of a bucket's largest component that each member outside it is compared with in a round.
+PROBES = 8
+#: Members outside it that are compared with the whole bucket in a round.
 HUBS = 64
+#: Buckets of more components are first split by further bands, to this number of bands together.
+DEPTH = 3
 #: Nodes from here on stand for sets that only rows without an id have.
 UNNAMED = 1 << 62
 
@@ -137,6 +143,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _band_keys(key: Column, last: Column) -> Column:
+    """(band, last) for each band of `sig` after the last one, hashed together with a key so far."""
+    each = [F.struct(F.xxhash64(key, F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)).alias("band"), F.lit(i).alias("last")) for i in range(BANDS)]
+    return F.filter(F.array(*each), lambda k: k["last"] > last)
+
+
 def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 x intersection >= percent x union: a, b, inter."""
     floor = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
@@ -173,8 +185,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc: s
     named = sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("named"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = written(named.withColumn("node", F.coalesce("named", unnamed)), "nodes")
 
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
-    bands = reps.select("node", F.explode(keys).alias("band"))
+    bands = reps.select("node", F.explode(_band_keys(F.lit(0), F.lit(-1))).alias("k")).select("node", "k.band", "k.last")
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
     members = written(bands.join(shared.hint("merge"), "band"), "members")
     pairs = written(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
@@ -188,26 +199,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc: s
     sets = written(full_sets(texts, shingle), "sets")
 
     links, tested = written(verified(pairs, reps, sets, percent), "found"), pairs
-    live = members.select("band", "node")
-    removed = members.where("node = hub").select("band", "node")
+    labels = components(links)
+    live, removed, turn = members.select("band", "last", "node"), members.where("node = hub").select("band", "node"), 0
     while True:
-        labels = components(links)
         live = live.join(removed.hint("merge"), ["band", "node"], "left_anti")
-        labelled = live.join(labels.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        labelled = live.join(labels.hint("merge"), "node", "left").select("band", "last", "node", F.coalesce("component", "node").alias("component"))
         open_ = labelled.groupBy("band").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("band")
         labelled = written(labelled.join(open_.hint("merge"), "band"), "open")
         if labelled.isEmpty():
             break
-        groups = labelled.groupBy("band", "component").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size"))
-        largest = groups.groupBy("band").agg(F.max(F.struct("size", "component")).alias("_top"))
-        outside = groups.join(largest.hint("merge"), "band").where("component <> _top.component")
-        hubs = outside.groupBy("band", F.pmod(F.xxhash64("component"), F.lit(HUBS)).alias("_slot")).agg(F.min(F.struct("size", "component", "hub")).alias("h"))
-        hubs = written(hubs.select("band", F.col("h.component").alias("of"), F.col("h.hub").alias("hub")), "hubs")
-        more = labelled.join(hubs.hint("merge"), "band").where("component <> of").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
+        largest = groups.groupBy("band").agg(F.max(F.struct("size", "component")).alias("_top"), F.count(F.lit(1)).alias("parts"))
+        told = labelled.join(written(largest.select("band", F.col("_top.component").alias("top"), "parts"), "largest").hint("merge"), "band")
+        drawn = F.xxhash64("node", F.lit(turn))
+        probes = told.where("component = top").groupBy("band", F.pmod(drawn, F.lit(PROBES)).alias("_slot")).agg(F.min_by("node", drawn).alias("hub"))
+        more = told.where("component <> top").select("band", "node").join(probes.select("band", "hub").hint("merge"), "band").select("hub", "node")
+        live, removed = labelled.drop("component"), labelled.limit(0).select("band", "node")
+        if turn:
+            split = told.where((F.col("parts") > HUBS + 1) & F.lit(turn < DEPTH))
+            fine = told.where((F.col("parts") <= HUBS + 1) | F.lit(turn >= DEPTH))
+            slot = F.pmod(F.xxhash64("component"), F.lit(4 * HUBS)).alias("_slot")
+            hubs = fine.where("component <> top").groupBy("band", slot).agg(F.min(F.struct("component", "node")).alias("h"))
+            hubs = written(hubs.select("band", F.col("h.component").alias("of"), F.col("h.node").alias("hub")), "hubs")
+            more = more.union(labelled.join(hubs.hint("merge"), "band").where("component <> of").select("hub", "node"))
+            removed = hubs.select("band", F.col("hub").alias("node"))
+            finer = split.select("band", "last", "node").join(reps.select("node", "sig").hint("merge"), "node")
+            finer = finer.select("node", F.explode(_band_keys(F.col("band"), F.col("last"))).alias("k")).select("k.band", "k.last", "node")
+            live = fine.select("band", "last", "node").unionByName(finer)
+        more = more.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         more = written(more.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(written(verified(more, reps, sets, percent), "found"))
         tested = tested.unionByName(more)
-        live, removed = labelled.select("band", "node"), hubs.select("band", F.col("hub").alias("node"))
+        found = written(verified(more, reps, sets, percent), "found")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+        turn += 1
 
     names = reps.select("fp", "node").join(labels.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "fp").join(names.hint("merge"), "fp", "left")
