@@ -61,10 +61,12 @@ def family(seed):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("hubs", [2, 64])
-def test_families_equal_brute_force(spark, monkeypatch, hubs):
-    monkeypatch.setattr(nd, "HUBS", hubs)
-    for seed, size in ((1, 2), (2, 5)):
+@pytest.mark.parametrize(("seed", "size", "block"), [(1, 2, 3), (2, 5, 1000)])
+def test_families_equal_brute_force(spark, monkeypatch, seed, size, block):
+    monkeypatch.setattr(nd, "OUTSIDERS", block)
+    monkeypatch.setattr(nd, "MEMBERS", 2 * block)
+    monkeypatch.setattr(nd, "PROBES", 1)
+    for _ in range(1):
         docs = family(seed)
         frame = spark.createDataFrame(docs, "doc_id long, text string")
         got = sorted(tuple(r) for r in nd.near_duplicates(frame, shingle=size).collect())

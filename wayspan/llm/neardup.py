@@ -6,13 +6,12 @@ of leading zeros and ten mantissa bits are stored, 16 bits in all. Registers in
 the register agreement, corrected for the collisions that compressed registers make by chance, estimates the
 Jaccard similarity and drops pairs far below the limit; the rest are verified on the full sets.
 
-A band's bucket may hold a third of all documents, so its members are never paired with each other. First the
-hub of a bucket (its smallest document) is compared with all others. Links make components; only buckets
-that still hold several components go on. There, members outside the largest component are compared with a
-few drawn from it, which joins nearly all that belong to it, and those still outside become hubs in turn,
-until every pair of a bucket has been compared or is known to be in one component. A bucket of many
-components (short texts around one common line agree in a band without being alike) is first split by
-further bands, as similar texts share many and others few, so its outsiders don't all meet each other.
+A band's bucket may hold a third of all documents, so its members are never all paired with each other. First
+the hub of a bucket (its smallest document) is compared with all others, and links make components. In
+buckets that still hold several components, members outside the largest are compared with a few drawn from
+it, which joins nearly all that belong there. The few that stay outside meet the whole bucket by registers
+alone, in blocks of bounded size inside tasks: only pairs of different components with a near estimate leave
+a task, each from its first shared band, and are verified. So no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspan.llm.common import SPACED, chunked, mixed, pair_hash, utf8_view, word_hashes, written
@@ -33,13 +32,11 @@ BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Pairs whose estimate lies so many standard errors below the limit are not verified.
-SIGMAS = 7
-#: Members of a bucket's largest component that each member outside it is compared with in a round.
+SIGMAS = 4.5
+#: Members of a bucket's largest component that each member outside it is compared with first.
 PROBES = 8
-#: Members outside it that are compared with the whole bucket in a round.
-HUBS = 64
-#: Buckets of more components are first split by further bands, to this number of bands together.
-DEPTH = 3
+#: Outsiders and members of a bucket whose registers meet in one task.
+OUTSIDERS, MEMBERS = 1024, 8192
 #: Nodes from here on stand for sets that only rows without an id have.
 UNNAMED = 1 << 62
 
@@ -143,15 +140,53 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _band_keys(key: Column, last: Column) -> Column:
-    """(band, last) for each band of `sig` after the last one, hashed together with a key so far."""
-    each = [F.struct(F.xxhash64(key, F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)).alias("band"), F.lit(i).alias("last")) for i in range(BANDS)]
-    return F.filter(F.array(*each), lambda k: k["last"] > last)
+def floor_of(percent: int) -> float:
+    """Estimate below which a pair is not verified."""
+    j = percent / 100
+    return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
+
+
+def _block_pairs(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of an outsider and a member of another component of one bucket whose registers are close enough; a
+    pair that several bands share comes from the first of them alone."""
+    names = ("node", "component", "n_shingles", "outer", "outsider", "index")
+    node, component, size, outer, outsider, index = (table.column(c).to_numpy() for c in names)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    left, right = np.flatnonzero(outsider), np.flatnonzero(~outsider)
+    found_a, found_b, band = [], [], int(index[0])
+    for at in range(0, len(left), 16):
+        block = left[at : at + 16]
+        same = sig[block][:, None, :] == sig[right][None, :, :]
+        close = (component[block][:, None] != component[right][None, :]) & (~outer[right][None, :] | (node[block][:, None] < node[right][None, :]))
+        low, high = np.minimum(size[block][:, None], size[right][None, :]), np.maximum(size[block][:, None], size[right][None, :])
+        close &= low * 100 >= high * percent
+        close &= estimated(same.mean(axis=2), low, high) >= floor_of(percent)
+        x, y = np.nonzero(close)
+        first = same[x, y].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        a, b = node[block[x[first]]], node[right[y[first]]]
+        found_a.append(np.minimum(a, b))
+        found_b.append(np.maximum(a, b))
+    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+    return pa.table({"a": join(found_a), "b": join(found_b)})
+
+
+def _across(told: DataFrame, sizes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components in the buckets told (band, index, node, component, top). Large
+    buckets are dealt in blocks of outsiders and members, so a task holds registers of a bounded number."""
+    rows = told.join(sizes.hint("merge"), "band").join(reps.select("node", "n_shingles", "sig").hint("merge"), "node")
+    rows = rows.withColumns({"outer": F.col("component") != F.col("top"), "_o": F.ceil((F.col("n") - F.col("top_n")) / OUTSIDERS).cast("int"), "_m": F.ceil(F.col("n") / MEMBERS).cast("int")})
+    columns = ["band", "index", "node", "component", "n_shingles", "sig", "outer"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    members = rows.select(*columns, F.lit(False).alias("outsider"), own("_m").alias("m"), every("_o").alias("o"))
+    outsiders = rows.where("outer").select(*columns, F.lit(True).alias("outsider"), every("_m").alias("m"), own("_o").alias("o"))
+    blocks = members.unionByName(outsiders).groupBy("band", "o", "m")
+    return blocks.applyInArrow(lambda t: _block_pairs(t, percent), "a long, b long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 x intersection >= percent x union: a, b, inter."""
-    floor = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    floor = floor_of(percent)
 
     @F.pandas_udf("boolean")
     def likely(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
@@ -185,7 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc: s
     named = sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("named"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = written(named.withColumn("node", F.coalesce("named", unnamed)), "nodes")
 
-    bands = reps.select("node", F.explode(_band_keys(F.lit(0), F.lit(-1))).alias("k")).select("node", "k.band", "k.last")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+    bands = reps.select("node", F.posexplode(keys).alias("index", "band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
     members = written(bands.join(shared.hint("merge"), "band"), "members")
     pairs = written(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
@@ -200,40 +236,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc: s
 
     links, tested = written(verified(pairs, reps, sets, percent), "found"), pairs
     labels = components(links)
-    live, removed, turn = members.select("band", "last", "node"), members.where("node = hub").select("band", "node"), 0
-    while True:
-        live = live.join(removed.hint("merge"), ["band", "node"], "left_anti")
-        labelled = live.join(labels.hint("merge"), "node", "left").select("band", "last", "node", F.coalesce("component", "node").alias("component"))
-        open_ = labelled.groupBy("band").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x < _y").select("band")
-        labelled = written(labelled.join(open_.hint("merge"), "band"), "open")
-        if labelled.isEmpty():
-            break
+    live = members.where("node <> hub").select("band", "index", "node")  # hubs have met all others
+    for last in (False, True):
+        labelled = live.join(labels.hint("merge"), "node", "left").select("band", "index", "node", F.coalesce("component", "node").alias("component"))
         groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
-        largest = groups.groupBy("band").agg(F.max(F.struct("size", "component")).alias("_top"), F.count(F.lit(1)).alias("parts"))
-        told = labelled.join(written(largest.select("band", F.col("_top.component").alias("top"), "parts"), "largest").hint("merge"), "band")
-        drawn = F.xxhash64("node", F.lit(turn))
-        probes = told.where("component = top").groupBy("band", F.pmod(drawn, F.lit(PROBES)).alias("_slot")).agg(F.min_by("node", drawn).alias("hub"))
-        more = told.where("component <> top").select("band", "node").join(probes.select("band", "hub").hint("merge"), "band").select("hub", "node")
-        live, removed = labelled.drop("component"), labelled.limit(0).select("band", "node")
-        if turn:
-            split = told.where((F.col("parts") > HUBS + 1) & F.lit(turn < DEPTH))
-            fine = told.where((F.col("parts") <= HUBS + 1) | F.lit(turn >= DEPTH))
-            slot = F.pmod(F.xxhash64("component"), F.lit(4 * HUBS)).alias("_slot")
-            hubs = fine.where("component <> top").groupBy("band", slot).agg(F.min(F.struct("component", "node")).alias("h"))
-            hubs = written(hubs.select("band", F.col("h.component").alias("of"), F.col("h.node").alias("hub")), "hubs")
-            more = more.union(labelled.join(hubs.hint("merge"), "band").where("component <> of").select("hub", "node"))
-            removed = hubs.select("band", F.col("hub").alias("node"))
-            finer = split.select("band", "last", "node").join(reps.select("node", "sig").hint("merge"), "node")
-            finer = finer.select("node", F.explode(_band_keys(F.col("band"), F.col("last"))).alias("k")).select("k.band", "k.last", "node")
-            live = fine.select("band", "last", "node").unionByName(finer)
-        more = more.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        more = written(more.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        sizes = groups.groupBy("band").agg(F.max(F.struct("size", "component")).alias("_top"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        sizes = written(sizes.select("band", F.col("_top.component").alias("top"), F.col("_top.size").alias("top_n"), "n"), "open")
+        if sizes.isEmpty():
+            break
+        if last:
+            more = _across(labelled.join(sizes.select("band", "top").hint("merge"), "band"), sizes.drop("top"), reps, percent)
+        else:
+            told = labelled.join(sizes.select("band", "top").hint("merge"), "band")
+            drawn = F.xxhash64("node", F.lit(7))
+            probes = told.where("component = top").groupBy("band", F.pmod(drawn, F.lit(PROBES)).alias("_slot")).agg(F.min_by("node", drawn).alias("probe"))
+            more = told.where("component <> top").select("band", "node").join(probes.select("band", "probe").hint("merge"), "band").select(F.least("probe", "node").alias("a"), F.greatest("probe", "node").alias("b"))
+        more = written(more.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(more)
         found = written(verified(more, reps, sets, percent), "found")
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
-        turn += 1
 
     names = reps.select("fp", "node").join(labels.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "fp").join(names.hint("merge"), "fp", "left")
