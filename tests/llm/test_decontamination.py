@@ -69,3 +69,16 @@ def test_longest_matches(spark):
     _, _, left, right = fixture(spark)
     rows = {(r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words) for r in d.longest_matches(left.where("doc_id < 7 or doc_id is null"), right).collect()}
     assert rows == {(1, "10", 1, 0, 12), (1, "9", 2, 0, 10), (2, "10", 0, 0, 12), (2, "9", 1, 0, 10), (6, "11", 3, 0, 2), (None, "11", 0, 0, 2)}
+
+
+def test_items_without_id_and_row_counts(spark, monkeypatch):
+    passage, other = "One two three four five six seven eight nine ten", "eins zwei drei vier fünf sechs sieben acht neun zehn"
+    docs = [(1, f"pre {passage} post"), (1, f"pre {passage} post"), (None, other), (None, other), (2, f"{other} {passage}"), (3, "clean"), (3, "clean"), (4, None), (4, None)]
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame([(None, passage), (None, "  " + passage), (7, other), (None, None)], "item_id long, text string")
+    none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+    want = [(1, 12, 10, 1, none, True)] * 2 + [(None, 10, 10, 1, seven, True)] * 2 + [(2, 20, 20, 2, seven, True)] + [(3, 1, 0, 0, none, False)] * 2 + [(4, 0, 0, 0, none, False)] * 2
+    for size in (d.BLOCK_BYTES, 40):
+        monkeypatch.setattr(d, "BLOCK_BYTES", size)
+        assert sorted((tuple(r) for r in d.contamination(left, right).collect()), key=repr) == sorted(want, key=repr)
+        assert sorted(r.doc_id for r in d.decontaminate(left, right).collect()) == [3, 3, 4, 4]

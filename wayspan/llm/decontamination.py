@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspan.llm.common import ALNUM, chunked, utf8_view, word_hashes
+from wayspan.llm.common import ALNUM, chunked, utf8_view, word_hashes, written
 
 #: Words of a window.
 WINDOW = 10
@@ -37,7 +37,7 @@ def _mix(code: np.ndarray, word: np.ndarray) -> np.ndarray:
 class TestIndex:
     """Windows of the test items, one matrix of word hashes for each window length."""
 
-    def __init__(self, item_ids: list[str], texts: list[str | None], window: int = WINDOW):
+    def __init__(self, item_ids: list[str | None], texts: list[str | None], window: int = WINDOW):
         self.ids = np.array(item_ids, dtype=object)
         self.window = window
         data, offsets = utf8_view(pa.array(texts, pa.string()))
@@ -92,13 +92,13 @@ class TestIndex:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[TestIndex]:
-    """Test indexes of at most about BLOCK_BYTES of text each; one at least."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where(F.col("i").isNotNull())
+    """Test indexes of at most about BLOCK_BYTES of text each; one at least. Items without an id are searched too."""
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
-        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).collect()
-        part.sort(key=lambda r: (r.i, r.t or ""))
+        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()
+        part.sort(key=lambda r: (r.i is None, r.i or "", r.t or ""))
         yield TestIndex([r.i for r in part], [r.t for r in part], window)
 
 
@@ -112,7 +112,8 @@ def _shards(batches: Iterator[pa.RecordBatch], text: str):
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The longest verbatim matches of a window or more: doc_id, item_id (string), doc_word, item_word, n_words
-    (first words and length). A short item is one window. Null texts and items without words match nothing."""
+    (first words and length). A short item is one window. Null texts and items without words match nothing; an
+    item without an id has a null item_id."""
     spark, schema = docs.sparkSession, "doc_id long, item_id string, doc_word long, item_word long, n_words long"
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
@@ -145,12 +146,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", it
     """One row for each document: doc_id, n_words, n_hit (words inside a match), n_items (items with matching
     windows), items_sha256 (their ids, sorted as strings, comma-joined) and contaminated.
 
-    Null and empty texts have no words and no hits. Repeated rows give repeated rows; with a test set of
-    several blocks, rows that agree in id and text are one. Other columns of the input are ignored. An empty
-    test set leaves every document clean.
+    Null and empty texts have no words and no hits. Repeated rows give repeated rows. Items without an id count
+    as hits and, together, as one item, which the list of ids leaves out. Other columns of the input are ignored.
+    An empty test set leaves every document clean. With a test set of several blocks the rows are first written
+    with a key of their own, by which the blocks' results are merged.
     """
     spark, schema = docs.sparkSession, "doc_id long, n_words long, key long, spans binary, items array<string>"
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("key"))
 
     def finder(sent):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", it
                     d = of[part[0]]
                     pairs = np.unique(np.stack([at[part] - bounds[d], at[part] - bounds[d] + length[part]], 1), axis=0)
                     spans[d] = pairs.astype("<i8").tobytes()
-                    named[d] = sorted(sent.value.ids[np.unique(items[part])])
+                    named[d] = list(set(sent.value.ids[np.unique(items[part])]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), batch.column(2).slice(a, b - a), pa.array(spans, pa.binary()), pa.array(named, pa.list_(pa.string()))],
                     ["doc_id", "n_words", "key", "spans", "items"],
@@ -172,7 +174,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", it
 
         return find
 
-    parts = [rows.mapInArrow(finder(spark.sparkContext.broadcast(x)), schema) for x in _blocks(benchmark, item, text, window)]
+    sent = [spark.sparkContext.broadcast(x) for x in _blocks(benchmark, item, text, window)]
+    if len(sent) > 1:
+        rows = written(rows, "keyed")
+    parts = [rows.mapInArrow(finder(x), schema) for x in sent]
     if len(parts) == 1:
         merged = parts[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
     else:
@@ -189,9 +194,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", it
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 reach = np.maximum.accumulate(np.r_[0, pairs[:-1, 1]]) if len(pairs) else np.zeros(0, np.int64)
                 hit.append(int(np.maximum(0, pairs[:, 1] - np.maximum(pairs[:, 0], reach)).sum()))
-                own = sorted({x for part in items if part for x in part})
+                own = {x for part in items if part for x in part}
                 count.append(len(own))
-                named.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+                named.append(hashlib.sha256(",".join(sorted(own - {None})).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(named, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
