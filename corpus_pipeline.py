@@ -11,7 +11,8 @@ from wayspan.llm.neardup import drop_near_duplicates
 from wayspan.llm.quality import drop_low_quality
 from wayspan.llm.sharding import assign_shards
 
-#: Token budget of the mixture as a share of the tokens that reach it, and how far source, language and topic
+#: Token budget of the mixture as a share of the tokens that reach it (an upper limit: less is kept where more would
+#: miss the targets), and how far source, language and topic
 #: shares are flattened (1 leaves them as they are).
 MIX_BUDGET, MIX_ALPHA = 0.95, 0.9
 SHARDS = 16
@@ -30,7 +31,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs, alpha=MIX_ALPHA, budget=MIX_BUDGET).where("sampled").select(docs.columns)
+    return mixed_documents(docs, alpha=MIX_ALPHA, budget=MIX_BUDGET, calibrated=True).where("sampled").select(docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,20 @@ def test_draws_follow_the_probability(spark):
     docs = spark.range(20000).selectExpr("id as doc_id", "'w' as text")
     share = docs.where(m.uniform(docs, 3) < 0.3).count() / 20000
     assert abs(share - 0.3) < 0.02
+
+
+def test_the_pipelines_mixture_meets_its_targets(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline, "mixed_documents", lambda docs, **given: asked.update(given) or docs.selectExpr("*", "true as sampled"))
+    corpus_pipeline.mixture(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    cells = spark.createDataFrame([("hot", "en", "brief", 10000)] + [(f"s{i}", "en", "brief", 1000) for i in range(20)], "source string, lang string, topic string, tokens long")
+    targets = m.tempered_targets(cells, asked.pop("alpha"))
+    rows = m.sampling_plan(cells, targets, **asked).collect()
+    goal = {r.value: r.share for r in targets.where("dim = 'source'").collect()}
+    spent = sum(r.prob * r.tokens for r in rows)
+    for r in rows:
+        assert r.prob <= 1
+        assert r.prob * r.tokens / spent == pytest.approx(goal[r.source], abs=1e-6)
+    assert spent / 30000 <= asked["budget"] + 1e-9

@@ -92,10 +92,11 @@ def rake(cells: DataFrame, targets: DataFrame, limit: int = CELL_LIMIT) -> DataF
     return now
 
 
-def sampling_plan(cells: DataFrame, targets: DataFrame, budget: float | None = None, limit: int = CELL_LIMIT) -> DataFrame:
+def sampling_plan(cells: DataFrame, targets: DataFrame, budget: float | None = None, limit: int = CELL_LIMIT, calibrated: bool = False) -> DataFrame:
     """cells with weight (mass over token share) and prob. Without a budget the largest weight has
     probability 1, so the sample's expected marginals are the targets; with one, weights are scaled until
-    the expected tokens are that share of all, probabilities capped at 1."""
+    the expected tokens are that share of all, probabilities capped at 1. Capped cells miss their targets; a
+    calibrated plan takes the budget as an upper limit and scales no further than the targets allow."""
     raked = rake(cells, targets, limit)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     weighed = written(raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("mass") * float(total) / F.col("tokens")).otherwise(1.0)), "weights")
@@ -107,7 +108,7 @@ def sampling_plan(cells: DataFrame, targets: DataFrame, budget: float | None = N
             mid = (low + high) / 2
             spent = weighed.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * mid) * F.col("tokens"))).first()[0] or 0.0
             low, high = (mid, high) if spent < budget * total else (low, mid)
-        scale = high
+        scale = min(high, scale) if calibrated else high
     return weighed.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
 
 
@@ -117,7 +118,7 @@ def uniform(docs: DataFrame, seed: int, doc: str = "doc_id") -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mixed_documents(docs: DataFrame, alpha: float = 0.7, budget: float | None = None, seed: int = 0, targets: DataFrame | None = None, limit: int = CELL_LIMIT) -> DataFrame:
+def mixed_documents(docs: DataFrame, alpha: float = 0.7, budget: float | None = None, seed: int = 0, targets: DataFrame | None = None, limit: int = CELL_LIMIT, calibrated: bool = False) -> DataFrame:
     """docs with n_tokens, topic, weight, prob and sampled; columns of these names are replaced.
 
     targets (dim, value, share) default to tempered shares. Null sources and languages are cells of their
@@ -127,7 +128,7 @@ def mixed_documents(docs: DataFrame, alpha: float = 0.7, budget: float | None =
     added = ("n_tokens", "topic", "weight", "prob", "sampled", "_source", "_lang", "_topic", "_u")
     own = with_cells(docs.drop(*added)).withColumn("_u", uniform(docs, seed))
     cells = written(own.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    plan = sampling_plan(cells, written(tempered_targets(cells, alpha), "targets") if targets is None else targets, budget, limit)
+    plan = sampling_plan(cells, written(tempered_targets(cells, alpha), "targets") if targets is None else targets, budget, limit, calibrated)
     plan = written(plan.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), "weight", "prob"), "plan")
     out = own.join(plan, ["_source", "_lang", "_topic"]).withColumns({"topic": F.col("_topic"), "sampled": F.col("_u") < F.col("prob")})
     return out.drop("_source", "_lang", "_topic", "_u")
