@@ -65,7 +65,7 @@ def family(seed):
 def test_families_equal_brute_force(spark, monkeypatch, seed, size, block):
     monkeypatch.setattr(nd, "OUTSIDERS", block)
     monkeypatch.setattr(nd, "MEMBERS", 2 * block)
-    monkeypatch.setattr(nd, "PROBES", 1)
+    monkeypatch.setattr(nd, "NEAREST", 1)
     for _ in range(1):
         docs = family(seed)
         frame = spark.createDataFrame(docs, "doc_id long, text string")
@@ -92,3 +92,56 @@ def test_estimate_is_corrected_for_chance():
         a, b = base[:2000], np.r_[base[:k], base[2000 : 4000 - k]]
         agree = np.array([(nd.registers(np.unique(a)) == nd.registers(np.unique(b))).mean()])
         assert abs(nd.estimated(agree, np.array([2000]), np.array([2000]))[0] - shared) < 0.12
+
+
+def test_ids_of_any_size_keep_their_documents(spark):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey"]
+    docs = list(zip((1, (1 << 62) + 5, -7), texts, strict=True))
+    frame = spark.createDataFrame([*docs, ((1 << 63) - 1, texts[1])], "doc_id long, text string")
+    got = sorted(tuple(r) for r in nd.near_duplicates(frame, shingle=2).collect())
+    assert got == [(-7, 5, -7, True), (1, 5, 1, True), ((1 << 62) + 5, 5, (1 << 62) + 5, True), ((1 << 63) - 1, 5, (1 << 62) + 5, False)]
+    assert sorted(r.doc_id for r in nd.drop_near_duplicates(frame).collect()) == [-7, 1, (1 << 62) + 5]
+
+
+def test_rows_under_one_id_are_judged_by_their_own_texts(spark):
+    a, b = "one two three four five six", "red green blue white black grey"
+    frame = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in nd.near_duplicates(frame, shingle=2).collect()) == [(3, 5, 3, True), (5, 5, 3, False), (5, 5, 5, True), (9, 5, 5, False)]
+    assert sorted(r.doc_id for r in nd.drop_near_duplicates(frame).collect()) == [3, 5, 5]
+
+
+def test_a_family_around_the_limit_verifies_few_pairs(spark, monkeypatch):
+    """Near copies whose similarities lie around the limit: verified pairs grow with documents, not with pairs."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    seed = [rnd.choice(words) for _ in range(60)]
+    docs = []
+    for i in range(300):
+        own = list(seed)
+        for _ in range(rnd.randrange(0, 9)):
+            own[rnd.randrange(60)] = rnd.choice(words)
+        docs.append((i, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    sizes, plain = [], nd.verified
+
+    def counting(pairs, *rest):
+        sizes.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(nd, "verified", counting)
+    got = sorted(tuple(r) for r in nd.near_duplicates(frame, shingle=2).collect())
+    assert got == brute(docs, 2)
+    assert sum(sizes) < 8 * len(docs)
+
+
+def test_parity_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    sets = [np.unique(np.r_[base[:n], base[2000 : 2000 + k]]) for n in (5, 63, 700, 1900) for k in (0, 1, 7, 60, 400)]
+    sketch, size = [nd.parity_sketch(s) for s in sets], np.array([len(s) for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    out = nd.ruled_out(sketch, a, b, size, 80)
+    linked = np.array([100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert not (out & linked).any()
+    alike = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * 80  # others go by their sizes
+    assert out[alike].sum() > 0.9 * (~linked & alike).sum() > 0

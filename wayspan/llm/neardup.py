@@ -6,12 +6,16 @@ of leading zeros and ten mantissa bits are stored, 16 bits in all. Registers in
 the register agreement, corrected for the collisions that compressed registers make by chance, estimates the
 Jaccard similarity and drops pairs far below the limit; the rest are verified on the full sets.
 
-A band's bucket may hold a third of all documents, so its members are never all paired with each other. First
-the hub of a bucket (its smallest document) is compared with all others, and links make components. In
-buckets that still hold several components, members outside the largest are compared with a few drawn from
-it, which joins nearly all that belong there. The few that stay outside meet the whole bucket by registers
-alone, in blocks of bounded size inside tasks: only pairs of different components with a near estimate leave
-a task, each from its first shared band, and are verified. So no link between candidates is lost.
+A band's bucket may hold a third of all documents, so its members are never all paired with each other, and
+what is verified grows with the links that components need:
+
+1. Every node is verified against one other only, the hub (smallest node) with which it shares most buckets.
+2. Buckets that still hold several components are dealt in blocks of bounded size. Inside a task the members
+   outside the bucket's largest component meet the others by registers, then by parity sketches: the bits in
+   which two sketches differ bound the symmetric difference from below, so a pair that they rule out has no
+   link. Of what is left each outsider sends its NEAREST best partners, from the first band that the two share.
+3. Found links merge components, failed pairs are remembered, and the buckets that sent something are looked
+   at again, until no bucket has a pair of different components left that is neither tested nor ruled out.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Pairs whose estimate lies so many standard errors below the limit are not verified.
 SIGMAS = 4.5
-#: Members of a bucket's largest component that each member outside it is compared with first.
-PROBES = 8
+#: Partners that an outsider of a bucket sends to verification in one round.
+NEAREST = 4
 #: Outsiders and members of a bucket whose registers meet in one task.
 OUTSIDERS, MEMBERS = 1024, 8192
-#: Nodes from here on stand for sets that only rows without an id have.
-UNNAMED = 1 << 62
+#: Bits of a parity sketch for each member of the set, rounded up to a power of two.
+PARITY = 8
 
 _rng = np.random.default_rng(7)
 _SCALE = _rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -63,6 +67,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
             yield np.zeros(0, np.uint64)
 
 
+def digest(shingles: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; None for the empty one."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def registers(shingles: np.ndarray) -> np.ndarray:
     """Compressed registers of a set that isn't empty: leading zeros, then mantissa bits."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -102,7 +111,7 @@ def sketches(docs: DataFrame, shingle: int, doc: str = "doc_id", text: str = "te
                 n, fp, sig = [], [], []
                 for s in shingle_sets(data, offsets[a : b + 1], shingle):
                     n.append(len(s))
-                    fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    fp.append(digest(s))
                     sig.append(registers(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
 
@@ -110,19 +119,48 @@ def sketches(docs: DataFrame, shingle: int, doc: str = "doc_id", text: str = "te
     return rows.mapInArrow(sketch, "doc_id long, n_shingles long, fp binary, sig binary")
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that say of each slot whether an odd number of the set's members fall into it. Sketches of two sets
+    differ in no more slots than the sets differ in members; halves of a sketch, xored, are the smaller sketch."""
+    slots = 64
+    while slots < PARITY * len(shingles):
+        slots *= 2
+    return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little")
+
+
+def ruled_out(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the parity sketches of the pairs (a, b) prove that 100 x intersection < percent x union."""
+    length = np.array([len(x) for x in sketch])
+    least = np.zeros(len(a), np.int64)
+    level = np.minimum(length[a], length[b]) if len(a) else np.zeros(0, np.int64)
+    for n in np.unique(level):
+        mine = np.flatnonzero(level == n)
+        nodes, back = np.unique(np.r_[a[mine], b[mine]], return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(sketch[i].reshape(-1, n), axis=0) for i in nodes]).view(np.uint64)
+        left, right = back[: len(mine)], back[len(mine) :]
+        step = max(1, (1 << 24) // int(n))
+        for at in range(0, len(mine), step):
+            least[mine[at : at + step]] = np.bitwise_count(folded[left[at : at + step]] ^ folded[right[at : at + step]]).sum(axis=1)
+    return least * (100 + percent) > (size[a] + size[b]) * (100 - percent)
+
+
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, members (all shingles) of rows (node, text)."""
+    """node, members (all shingles) and parity (sketch) of rows (node, fp, text) whose text has the digest fp."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_view(batch.column(1))
+            data, offsets = utf8_view(batch.column(2))
             for a, b in chunked(offsets):
-                own = list(shingle_sets(data, offsets[a : b + 1], shingle))
+                wanted = batch.column(1).slice(a, b - a).to_pylist()
+                own = [s if fp == digest(s) else None for s, fp in zip(shingle_sets(data, offsets[a : b + 1], shingle), wanted, strict=True)]
+                keep = pa.array([s is not None for s in own])
+                own = [s for s in own if s is not None]
                 ends = np.cumsum([0, *map(len, own)])
                 flat = pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "members"])
+                sketch = pa.array([parity_sketch(s).tobytes() for s in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), sketch], ["node", "members", "parity"])
 
-    return docs.mapInArrow(members, "node long, members array<long>")
+    return docs.select("node", "fp", "text").mapInArrow(members, "node long, members array<long>, parity binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -146,42 +184,59 @@ def floor_of(percent: int) -> float:
     return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
 
 
-def _block_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of an outsider and a member of another component of one bucket whose registers are close enough; a
-    pair that several bands share comes from the first of them alone."""
+def _block_pairs(table: pa.Table, failed: pa.Table, percent: int) -> pa.Table:
+    """For each outsider of a block its best untested partners of other components that neither registers nor
+    parity sketches rule out; a pair that several bands share comes from the first of them alone."""
+    if not table.num_rows:
+        return pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "band")})
     names = ("node", "component", "n_shingles", "outer", "outsider", "index")
     node, component, size, outer, outsider, index = (table.column(c).to_numpy() for c in names)
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    sketch = [np.frombuffer(x, np.uint8) for x in table.column("parity").to_pylist()]
+    barred = set(zip(failed.column("a").to_pylist(), failed.column("b").to_pylist(), strict=True))
     left, right = np.flatnonzero(outsider), np.flatnonzero(~outsider)
-    found_a, found_b, band = [], [], int(index[0])
-    for at in range(0, len(left), 16):
-        block = left[at : at + 16]
-        same = sig[block][:, None, :] == sig[right][None, :, :]
-        close = (component[block][:, None] != component[right][None, :]) & (~outer[right][None, :] | (node[block][:, None] < node[right][None, :]))
+    found, band, floor = [], int(index[0]), floor_of(percent)
+    for at in range(0, len(left), 8):
+        block = left[at : at + 8]
         low, high = np.minimum(size[block][:, None], size[right][None, :]), np.maximum(size[block][:, None], size[right][None, :])
-        close &= low * 100 >= high * percent
-        close &= estimated(same.mean(axis=2), low, high) >= floor_of(percent)
-        x, y = np.nonzero(close)
+        close = (component[block][:, None] != component[right][None, :]) & (~outer[right][None, :] | (node[block][:, None] < node[right][None, :])) & (low * 100 >= high * percent)
+        if not close.any():
+            continue
+        same = sig[block][:, None, :] == sig[right][None, :, :]
+        guess = estimated(np.count_nonzero(same, axis=2) / REGISTERS, low, high)
+        x, y = np.nonzero(close & (guess >= floor))
         first = same[x, y].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        a, b = node[block[x[first]]], node[right[y[first]]]
-        found_a.append(np.minimum(a, b))
-        found_b.append(np.maximum(a, b))
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-    return pa.table({"a": join(found_a), "b": join(found_b)})
-
-
-def _across(told: DataFrame, sizes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of different components in the buckets told (band, index, node, component, top). Large
+        x, y = x[first], y[first]
+        open_ = ~ruled_out(sketch, block[x], right[y], size, percent)
+        x, y = x[open_], y[open_]
+        order = np.lexsort((node[right[y]], -guess[x, y], x))
+        sent = np.zeros(len(block), np.int64)
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            if sent[i] < NEAREST:
+                p, q = int(node[block[i]]), int(node[right[j]])
+                pair = (min(p, q), max(p, q))
+                if pair not in barred:
+                    sent[i] += 1
+                    found.append(pair)
+    key = table.column("band")[0].as_py()
+    return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64()), "band": pa.array([key] * len(found), pa.int64())})
+
+
+def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b, band) of different components in the buckets told (band, index, node, component). Large
     buckets are dealt in blocks of outsiders and members, so a task holds registers of a bounded number."""
-    rows = told.join(sizes.hint("merge"), "band").join(reps.select("node", "n_shingles", "sig").hint("merge"), "node")
-    rows = rows.withColumns({"outer": F.col("component") != F.col("top"), "_o": F.ceil((F.col("n") - F.col("top_n")) / OUTSIDERS).cast("int"), "_m": F.ceil(F.col("n") / MEMBERS).cast("int")})
-    columns = ["band", "index", "node", "component", "n_shingles", "sig", "outer"]
+    blocks = sizes.select("band", "top", F.ceil((F.col("n") - F.col("top_n")) / OUTSIDERS).cast("int").alias("_o"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("_m"))
+    rows = told.join(blocks.hint("merge"), "band").join(reps.select("node", "n_shingles", "sig").hint("merge"), "node").join(sets.select("node", "parity").hint("merge"), "node")
+    rows = rows.withColumn("outer", F.col("component") != F.col("top"))
+    columns = ["band", "index", "node", "component", "n_shingles", "sig", "parity", "outer"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    members = rows.select(*columns, F.lit(False).alias("outsider"), own("_m").alias("m"), every("_o").alias("o"))
-    outsiders = rows.where("outer").select(*columns, F.lit(True).alias("outsider"), every("_m").alias("m"), own("_o").alias("o"))
-    blocks = members.unionByName(outsiders).groupBy("band", "o", "m")
-    return blocks.applyInArrow(lambda t: _block_pairs(t, percent), "a long, b long")
+    own = lambda node, n: F.pmod(F.xxhash64(node), F.col(n)).cast("int")
+    members = rows.select(*columns, F.lit(False).alias("outsider"), own("node", "_m").alias("m"), every("_o").alias("o"))
+    outsiders = rows.where("outer").select(*columns, F.lit(True).alias("outsider"), every("_m").alias("m"), own("node", "_o").alias("o"))
+    tested = failed.join(blocks.hint("merge"), "band")
+    tested = tested.select("a", "b", "band", own("a", "_o").alias("o"), own("b", "_m").alias("m")).unionByName(tested.select("a", "b", "band", own("b", "_o").alias("o"), own("a", "_m").alias("m")))
+    dealt = members.unionByName(outsiders).groupBy("band", "o", "m").cogroup(tested.groupBy("band", "o", "m"))
+    return dealt.applyInArrow(lambda t, f: _block_pairs(t, f, percent), "a long, b long, band long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,74 +259,83 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -
     return told.where(F.col("inter") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("inter")) * percent).select("a", "b", "inter")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable
-    over links, itself included) and kept (doc_id is component_id).
-
-    Null, empty and blank texts have an empty set, link with nothing and are kept. Equal sets are one node.
-    doc_id is taken as unique: rows that share an id count as one document and keep a row each. Rows without
-    an id are nodes too, but give their class no name: their component_id is the smallest id of the class or
-    null, and they are kept only in the latter case. Other columns are ignored; an empty table gives an
-    empty one.
-    """
+def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = written(sketches(rows, shingle), "sketches")
-    unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("fp"), 2)
-    named = sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("named"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = written(named.withColumn("node", F.coalesce("named", unnamed)), "nodes")
+    reps = sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("named"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers of the table as written
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
     bands = reps.select("node", F.posexplode(keys).alias("index", "band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
     members = written(bands.join(shared.hint("merge"), "band"), "members")
-    pairs = written(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-
-    wanted = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    texts = rows.where("doc_id is not null").join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "text")
-    if not reps.where("named is null").isEmpty():
-        lone = rows.where("doc_id is null").select("text").distinct().withColumn("doc_id", F.xxhash64("text"))
-        own = sketches(lone, shingle).where("fp is not null").withColumn("node", unnamed).select("doc_id", "node")
-        texts = texts.unionByName(lone.join(own, "doc_id").select("node", "text"))
-    sets = written(full_sets(texts, shingle), "sets")
-
-    links, tested = written(verified(pairs, reps, sets, percent), "found"), pairs
-    labels = components(links)
-    live = members.where("node <> hub").select("band", "index", "node")  # hubs have met all others
-    for last in (False, True):
-        labelled = live.join(labels.hint("merge"), "node", "left").select("band", "index", "node", F.coalesce("component", "node").alias("component"))
+    pairs = members.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(pairs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")), "pairs")
+
+    met = written(members.select("node").distinct(), "met")
+    wanted = reps.select("node", "fp", "named").join(met.hint("merge"), "node")
+    texts = rows.where("doc_id is not null").join(wanted.where("named is not null").select(F.col("named").alias("doc_id"), "node", "fp").hint("merge"), "doc_id")
+    sets = full_sets(texts.dropDuplicates(["doc_id", "fp", "text"]), shingle)
+    if not wanted.where("named is null").isEmpty():
+        lone = rows.where("doc_id is null").select("text").distinct()
+        own = lone.withColumn("doc_id", F.xxhash64("text"))  # joins digests to texts, full_sets drops what differs
+        own = own.join(sketches(own, shingle).select("doc_id", "fp").hint("merge"), "doc_id").join(wanted.where("named is null").select("node", "fp").hint("merge"), "fp")
+        sets = sets.unionByName(full_sets(own.dropDuplicates(["node"]), shingle))
+    sets = written(sets, "sets")
+
+    labels = met.withColumn("component", F.col("node"))
+    found = written(verified(pairs, reps, sets, percent).select("a", "b"), "found")
+    live = members.select("band", "index", "node")
+    failed = None
+    while True:
+        if not found.isEmpty():
+            joined = found
+            for side in ("a", "b"):
+                joined = joined.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")).hint("merge"), side)
+            merged = components(joined.where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+            labels = written(labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")).hint("merge"), "component", "left").select("node", F.coalesce("_c", "component").alias("component")), "labels")
+        labelled = live.join(labels.hint("merge"), "node").select("band", "index", "node", "component")
         groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
         sizes = groups.groupBy("band").agg(F.max(F.struct("size", "component")).alias("_top"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         sizes = written(sizes.select("band", F.col("_top.component").alias("top"), F.col("_top.size").alias("top_n"), "n"), "open")
         if sizes.isEmpty():
             break
-        if last:
-            more = _across(labelled.join(sizes.select("band", "top").hint("merge"), "band"), sizes.drop("top"), reps, percent)
-        else:
-            told = labelled.join(sizes.select("band", "top").hint("merge"), "band")
-            drawn = F.xxhash64("node", F.lit(7))
-            probes = told.where("component = top").groupBy("band", F.pmod(drawn, F.lit(PROBES)).alias("_slot")).agg(F.min_by("node", drawn).alias("probe"))
-            more = told.where("component <> top").select("band", "node").join(probes.select("band", "probe").hint("merge"), "band").select(F.least("probe", "node").alias("a"), F.greatest("probe", "node").alias("b"))
-        more = written(more.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(more)
-        found = written(verified(more, reps, sets, percent), "found")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
+        known = failed if failed is not None else sizes.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "band").limit(0)
+        more = written(_across(labelled, sizes, known, reps, sets, percent), "pairs")
+        if more.isEmpty():
+            break
+        found = written(verified(more.select("a", "b"), reps, sets, percent).select("a", "b"), "found")
+        lost = more.join(found.hint("merge"), ["a", "b"], "left_anti").select("a", "b", "band")
+        failed = written(lost if failed is None else failed.unionByName(lost), "failed")
+        live = written(live.join(more.select("band").distinct().hint("merge"), "band", "left_semi"), "live")
 
-    names = reps.select("fp", "node").join(labels.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "fp").join(names.hint("merge"), "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).when(F.col("component_id") < UNNAMED, F.col("component_id"))
-    if_unnamed = F.col("doc_id").isNull() & component.isNull()
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (if_unnamed | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+    grouped = reps.select("fp", "node", "named").join(labels.hint("merge"), "node", "left").select("fp", "named", F.coalesce("component", "node").alias("component"))
+    names = grouped.groupBy("component").agg(F.min("named").alias("component_id"))
+    named = grouped.select("fp", "component").join(names.hint("merge"), "component").select("fp", "component_id")
+    out = sketched.select("doc_id", "n_shingles", "fp").join(named.hint("merge"), "fp", "left")
+    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable
+    over links, itself included) and kept (doc_id is component_id).
+
+    Ids may be any 64-bit number. Null, empty and blank texts have an empty set, link with nothing and are kept.
+    Equal sets are one node. Rows that share an id and a text get the same result; with several texts under one
+    id every row is judged by its own text. Rows without an id are nodes too, but give their class no name: their
+    component_id is the smallest id of the class or null, and they are kept only in the latter case. Other
+    columns are ignored; an empty table gives an empty one.
+    """
+    return _classes(docs, shingle, percent, doc, text)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, one document of each class. Rows that share an id stay or go together;
-    rows without an id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), shingle, percent).where("not kept").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    kept = docs.where("doc_id is not null").join(gone.where("doc_id is not null").hint("merge"), "doc_id", "left_anti")
-    return kept.select(docs.columns).unionByName(nameless)
+    """The rows of docs, all columns, one document of each class. Rows that share an id stay if one of them is
+    kept; rows without an id stay."""
+    classes = near_duplicates(docs.select("doc_id", "text"), shingle, percent).where("doc_id is not null")
+    gone = written(classes.groupBy("doc_id").agg(F.max("kept").alias("_k")).where("not _k").select("doc_id"), "gone")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
