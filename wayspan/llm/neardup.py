@@ -13,7 +13,7 @@ what is verified grows with the links that components need:
 2. Buckets that still hold several components are dealt in blocks of bounded size. Inside a task the members
    outside the bucket's largest component meet the others by registers, then by parity sketches: the bits in
    which two sketches differ bound the symmetric difference from below, so a pair that they rule out has no
-   link. Of what is left each outsider sends its NEAREST best partners, from the first band that the two share.
+   link. Of what is left each outsider sends its few best partners, from the first band that the two share.
 3. Found links merge components, failed pairs are remembered, and the buckets that sent something are looked
    at again, until no bucket has a pair of different components left that is neither tested nor ruled out.
 """
@@ -37,12 +37,15 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Pairs whose estimate lies so many standard errors below the limit are not verified.
 SIGMAS = 4.5
-#: Partners that an outsider of a bucket sends to verification in one round.
-NEAREST = 4
+#: Partners that an outsider of a bucket sends to verification in the first round, and how many times more in each
+#: later one, so few rounds do.
+NEAREST, MORE = 8, 4
+#: Similarity by parity sketches from which one partner stands for all of its component in a round.
+SURE = 0.81
 #: Outsiders and members of a bucket whose registers meet in one task.
 OUTSIDERS, MEMBERS = 1024, 8192
 #: Bits of a parity sketch for each member of the set, rounded up to a power of two.
-PARITY = 8
+PARITY = 16
 
 _rng = np.random.default_rng(7)
 _SCALE = _rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -128,11 +131,10 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little")
 
 
-def ruled_out(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the parity sketches of the pairs (a, b) prove that 100 x intersection < percent x union."""
+def parity_gaps(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the pairs (a, b) of sketches the slots in which they differ, and about how many members do."""
     length = np.array([len(x) for x in sketch])
-    least = np.zeros(len(a), np.int64)
-    level = np.minimum(length[a], length[b]) if len(a) else np.zeros(0, np.int64)
+    least, level = np.zeros(len(a), np.int64), np.minimum(length[a], length[b]) if len(a) else np.zeros(0, np.int64)
     for n in np.unique(level):
         mine = np.flatnonzero(level == n)
         nodes, back = np.unique(np.r_[a[mine], b[mine]], return_inverse=True)
@@ -141,7 +143,8 @@ def ruled_out(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray, size: np.n
         step = max(1, (1 << 24) // int(n))
         for at in range(0, len(mine), step):
             least[mine[at : at + step]] = np.bitwise_count(folded[left[at : at + step]] ^ folded[right[at : at + step]]).sum(axis=1)
-    return least * (100 + percent) > (size[a] + size[b]) * (100 - percent)
+    slots = np.maximum(8.0 * level, 1)
+    return least, -slots / 2 * np.log(np.maximum(1e-9, 1 - 2 * least / slots))
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -178,14 +181,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def rooted(labels: DataFrame) -> DataFrame:
+    """(node, component): where each node's pointer (component, never larger than the node) leads in the end."""
+    while True:
+        onward = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        step = written(labels.join(onward.hint("merge"), "component").select("node", F.col("component").alias("old"), F.col("next").alias("component")), "labels")
+        labels = step.select("node", "component")
+        if step.where("component <> old").isEmpty():
+            return labels
+
+
 def floor_of(percent: int) -> float:
     """Estimate below which a pair is not verified."""
     j = percent / 100
     return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
 
 
-def _block_pairs(table: pa.Table, failed: pa.Table, percent: int) -> pa.Table:
-    """For each outsider of a block its best untested partners of other components that neither registers nor
+def _block_pairs(table: pa.Table, failed: pa.Table, percent: int, nearest: int) -> pa.Table:
+    """For each outsider of a block its `nearest` best untested partners of other components that neither registers nor
     parity sketches rule out; a pair that several bands share comes from the first of them alone."""
     if not table.num_rows:
         return pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "band")})
@@ -207,22 +220,26 @@ def _block_pairs(table: pa.Table, failed: pa.Table, percent: int) -> pa.Table:
         x, y = np.nonzero(close & (guess >= floor))
         first = same[x, y].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
         x, y = x[first], y[first]
-        open_ = ~ruled_out(sketch, block[x], right[y], size, percent)
-        x, y = x[open_], y[open_]
-        order = np.lexsort((node[right[y]], -guess[x, y], x))
-        sent = np.zeros(len(block), np.int64)
-        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-            if sent[i] < NEAREST:
+        least, about = parity_gaps(sketch, block[x], right[y])
+        both = size[block[x]] + size[right[y]]
+        alike, possible = (both - about) / (both + about), least * (100 + percent) <= both * (100 - percent)
+        x, y, alike = x[possible], y[possible], alike[possible]
+        order = np.lexsort((node[right[y]], -alike, x))
+        sent, settled = np.zeros(len(block), np.int64), set()
+        for i, j, near in zip(x[order].tolist(), y[order].tolist(), alike[order].tolist(), strict=True):
+            if sent[i] < nearest and (i, component[right[j]]) not in settled:
                 p, q = int(node[block[i]]), int(node[right[j]])
                 pair = (min(p, q), max(p, q))
                 if pair not in barred:
                     sent[i] += 1
                     found.append(pair)
+                    if near >= SURE:
+                        settled.add((i, component[right[j]]))
     key = table.column("band")[0].as_py()
     return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64()), "band": pa.array([key] * len(found), pa.int64())})
 
 
-def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, nearest: int) -> DataFrame:
     """Candidates (a, b, band) of different components in the buckets told (band, index, node, component). Large
     buckets are dealt in blocks of outsiders and members, so a task holds registers of a bounded number."""
     blocks = sizes.select("band", "top", F.ceil((F.col("n") - F.col("top_n")) / OUTSIDERS).cast("int").alias("_o"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("_m"))
@@ -236,7 +253,7 @@ def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, reps: DataFram
     tested = failed.join(blocks.hint("merge"), "band")
     tested = tested.select("a", "b", "band", own("a", "_o").alias("o"), own("b", "_m").alias("m")).unionByName(tested.select("a", "b", "band", own("b", "_o").alias("o"), own("a", "_m").alias("m")))
     dealt = members.unionByName(outsiders).groupBy("band", "o", "m").cogroup(tested.groupBy("band", "o", "m"))
-    return dealt.applyInArrow(lambda t, f: _block_pairs(t, f, percent), "a long, b long, band long")
+    return dealt.applyInArrow(lambda t, f: _block_pairs(t, f, percent, nearest), "a long, b long, band long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -283,12 +300,14 @@ def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -
         sets = sets.unionByName(full_sets(own.dropDuplicates(["node"]), shingle))
     sets = written(sets, "sets")
 
-    labels = met.withColumn("component", F.col("node"))
-    found = written(verified(pairs, reps, sets, percent).select("a", "b"), "found")
+    # every node has one link at most, to a smaller node: pointers
+    first = verified(pairs, reps, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("component")).distinct()
+    labels = rooted(written(met.join(first.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels"))
+    found = None
     live = members.select("band", "index", "node")
-    failed = None
+    failed, nearest = None, NEAREST
     while True:
-        if not found.isEmpty():
+        if found is not None and not found.isEmpty():
             joined = found
             for side in ("a", "b"):
                 joined = joined.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")).hint("merge"), side)
@@ -301,12 +320,13 @@ def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -
         if sizes.isEmpty():
             break
         known = failed if failed is not None else sizes.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "band").limit(0)
-        more = written(_across(labelled, sizes, known, reps, sets, percent), "pairs")
+        more = written(_across(labelled, sizes, known, reps, sets, percent, nearest), "pairs")
         if more.isEmpty():
             break
         found = written(verified(more.select("a", "b"), reps, sets, percent).select("a", "b"), "found")
         lost = more.join(found.hint("merge"), ["a", "b"], "left_anti").select("a", "b", "band")
         failed = written(lost if failed is None else failed.unionByName(lost), "failed")
+        nearest *= MORE
         live = written(live.join(more.select("band").distinct().hint("merge"), "band", "left_semi"), "live")
 
     grouped = reps.select("fp", "node", "named").join(labels.hint("merge"), "node", "left").select("fp", "named", F.coalesce("component", "node").alias("component"))
