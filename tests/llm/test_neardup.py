@@ -124,7 +124,7 @@ def test_a_family_around_the_limit_verifies_few_pairs(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     sizes, plain = [], nd.verified
 
-    def counting(pairs, *rest):
+    def counting(pairs, *rest):  # pairs whose full sets are compared
         sizes.append(pairs.count())
         return plain(pairs, *rest)
 

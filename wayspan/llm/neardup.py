@@ -148,27 +148,29 @@ def parity_gaps(sketch: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, members (all shingles) and parity (sketch) of rows (node, fp, text) whose text has the digest fp."""
+    """node, n, sig (as given), members (all shingles) and parity (sketch) of rows (node, sig, fp, text) whose text has
+    the digest fp."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_view(batch.column(2))
+            data, offsets = utf8_view(batch.column(3))
             for a, b in chunked(offsets):
-                wanted = batch.column(1).slice(a, b - a).to_pylist()
+                wanted = batch.column(2).slice(a, b - a).to_pylist()
                 own = [s if fp == digest(s) else None for s, fp in zip(shingle_sets(data, offsets[a : b + 1], shingle), wanted, strict=True)]
                 keep = pa.array([s is not None for s in own])
                 own = [s for s in own if s is not None]
                 ends = np.cumsum([0, *map(len, own)])
                 flat = pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
                 sketch = pa.array([parity_sketch(s).tobytes() for s in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), sketch], ["node", "members", "parity"])
+                given = [batch.column(k).slice(a, b - a).filter(keep) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([given[0], pa.array(np.diff(ends)), given[1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), sketch], ["node", "n", "sig", "members", "parity"])
 
-    return docs.select("node", "fp", "text").mapInArrow(members, "node long, members array<long>, parity binary")
+    return docs.select("node", "sig", "fp", "text").mapInArrow(members, "node long, n long, sig binary, members array<long>, parity binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for the ends of links (a, b): smallest labels spread over the
-    links and along their own pointers until nothing changes; only that count comes to the driver."""
+    links and along their own pointers until nothing changes; only that test comes to the driver."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
@@ -199,53 +201,53 @@ def floor_of(percent: int) -> float:
 
 def _block_pairs(table: pa.Table, failed: pa.Table, percent: int, nearest: int) -> pa.Table:
     """For each outsider of a block its `nearest` best untested partners of other components that neither registers nor
-    parity sketches rule out; a pair that several bands share comes from the first of them alone."""
-    if not table.num_rows:
-        return pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "band")})
-    names = ("node", "component", "n_shingles", "outer", "outsider", "index")
-    node, component, size, outer, outsider, index = (table.column(c).to_numpy() for c in names)
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
-    sketch = [np.frombuffer(x, np.uint8) for x in table.column("parity").to_pylist()]
-    barred = set(zip(failed.column("a").to_pylist(), failed.column("b").to_pylist(), strict=True))
-    left, right = np.flatnonzero(outsider), np.flatnonzero(~outsider)
-    found, band, floor = [], int(index[0]), floor_of(percent)
-    for at in range(0, len(left), 8):
-        block = left[at : at + 8]
-        low, high = np.minimum(size[block][:, None], size[right][None, :]), np.maximum(size[block][:, None], size[right][None, :])
-        close = (component[block][:, None] != component[right][None, :]) & (~outer[right][None, :] | (node[block][:, None] < node[right][None, :])) & (low * 100 >= high * percent)
-        if not close.any():
-            continue
-        same = sig[block][:, None, :] == sig[right][None, :, :]
-        guess = estimated(np.count_nonzero(same, axis=2) / REGISTERS, low, high)
-        x, y = np.nonzero(close & (guess >= floor))
-        first = same[x, y].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        x, y = x[first], y[first]
-        least, about = parity_gaps(sketch, block[x], right[y])
-        both = size[block[x]] + size[right[y]]
-        alike, possible = (both - about) / (both + about), least * (100 + percent) <= both * (100 - percent)
-        x, y, alike = x[possible], y[possible], alike[possible]
-        order = np.lexsort((node[right[y]], -alike, x))
-        sent, settled = np.zeros(len(block), np.int64), set()
-        for i, j, near in zip(x[order].tolist(), y[order].tolist(), alike[order].tolist(), strict=True):
-            if sent[i] < nearest and (i, component[right[j]]) not in settled:
-                p, q = int(node[block[i]]), int(node[right[j]])
-                pair = (min(p, q), max(p, q))
-                if pair not in barred:
-                    sent[i] += 1
-                    found.append(pair)
-                    if near >= SURE:
-                        settled.add((i, component[right[j]]))
-    key = table.column("band")[0].as_py()
-    return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64()), "band": pa.array([key] * len(found), pa.int64())})
-
-
-def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """Candidates (a, b, band) of different components in the buckets told (band, index, node, component). Large
+    parity sketches rule out, with both components; a pair that several bands share comes from the first of them
+    alone."""
+    out: dict[str, list] = {k: [] for k in ("a", "b", "band", "c_a", "c_b")}
+    if table.num_rows:
+        names = ("node", "component", "n", "outer", "outsider", "index")
+        node, component, size, outer, outsider, index = (table.column(c).to_numpy() for c in names)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        sketch = [np.frombuffer(x, np.uint8) for x in table.column("parity").to_pylist()]
+        barred = set(zip(failed.column("a").to_pylist(), failed.column("b").to_pylist(), strict=True))
+        left, right = np.flatnonzero(outsider), np.flatnonzero(~outsider)
+        key, band, floor = table.column("band")[0].as_py(), int(index[0]), floor_of(percent)
+        for at in range(0, len(left), 8):
+            block = left[at : at + 8]
+            low, high = np.minimum(size[block][:, None], size[right][None, :]), np.maximum(size[block][:, None], size[right][None, :])
+            close = (component[block][:, None] != component[right][None, :]) & (~outer[right][None, :] | (node[block][:, None] < node[right][None, :])) & (low * 100 >= high * percent)
+            if not close.any():
+                continue
+            same = sig[block][:, None, :] == sig[right][None, :, :]
+            guess = estimated(np.count_nonzero(same, axis=2) / REGISTERS, low, high)
+            x, y = np.nonzero(close & (guess >= floor))
+            first = same[x, y].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            x, y = x[first], y[first]
+            least, about = parity_gaps(sketch, block[x], right[y])
+            both = size[block[x]] + size[right[y]]
+            alike, possible = (both - about) / (both + about), least * (100 + percent) <= both * (100 - percent)
+            x, y, alike = x[possible], y[possible], alike[possible]
+            order = np.lexsort((node[right[y]], -alike, x))
+            sent, settled = np.zeros(len(block), np.int64), set()
+            for i, j, near in zip(x[order].tolist(), right[y[order]].tolist(), alike[order].tolist(), strict=True):
+                if sent[i] < nearest and (i, component[j]) not in settled:
+                    p, q = sorted((block[i], j), key=lambda k: node[k])
+                    if (int(node[p]), int(node[q])) not in barred:
+                        sent[i] += 1
+                        for k, v in zip(out, (node[p], node[q], key, component[p], component[q]), strict=True):
+                            out[k].append(int(v))
+                        if near >= SURE:
+                            settled.add((i, component[j]))
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+
+def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, sets: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """Candidates (a, b, band, c_a, c_b) of different components in the buckets told (band, index, node, component). Large
     buckets are dealt in blocks of outsiders and members, so a task holds registers of a bounded number."""
     blocks = sizes.select("band", "top", F.ceil((F.col("n") - F.col("top_n")) / OUTSIDERS).cast("int").alias("_o"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("_m"))
-    rows = told.join(blocks.hint("merge"), "band").join(reps.select("node", "n_shingles", "sig").hint("merge"), "node").join(sets.select("node", "parity").hint("merge"), "node")
+    rows = told.join(blocks.hint("merge"), "band").join(sets.select("node", "n", "sig", "parity").hint("merge"), "node")
     rows = rows.withColumn("outer", F.col("component") != F.col("top"))
-    columns = ["band", "index", "node", "component", "n_shingles", "sig", "parity", "outer"]
+    columns = ["band", "index", "node", "component", "n", "sig", "parity", "outer"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda node, n: F.pmod(F.xxhash64(node), F.col(n)).cast("int")
     members = rows.select(*columns, F.lit(False).alias("outsider"), own("node", "_m").alias("m"), every("_o").alias("o"))
@@ -253,11 +255,11 @@ def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, reps: DataFram
     tested = failed.join(blocks.hint("merge"), "band")
     tested = tested.select("a", "b", "band", own("a", "_o").alias("o"), own("b", "_m").alias("m")).unionByName(tested.select("a", "b", "band", own("b", "_o").alias("o"), own("a", "_m").alias("m")))
     dealt = members.unionByName(outsiders).groupBy("band", "o", "m").cogroup(tested.groupBy("band", "o", "m"))
-    return dealt.applyInArrow(lambda t, f: _block_pairs(t, f, percent, nearest), "a long, b long, band long")
+    return dealt.applyInArrow(lambda t, f: _block_pairs(t, f, percent, nearest), "a long, b long, band long, c_a long, c_b long")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 x intersection >= percent x union: a, b, inter."""
+def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and estimated similarity leave a link possible."""
     floor = floor_of(percent)
 
     @F.pandas_udf("boolean")
@@ -265,15 +267,21 @@ def verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -
         left, right = (np.frombuffer(b"".join(s), "<u2").reshape(-1, REGISTERS) for s in (x, y))
         return pd.Series(estimated((left == right).mean(axis=1), n.to_numpy(), m.to_numpy()) >= floor)
 
-    def side(name: str) -> DataFrame:
-        return reps.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}")).hint("merge")
+    told = pairs
+    for name in ("b", "a"):
+        told = told.join(sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}")).hint("merge"), name)
+    told = told.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return told.where(likely("sig_a", "sig_b", "n_a", "n_b")).select(pairs.columns)
+
 
-    told = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    told = written(told.where(likely("sig_a", "sig_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b"), "likely")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with linked: whether 100 x intersection >= percent x union of their full sets."""
+    told = pairs
     for name in ("b", "a"):
-        told = told.join(sets.select(F.col("node").alias(name), F.col("members").alias(f"set_{name}")).hint("merge"), name)
-    told = told.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("inter"))
-    return told.where(F.col("inter") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("inter")) * percent).select("a", "b", "inter")
+        told = told.join(sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("members").alias(f"set_{name}")).hint("merge"), name)
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    told = told.select(*pairs.columns, both.alias("_i"), (F.col("n_a") + F.col("n_b")).alias("_n"))
+    return told.select(*pairs.columns, (F.col("_i") * 100 >= (F.col("_n") - F.col("_i")) * percent).alias("linked"))
 
 
 def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -> DataFrame:
@@ -286,48 +294,41 @@ def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -
     bands = reps.select("node", F.posexplode(keys).alias("index", "band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
     members = written(bands.join(shared.hint("merge"), "band"), "members")
-    pairs = members.where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    pairs = written(pairs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")), "pairs")
+    # one shuffle by node counts the buckets with every hub and picks the hub with most; a node may be its own alone
+    counts = members.repartition("node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max_by("hub", F.when(F.col("node") != F.col("hub"), F.struct("n", "hub")))
+    met = written(counts.groupBy("node").agg(best.alias("hub")), "met")
 
-    met = written(members.select("node").distinct(), "met")
-    wanted = reps.select("node", "fp", "named").join(met.hint("merge"), "node")
-    texts = rows.where("doc_id is not null").join(wanted.where("named is not null").select(F.col("named").alias("doc_id"), "node", "fp").hint("merge"), "doc_id")
+    wanted = reps.select("node", "fp", "sig", "named").join(met.select("node").hint("merge"), "node")
+    texts = rows.where("doc_id is not null").join(wanted.where("named is not null").select(F.col("named").alias("doc_id"), "node", "fp", "sig").hint("merge"), "doc_id")
     sets = full_sets(texts.dropDuplicates(["doc_id", "fp", "text"]), shingle)
     if not wanted.where("named is null").isEmpty():
         lone = rows.where("doc_id is null").select("text").distinct()
         own = lone.withColumn("doc_id", F.xxhash64("text"))  # joins digests to texts, full_sets drops what differs
-        own = own.join(sketches(own, shingle).select("doc_id", "fp").hint("merge"), "doc_id").join(wanted.where("named is null").select("node", "fp").hint("merge"), "fp")
+        own = own.join(sketches(own, shingle).select("doc_id", "fp").hint("merge"), "doc_id").join(wanted.where("named is null").select("node", "fp", "sig").hint("merge"), "fp")
         sets = sets.unionByName(full_sets(own.dropDuplicates(["node"]), shingle))
     sets = written(sets, "sets")
 
     # every node has one link at most, to a smaller node: pointers
-    first = verified(pairs, reps, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("component")).distinct()
-    labels = rooted(written(met.join(first.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels"))
-    found = None
-    live = members.select("band", "index", "node")
-    failed, nearest = None, NEAREST
+    pairs = written(likely_pairs(met.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "likely")
+    first = verified(pairs, sets, percent).where("linked").select(F.col("b").alias("node"), F.col("a").alias("component")).distinct()
+    labels = rooted(written(met.select("node").join(first.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels"))
+    live, failed, nearest = members.select("band", "index", "node"), None, NEAREST
     while True:
-        if found is not None and not found.isEmpty():
-            joined = found
-            for side in ("a", "b"):
-                joined = joined.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")).hint("merge"), side)
-            merged = components(joined.where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-            labels = written(labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")).hint("merge"), "component", "left").select("node", F.coalesce("_c", "component").alias("component")), "labels")
-        labelled = live.join(labels.hint("merge"), "node").select("band", "index", "node", "component")
+        labelled = written(live.join(labels.hint("merge"), "node").select("band", "index", "node", "component"), "labelled")
         groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
         sizes = groups.groupBy("band").agg(F.max(F.struct("size", "component")).alias("_top"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         sizes = written(sizes.select("band", F.col("_top.component").alias("top"), F.col("_top.size").alias("top_n"), "n"), "open")
-        if sizes.isEmpty():
-            break
         known = failed if failed is not None else sizes.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "band").limit(0)
-        more = written(_across(labelled, sizes, known, reps, sets, percent, nearest), "pairs")
+        more = written(_across(labelled, sizes, known, sets, percent, nearest), "pairs")
         if more.isEmpty():
             break
-        found = written(verified(more.select("a", "b"), reps, sets, percent).select("a", "b"), "found")
-        lost = more.join(found.hint("merge"), ["a", "b"], "left_anti").select("a", "b", "band")
-        failed = written(lost if failed is None else failed.unionByName(lost), "failed")
-        nearest *= MORE
-        live = written(live.join(more.select("band").distinct().hint("merge"), "band", "left_semi"), "live")
+        tested = written(verified(more, sets, percent), "tested")
+        merged = components(tested.where("linked").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        labels = written(labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")).hint("merge"), "component", "left").select("node", F.coalesce("_c", "component").alias("component")), "labels")
+        lost = tested.where("not linked").select("a", "b", "band")
+        failed, nearest = lost if failed is None else failed.unionByName(lost), nearest * MORE
+        live = labelled.join(more.select("band").distinct().hint("merge"), "band", "left_semi").select("band", "index", "node")
 
     grouped = reps.select("fp", "node", "named").join(labels.hint("merge"), "node", "left").select("fp", "named", F.coalesce("component", "node").alias("component"))
     names = grouped.groupBy("component").agg(F.min("named").alias("component_id"))
