@@ -7,10 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from wayspan.plans import access, reviews, surfaces
+from wayspan.plans import access, candidates, feeds, reviews, surfaces, zonal
 
-ALL = {**access.QUERIES, **surfaces.QUERIES, **reviews.QUERIES}
-SQL = {**access.SQL, **surfaces.SQL, **reviews.SQL}
+PLANS = (access, surfaces, reviews, feeds, zonal, candidates)
+ALL = {k: v for plan in PLANS for k, v in plan.QUERIES.items()}
+SQL = {k: v for plan in PLANS for k, v in plan.SQL.items()}
 
 
 def rows(frame):

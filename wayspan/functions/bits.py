@@ -53,7 +53,21 @@ def unpack(value: Column) -> tuple[Column, Column]:
     return F.shiftright(value, 16), value.bitwiseAND(F.lit((1 << 16) - 1))
 
 
+def consistent(count: Column, bits: Column) -> Column:
+    """Whether a packed count is that of its mask, and no bit lies beyond the hours."""
+    return (F.shiftright(bits, HOURS) == 0) & (count == F.bit_count(bits))
+
+
+def packed(flags: dict[int, Column]) -> Column:
+    """A mask from hourly booleans by bit position; null counts as false."""
+    bit = lambda p, c: F.when(c, 1 << p).otherwise(0)
+    out = F.lit(0)
+    for p, c in flags.items():
+        out = out.bitwiseOR(bit(p, c))
+    return out
+
+
 def hour_state(count: Column, bits: Column, position: int, canopy: Column, corrected: bool) -> Column:
-    """no data, shaded or sunlit at one hour."""
-    shaded = hour_set(bits, position) | (canopy if corrected else F.lit(False))
-    return F.when(count == 0, "no data").when(shaded, "shaded").otherwise("sunlit")
+    """no data, shaded or sunlit at one hour. Canopy on the corrected surface is shaded, even without a count."""
+    under = F.coalesce(canopy, F.lit(False)) if corrected else F.lit(False)
+    return F.when(under, "shaded").when(count == 0, "no data").when(hour_set(bits, position), "shaded").otherwise("sunlit")

@@ -71,6 +71,16 @@ def cell(x: Column, y: Column, x0: float, y0: float, size: float) -> tuple[Colum
     return F.floor((F.lit(y0) - y) / size), F.floor((x - F.lit(x0)) / size)
 
 
+def snapped_bounds(left: Column, bottom: Column, right: Column, top: Column, size: float) -> list[Column]:
+    """A box grown outwards to whole cells: left, bottom, right, top."""
+    return [F.floor(left / size) * size, F.floor(bottom / size) * size, F.ceil(right / size) * size, F.ceil(top / size) * size]
+
+
+def block_key(row: Column, col: Column, block: int) -> tuple[Column, Column]:
+    """The block that a cell lies in."""
+    return F.floor(row / block).cast("int"), F.floor(col / block).cast("int")
+
+
 def segment_projection(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column, Column]:
     """Share along the segment (0 to 1) of the nearest place to (px, py), and that place."""
     dx, dy = bx - ax, by - ay

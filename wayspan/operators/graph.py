@@ -3,43 +3,66 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration in the shared checkpoint folder."""
+    """Cuts the lineage of an iteration in the shared checkpoint folder. Where none is set, only a session on one
+    machine gets a folder of its own: executors of a cluster would not see it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
 
 
+def network_tables(lines: DataFrame, line: str, coords: str, length: str, digits: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of polylines with coords (array of lon/x, lat/y structs): nodes are the end points rounded to
+    digits (node, x, y), edges (src, dst, length) the shortest of parallel lines; lines that close on themselves go."""
+    names = [f.name for f in lines.schema[coords].dataType.elementType.fields]
+    end = lambda p: F.struct(*[(F.bround(F.col(f"{p}.{n}"), digits) + 0.0).alias(k) for n, k in zip(names, ("x", "y"), strict=False)])
+    told = lines.where(F.size(coords) >= 2).withColumns({"_a": F.element_at(coords, 1), "_z": F.element_at(coords, -1)})
+    told = told.select(F.col(line).alias("line"), F.col(length).alias("length"), end("_a").alias("a"), end("_z").alias("z"))
+    name = lambda p: F.concat_ws(",", F.col(f"{p}.x").cast("string"), F.col(f"{p}.y").cast("string"))
+    nodes = told.select(F.explode(F.array("a", "z")).alias("p")).distinct().select(name("p").alias("node"), "p.x", "p.y")
+    return nodes, shortest_edges(told.select(name("a").alias("src"), name("z").alias("dst"), "length"))
+
+
 def shortest_edges(edges: DataFrame) -> DataFrame:
     """Undirected (src, dst, length), src < dst, the shortest of parallel edges; loops go."""
     ends = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "length")
     return ends.groupBy("src", "dst").agg(F.min("length").alias("length"))
 
 
-def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 1000) -> DataFrame:
+def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: float, every: int = 8) -> DataFrame:
     """(label, node, dist): distance from the nearest source of the label, offsets included, at most cutoff.
 
     sources: label, node, dist (start offsets). All labels are solved together. Each round only the rows that
-    got better go on over the edges; rows beyond the cutoff never enter a shuffle; one count a round reaches
-    the driver.
+    got better go on over the edges, and rows beyond the cutoff never enter a shuffle. What is known is the base
+    plus the rounds since; these are folded into the base only every few rounds, so a round costs its own rows
+    and a look at the base, not a new base. Rounds go on until nothing gets better; lengths must not be negative.
     """
     both = checkpointed(edges.select("src", "dst", "length").union(edges.select("dst", "src", "length")))
-    known = checkpointed(sources.where(F.col("dist") <= cutoff).groupBy("label", "node").agg(F.min("dist").alias("dist")))
-    frontier = known
-    for _ in range(rounds):
+    best = lambda df: df.groupBy("label", "node").agg(F.min("dist").alias("dist"))
+    base = frontier = checkpointed(best(sources.where(F.col("dist") <= cutoff).select("label", "node", "dist")))
+    later: list[DataFrame] = []
+    while True:
         step = frontier.join(both, frontier["node"] == both["src"]).select("label", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).where(F.col("dist") <= cutoff)
-        step = step.groupBy("label", "node").agg(F.min("dist").alias("new"))
-        frontier = checkpointed(step.join(known, ["label", "node"], "left").where("dist is null or new < dist").select("label", "node", F.col("new").alias("dist")))
+        step = best(step).withColumnRenamed("dist", "new")
+        for known in (base, *later):
+            step = step.join(known.hint("merge"), ["label", "node"], "left").where("dist is null or new < dist").drop("dist")
+        frontier = checkpointed(step.select("label", "node", F.col("new").alias("dist")))
         if frontier.isEmpty():
             break
-        known = checkpointed(known.unionByName(frontier).groupBy("label", "node").agg(F.min("dist").alias("dist")))
-    return known
+        later.append(frontier)
+        if len(later) == every:
+            base, later = checkpointed(best(reduce(DataFrame.union, later, base))), []
+    return best(reduce(DataFrame.union, later, base))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayspan.operators.graph import checkpointed
+
 
 def activity(df: DataFrame, by: list[str], trip: str, route: str, stop: str, snapshot: str | None = None) -> DataFrame:
     """Distinct trips, routes and stops, and rows; over snapshots a trip counts in each of them."""
@@ -28,26 +30,32 @@ def group_centroids(df: DataFrame, key: str, x: str, y: str, least: int) -> Data
     return df.groupBy(key).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def singletons(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key no other row has."""
+def first_filled(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+    """For each group and column the first value in order that isn't blank; null if none is."""
+    filled = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    return df.groupBy(*by).agg(*[F.min_by(F.col(c), F.when(filled(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def singletons(df: DataFrame, key: str, species: bool = False) -> DataFrame:
+    """Rows whose key no other row has; species leaves keys of one word (a genus alone) out."""
     once = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(key)
-    return df.join(once, key, "left_semi")
+    return df.join(once.where(F.contains(key, F.lit(" "))) if species else once, key, "left_semi")
 
 
 def ranked_keys(df: DataFrame, key: str, position: str) -> DataFrame:
-    """key, n, index: keys by descending count, first seen first. The window runs over the aggregated keys."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("_seen"))
-    return counts.withColumn("index", F.row_number().over(Window.orderBy(F.col("n").desc(), "_seen")) - 1).drop("_seen")
+    """key, n, index: keys by descending count, first seen first. Keys are numbered in sorted ranges."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("_seen")).withColumn("_less", -F.col("n"))
+    return numbered(counts, ["_less", "_seen"], "index").select(key, "n", "index")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """Row numbers from 0 in a total order without one task for all rows: ranges are sorted apart, and the sizes
-    of the ranges before (a row a partition) are added."""
+    """Row numbers from 0 in a total order without one task for all rows: ranges are sorted apart and written, and
+    the sizes of the ranges before (a row a partition) are added."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    within = checkpointed(placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = within.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return within.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")  # a row a partition
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -55,10 +63,13 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, nam
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def stability(ranks: DataFrame, by: list[str], rank: str, cut: int = 20) -> DataFrame:
-    """robust, sensitive or fragile by how many applicable scenarios rank a candidate within the cut."""
-    counted = ranks.groupBy(*by).agg(F.count_if(F.col(rank) <= cut).alias("within"), F.count(rank).alias("applicable"))
-    return counted.withColumn("stability", F.when(F.col("within") >= 5, "robust").when(F.col("within") >= 3, "sensitive").otherwise("fragile"))
+def stability(ranks: DataFrame, by: list[str], rank: str, primary: str, cut: int = 20) -> DataFrame:
+    """How steadily a candidate ranks: "not prioritized" unless its primary row ranks within the cut; else by how
+    many rows (the primary one too) do: robust from five, mostly robust from three, or sensitive. Rows of scenarios
+    that don't apply have no rank."""
+    counted = ranks.groupBy(*by).agg(F.count_if(F.col(rank) <= cut).alias("within"), F.count(rank).alias("applicable"), F.min(F.when(F.col(primary), F.col(rank))).alias("_first"))
+    kind = F.when(F.coalesce(F.col("_first") > cut, F.lit(True)), "not prioritized").when(F.col("within") >= 5, "robust").when(F.col("within") >= 3, "mostly robust").otherwise("sensitive")
+    return counted.withColumn("stability", kind).drop("_first")
 
 
 def histogram(df: DataFrame, zone: str, value: str, keep: Column) -> DataFrame:
@@ -70,11 +81,32 @@ def histogram_summary(hist: DataFrame, zone: str, value: str) -> DataFrame:
     return hist.groupBy(zone).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.percentile(value, F.lit(0.5), F.col("n")).alias("median"), F.sum("n").alias("pixels"))
 
 
-def shortage_share(zones: DataFrame, by: list[str], median: str, length: str, below: float) -> DataFrame:
-    """Length-weighted share of zones under a threshold; zones without a median count on neither side."""
+def region_means(hist: DataFrame, zones: DataFrame, zone: str, value: str, flag: str) -> DataFrame:
+    """(region, mean, pixels) from zone histograms: inside and outside the flagged zones, and all of them. Means
+    come from the sums of the histograms, so zones weigh by their pixels."""
+    told = hist.join(zones.select(zone, flag), zone).withColumn("_r", F.explode(F.array(F.when(F.col(flag), "inside").otherwise("outside"), F.lit("all"))))
+    return told.groupBy(F.col("_r").alias("region")).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("pixels"))
+
+
+def extremes(zones: DataFrame, key: str, value: str, k: int, eligible: Column | None = None) -> DataFrame:
+    """(key, value, side, place): the k highest and lowest eligible zones; null values never win, ties go to the
+    smaller key. k rows a side are ranked."""
+    told = zones.where(F.col(value).isNotNull() & (F.lit(True) if eligible is None else eligible)).select(key, value)
+    out = None
+    for side, order in (("highest", [F.col(value).desc(), F.col(key)]), ("lowest", [F.col(value), F.col(key)])):
+        part = told.orderBy(*order).limit(k).withColumns({"side": F.lit(side), "place": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def shortage_share(zones: DataFrame, by: list[str], median: str, length: str, below: float, holds: float = 25.0) -> DataFrame:
+    """(by, poor_km, total_km, share_percent, shortage_holds): length-weighted share of zones under a threshold, and
+    whether it reaches `holds` percent. Zones without a median count on neither side; no length at all is 0 percent."""
     known = F.col(median).isNotNull()
-    short = F.sum(F.when(known & (F.col(median) < below), F.col(length)))
-    return zones.groupBy(*by).agg((F.coalesce(short, F.lit(0)) / F.nullif(F.sum(F.when(known, F.col(length))), F.lit(0))).alias("share"))
+    km = lambda c: F.coalesce(F.sum(F.when(c, F.col(length))), F.lit(0.0)) / 1000
+    told = zones.groupBy(*by).agg(km(known & (F.col(median) < below)).alias("poor_km"), km(known).alias("total_km"))
+    share = F.when(F.col("total_km") > 0, 100 * F.col("poor_km") / F.col("total_km")).otherwise(0.0)
+    return told.withColumn("share_percent", share).withColumn("shortage_holds", F.col("share_percent") >= holds)
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, limit: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,11 @@ def hour_shares(pixels: DataFrame, bits: str, ground: Column, hours: int = HOURS
     return once.selectExpr("n", f"stack({hours}, {stacked}) as (hour, shaded)").select("hour", "shaded", F.col("n").alias("ground_pixels"), (F.col("shaded") / F.nullif("n", F.lit(0))).alias("share"))
 
 
-def zone_profiles(pixels: DataFrame, zone: str, surfaces: dict[str, str], ground: Column, hours: int = HOURS) -> DataFrame:
+def zone_profiles(pixels: DataFrame, zone: str, surfaces: dict[str, str], ground: Column, hours: int = HOURS, digits: int = 4) -> DataFrame:
     """(zone, pixels, and for each surface an array of hourly shares) on ground pixels."""
     sums = [F.sum(F.getbit(F.col(b), F.lit(h)).cast("long")).alias(f"{s}_{h}") for s, b in surfaces.items() for h in range(hours)]
     out = pixels.where(ground).groupBy(zone).agg(F.count(F.lit(1)).alias("pixels"), *sums)
-    return out.select(zone, "pixels", *[F.array(*[F.bround(F.col(f"{s}_{h}") / F.col("pixels"), 4) for h in range(hours)]).alias(s) for s in surfaces])
+    return out.select(zone, "pixels", *[F.array(*[F.bround(F.col(f"{s}_{h}") / F.col("pixels"), digits) for h in range(hours)]).alias(s) for s in surfaces])
 
 
 def swing(pixels: DataFrame, block: str, bits: str, early: int, late: int, ground: Column, least: int) -> DataFrame:
@@ -98,10 +100,32 @@ def tiles_for_box(boxes: DataFrame, key: str, zooms: list[int], tile_x0: dict[in
     return boxes.select(key, F.explode(counts).alias("t")).select(key, "t.*")
 
 
-def density(points: DataFrame, x: str, y: str, size: float, weight: Column, kernel: dict[tuple[int, int], float]) -> DataFrame:
-    """(ix, iy, energy, tone): a weighted kernel splatted on the cells around each point."""
+def gaussian_kernel(radius: int, sigma: float, least: float = 0.02) -> dict[tuple[int, int], float]:
+    """Weights of the cells around a point, 1 at its own; those below the least are left out."""
+    steps = range(-radius, radius + 1)
+    told = {(dx, dy): math.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma)) for dx in steps for dy in steps}
+    return {k: w for k, w in told.items() if w >= least}
+
+
+def density(points: DataFrame, x: str, y: str, size: float, weight: Column, kernel: dict[tuple[int, int], float], channels: dict[str, Column] | None = None, gain: float = 1.0) -> DataFrame:
+    """(ix, iy, energy, tone, channels...): a weighted kernel splatted on the cells around each point; the tone is
+    1 - exp(-gain x energy), and a channel (a number of each point, e.g. linear light) its mean by energy, 0 to 1."""
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k).alias("k")) for (dx, dy), k in kernel.items()])
-    spread = points.withColumn("_w", weight).withColumn("_o", F.explode(offsets))
+    named = channels or {}
+    spread = points.withColumns({"_w": weight} | {f"_ch_{n}": c for n, c in named.items()}).withColumn("_o", F.explode(offsets))
     cell = lambda c, d: (F.floor(F.col(c) / size) + F.col(f"_o.{d}")).cast("long")
-    out = spread.groupBy(cell(x, "dx").alias("ix"), cell(y, "dy").alias("iy")).agg(F.sum(F.col("_w") * F.col("_o.k")).alias("energy"))
-    return out.withColumn("tone", 1 - F.exp(-F.col("energy")))
+    power = F.col("_w") * F.col("_o.k")
+    out = spread.groupBy(cell(x, "dx").alias("ix"), cell(y, "dy").alias("iy")).agg(F.sum(power).alias("energy"), *[F.sum(power * F.col(f"_ch_{n}")).alias(n) for n in named])
+    mean = {n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(n) / F.greatest(F.col("energy"), F.lit(1e-6)))) for n in named}
+    return out.withColumns({"tone": 1 - F.exp(-gain * F.col("energy"))} | mean)
+
+
+def darkest_hour(shares: DataFrame) -> DataFrame:
+    """The row (hour, share, ...) with the smallest share, the earlier hour on ties; no row from none."""
+    return shares.where("share is not null").orderBy("share", "hour").limit(1)
+
+
+def share_change(shares: DataFrame, stored: DataFrame) -> DataFrame:
+    """(hour, share, stored_hour, stored_share, change) of a run of one date beside another's stored minimum (one row)."""
+    least = darkest_hour(stored).select(F.col("hour").alias("stored_hour"), F.col("share").alias("stored_share"))
+    return shares.select("hour", "share").crossJoin(F.broadcast(least)).withColumn("change", F.col("share") - F.col("stored_share"))  # one row

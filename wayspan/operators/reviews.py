@@ -21,14 +21,30 @@ def nearest_by_category(pairs: DataFrame, by: list[str], categories: dict[str, C
     return out.select(*by, *[F.col(f"{n}.p").alias(f"{n}_place") for n in categories], *[F.col(f"{n}.d").alias(f"{n}_distance") for n in categories])
 
 
-def gap_flags(nearest: DataFrame, limit: float, open_: str, closed: str, unknown: str, inaccessible: str) -> DataFrame:
-    """Flags that may hold together: uncovered, closed nearby, unknown nearby, inaccessible nearby, no place."""
-    near = lambda c: F.coalesce(F.col(f"{c}_distance") <= limit, F.lit(False))
-    gap = ~near(open_)
-    return nearest.withColumns({
-        "uncovered": gap, "closed_nearby": gap & near(closed), "unknown_nearby": gap & near(unknown), "inaccessible_nearby": gap & near(inaccessible),
-        "no_place": gap & ~near(closed) & ~near(unknown) & ~near(inaccessible),
-    })
+# The categories of evidence that the flags are read from.
+EVIDENCE = ("documented", "open", "scheduled_closed", "seasonal_closed", "temporary_closed", "construction_closed", "unknown_hours", "open_accessible", "open_inaccessible", "open_unknown_accessibility")
+GAPS = ("geographic_gap", "scheduled_time_gap", "seasonal_gap", "temporary_service_gap", "accessibility_gap", "information_gap")
+
+
+def gap_flags(nearest: DataFrame, limit: float) -> DataFrame:
+    """nearest (a distance column for each category of EVIDENCE, e.g. from nearest_by_category) with has_<category>
+    and the flags GAPS, which may hold together. A category is present if its nearest place lies within the limit."""
+    has = {c: F.coalesce(F.col(f"{c}_distance") <= limit, F.lit(False)) for c in EVIDENCE}
+    closed = ~has["open"]
+    flags = (
+        ~has["documented"], closed & has["scheduled_closed"], closed & has["seasonal_closed"], closed & (has["temporary_closed"] | has["construction_closed"]),
+        has["open"] & has["open_inaccessible"] & ~has["open_accessible"],
+        (closed & has["unknown_hours"]) | (has["open"] & ~has["open_accessible"] & has["open_unknown_accessibility"]),
+    )
+    return nearest.withColumns({f"has_{c}": v for c, v in has.items()} | dict(zip(GAPS, flags, strict=True)))
+
+
+def evidence_categories(state: Column, accessibility: Column) -> dict[str, Column]:
+    """The condition of each category of EVIDENCE on a place's effective state and accessibility."""
+    open_ = state.isin("open", "potential_open")
+    plain = {c: state == c for c in ("scheduled_closed", "seasonal_closed", "temporary_closed", "construction_closed", "unknown_hours")}
+    told = {"documented": F.lit(True), "open": open_, **plain, "open_accessible": open_ & (accessibility == "accessible"), "open_inaccessible": open_ & (accessibility == "inaccessible"), "open_unknown_accessibility": open_ & (accessibility == "unknown")}
+    return {c: told[c] for c in EVIDENCE}
 
 
 def state_maps(states: DataFrame, key: str, moment: str, values: list[str]) -> DataFrame:
@@ -68,11 +84,21 @@ def correction_report(pixels: DataFrame, canopy: Column, before: str, after: str
 
 def state_matrix(cells: DataFrame, keys: list[str], dims: DataFrame, key: str) -> DataFrame:
     """(keys, results, first): number of active cells with a gain and the smallest id, for every control state of
-    dims (a small table), empty ones too."""
+    dims, empty ones too."""
     told = cells.where("active and gain > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("results"), F.min(key).alias("first"))
-    return F.broadcast(dims.limit(10_000)).join(told, keys, "left").withColumn("results", F.coalesce("results", F.lit(0)))
+    return dims.join(told.hint("merge"), keys, "left").withColumn("results", F.coalesce("results", F.lit(0)))
+
+
+def disclosure(condition: Column) -> Column:
+    """(condition, requires_fare, label) to show with a place; null where the condition isn't known."""
+    told = lambda fare, label: F.struct(condition.alias("condition"), F.lit(fare).alias("requires_fare"), F.lit(label).alias("label"))
+    return F.when(condition == "fare_paid", told(True, "Fare-paid area, valid fare required")).when(condition == "unrestricted", told(False, "No fare required"))
 
 
-def disclosure(access: Column, fare: Column) -> Column:
-    """Text to show with a place: whether a fare is needed and whether access is known."""
-    return F.concat_ws("; ", F.when(fare, "behind a fare gate"), F.when(access == "unknown", "access not known").when(access == "inaccessible", "not accessible"))
+def default_results(features: DataFrame, cells: str, action: str, moment: str, access: str, walk: int) -> DataFrame:
+    """The headline list: audited, material features of an action whose cell for the control state is active and
+    gains stops, events or trips, by rank. features: action, audit_status, material_gain, primary_rank, cells."""
+    same = lambda c: (c["time"] == moment) & (c["access"] == access) & (c["walk"] == walk)
+    told = features.where((F.col("action") == action) & (F.col("audit_status") == "valid") & F.col("material_gain")).withColumn("cell", F.get(F.filter(cells, same), F.lit(0)))
+    gains = (F.col("cell.activeStops") > 0) | (F.col("cell.events") > 0) | (F.col("cell.uniqueTrips") > 0)
+    return told.where(F.col("cell.active") & gains).orderBy("primary_rank")

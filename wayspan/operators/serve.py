@@ -7,30 +7,58 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayspan.operators.sizes import small
+
 
 def contains_all(text: Column, query: Column) -> Column:
     """Every space-separated token of the query is in the text; both are keys already. An empty query matches."""
     return F.forall(F.filter(F.split(query, r"\s+"), lambda t: t != ""), lambda t: F.contains(text, t))
 
 
+def _grams(text: Column, length: int) -> Column:
+    """Distinct substrings of a length; the empty one for length 0."""
+    if not length:
+        return F.array(F.lit(""))
+    return F.when(F.length(text) >= length, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - length + 1), lambda i: F.substr(text, i, F.lit(length))))).otherwise(F.array().cast("array<string>"))
+
+
 def search(records: DataFrame, queries: DataFrame, text: Column, order: str, limit: int) -> DataFrame:
-    """(query, record columns, rank): the first `limit` records for each row of a small table of queries; records
-    that begin with the query come first, then by text and the order column."""
-    met = records.withColumn("_text", text).join(F.broadcast(queries.select("query").distinct().limit(10_000)), contains_all(F.col("_text"), F.col("query")))
+    """(query, record columns, rank): the first `limit` records for each row of a table of queries (text keys);
+    records that begin with the query come first, then by text and the order column.
+
+    A query's longest token stands for it by its first three characters (fewer if it is shorter): records meet
+    only the queries whose characters they hold, and all tokens are tested after that.
+    """
+    tokens = F.filter(F.split("query", r"\s+"), lambda t: t != "")
+    longest = F.coalesce(F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"], F.lit(""))
+    asked = queries.select("query").distinct().withColumn("_gram", F.substring(longest, 1, 3))
+    lengths = [r[0] for r in asked.select(F.length("_gram")).distinct().collect()]  # 0 to 3
+    spread = records.withColumn("_text", text).withColumn("_gram", F.explode(F.flatten(F.array(*[_grams(F.col("_text"), n) for n in lengths] or [F.array(F.lit(""))]))))
+    met = spread.join(small(asked), "_gram").where(contains_all(F.col("_text"), F.col("query"))).drop("_gram")
     best = Window.partitionBy("query").orderBy(F.startswith("_text", "query").desc(), "_text", order)
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("_text")
 
 
-def open_at(places: DataFrame, states: str, moment: Column, access: Column, wanted: Column) -> DataFrame:
-    """Places whose state map says open at the moment, under an access mode."""
-    return places.where((F.try_element_at(F.col(states), moment) == "open") & ((wanted == "any") | (access == wanted)))
+def kept_stops(records: DataFrame, query: Column, name: Column) -> DataFrame:
+    """Records whose search key holds every token of the query; their order column stays, so the published order
+    does. An empty query keeps all. Both texts are search keys."""
+    keyed = records.withColumns({"_name": name, "_query": query})
+    return keyed.where(contains_all(F.col("_name"), F.col("_query"))).drop("_name", "_query")
+
+
+def open_at(places: DataFrame, states: str, moment: Column, condition: Column, mode: Column) -> DataFrame:
+    """Places observed open at the moment, by access condition under an access mode (public, rider)."""
+    allowed = (condition == "unrestricted") | ((mode == "rider") & (condition == "fare_paid"))
+    return places.where((F.try_element_at(F.col(states), moment)["observed"] == "open") & mode.isin("public", "rider") & allowed)
 
 
-def one_matching_cell(candidates: DataFrame, cells: str, moment: str, access: str, walk: int) -> DataFrame:
-    """Candidates with exactly one query cell for the control state, which is active with a positive gain."""
-    same = lambda c: (c["moment"] == moment) & (c["access"] == access) & (c["walk"] == walk)
-    told = candidates.withColumn("_m", F.filter(cells, same)).where("size(_m) = 1").withColumn("cell", F.get("_m", F.lit(0)))
-    return told.where("cell.active and cell.gain > 0").drop("_m")
+def one_matching_cell(candidates: DataFrame, cells: str, action: str, moment: str, access: str, walk: int, gains: tuple[str, ...] = ("gain",)) -> DataFrame:
+    """Material candidates of an action with exactly one query cell for the control state, which is active with a
+    positive gain in one of its numbers. candidates: action, material_gain, cells (time, access, walk, active, ...)."""
+    same = lambda c: (c["time"] == moment) & (c["access"] == access) & (c["walk"] == walk)
+    told = candidates.where((F.col("action") == action) & F.col("material_gain")).withColumn("_m", F.filter(cells, same)).where("size(_m) = 1").withColumn("cell", F.get("_m", F.lit(0)))
+    some = reduce(Column.__or__, [F.coalesce(F.col(f"cell.{g}") > 0, F.lit(False)) for g in gains])
+    return told.where(F.col("cell.active") & some).drop("_m")
 
 
 def combined(*predicates: Column | None) -> Column:

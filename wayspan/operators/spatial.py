@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayspan.functions.geo import distance, segment_projection
+from wayspan.operators.graph import checkpointed
 
 
 def with_cell(df: DataFrame, x: str, y: str, size: float, names: tuple[str, str] = ("_cx", "_cy")) -> DataFrame:
@@ -40,23 +41,28 @@ def same_key_pairs(df: DataFrame, key: str, group: str, x: str, y: str, limit: f
     return met.where(F.col("metres") <= limit).select("a", "b", F.col("_g").alias(group), "metres")
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, point: str, node: str, x: str, y: str, size: float, rounds: int = 12) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, point: str, node: str, x: str, y: str, size: float) -> DataFrame:
     """(point, node, metres): the nearest node of each point, the smaller id on ties.
 
-    A found node is final once its distance is at most the searched ring's inner reach; other points go on
-    with cells twice as large. Points further from every node than the last ring reaches get no row.
+    A found node is final once its distance is at most the searched ring's inner reach; other points go on, written
+    first, with cells twice as large, until each point is final or a ring has covered all nodes.
     """
     waiting, done = points.select(F.col(point), F.col(x).alias("px"), F.col(y).alias("py")), None
-    for _ in range(rounds):
-        near = with_neighbour_cells(waiting, "px", "py", size).hint("merge").join(with_cell(nodes.select(F.col(node), F.col(x).alias("nx"), F.col(y).alias("ny")), "nx", "ny", size), ["_cx", "_cy"])
+    own = nodes.select(F.col(node), F.col(x).alias("nx"), F.col(y).alias("ny"))
+    box = own.agg(F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny")).first()
+    if box[0] is None:
+        return waiting.limit(0).join(own.select(node).limit(0), F.lit(True)).select(point, node, F.lit(0.0).alias("metres"))
+    far = F.greatest(F.abs(F.col("px") - box[0]), F.abs(F.col("px") - box[1]), F.abs(F.col("py") - box[2]), F.abs(F.col("py") - box[3]))
+    waiting = checkpointed(waiting.where("px is not null and py is not null"))
+    while True:
+        near = with_neighbour_cells(waiting, "px", "py", size).join(with_cell(own, "nx", "ny", size).hint("merge"), ["_cx", "_cy"])
         gap = distance(F.col("px"), F.col("py"), F.col("nx"), F.col("ny"))
-        best = near.groupBy(point).agg(F.min(F.struct(gap.alias("metres"), F.col(node).alias("node"))).alias("m")).where(F.col("m.metres") <= size)
-        found = best.select(point, F.col("m.node").alias(node), F.col("m.metres").alias("metres"))
+        best = near.groupBy(point, "px", "py").agg(F.min(F.struct(gap.alias("metres"), F.col(node).alias("node"))).alias("m"))
+        found = checkpointed(best.where((F.col("m.metres") <= size) | (far <= size)).select(point, F.col("m.node").alias(node), F.col("m.metres").alias("metres")))
         done = found if done is None else done.unionByName(found)
-        waiting, size = waiting.join(found.select(point), point, "left_anti"), size * 2
+        waiting, size = checkpointed(waiting.join(found.select(point).hint("merge"), point, "left_anti")), size * 2
         if waiting.isEmpty():
-            break
-    return done
+            return done
 
 
 def _segment_cells(segments: DataFrame, size: float, reach: float) -> DataFrame:
@@ -88,19 +94,36 @@ def split_segments(segments: DataFrame, cuts: DataFrame, segment: str) -> DataFr
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float) -> DataFrame:
-    """(point, polygon) for every polygon that covers a point, boundary included.
+    """(point, polygon) for every polygon that covers a point, boundary included. Points have x, y, edges polygon, ax, ay, bx, by.
 
-    edges: polygon, ax, ay, bx, by. Points meet the edges of the rows of cells that they lie in: the number of
-    crossings of the ray to the right is odd inside.
+    Every polygon's box is covered by cells. In a cell without edges all points lie on the same side, which the
+    crossings of the ray from the cell's centre decide once; only in cells that an edge touches a point meets
+    edges, and then those of its row of cells to the right, as the ray does.
     """
-    rows = edges.withColumn("_cy", F.explode(F.sequence(F.floor(F.least("ay", "by") / size).cast("long"), F.floor(F.greatest("ay", "by") / size).cast("long"))))
-    met = points.select(point, "x", "y").withColumn("_cy", F.floor(F.col("y") / size).cast("long")).join(rows.hint("merge"), "_cy")
-    at = F.col("ax") + (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
-    crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < F.try_add(F.lit(0.0), F.when(F.col("ay") != F.col("by"), at)))
-    side = (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax"))
-    on = (side == 0) & F.col("x").between(F.least("ax", "bx"), F.greatest("ax", "bx")) & F.col("y").between(F.least("ay", "by"), F.greatest("ay", "by"))
-    told = met.groupBy(point, polygon).agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("c"), F.bool_or(on).alias("on"))
-    return told.where("on or c % 2 = 1").select(point, polygon)
+    low = lambda a, b: F.floor(F.least(a, b) / size).cast("long")
+    high = lambda a, b: F.floor(F.greatest(a, b) / size).cast("long")
+    rows = edges.where("ax is not null").withColumn("_cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
+    rim = _segment_cells(edges, size, 0.0).select(polygon, "_cx", "_cy").distinct()
+    box = edges.groupBy(polygon).agg(low(F.min(F.least("ax", "bx")), F.min(F.least("ax", "bx"))).alias("_x0"), high(F.max(F.greatest("ax", "bx")), F.max(F.greatest("ax", "bx"))).alias("_x1"), low(F.min(F.least("ay", "by")), F.min(F.least("ay", "by"))).alias("_y0"), high(F.max(F.greatest("ay", "by")), F.max(F.greatest("ay", "by"))).alias("_y1"))
+    placed = with_cell(points.select(point, "x", "y"), "x", "y", size)
+    # cells of the box that hold points, with their centre for those without an edge
+    spread = box.withColumn("_cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).select(polygon, "_cx", "_cy")
+    cells = spread.join(placed.select("_cx", "_cy").distinct().hint("merge"), ["_cx", "_cy"], "left_semi")
+    cells = cells.join(rim.withColumn("_rim", F.lit(True)).hint("merge"), [polygon, "_cx", "_cy"], "left")
+
+    def covered(df: DataFrame, x: Column, y: Column, keys: list[str]) -> DataFrame:
+        met = df.withColumns({"_x": x, "_y": y}).join(rows.hint("merge"), [polygon, "_cy"])
+        at = F.col("ax") + (F.col("_y") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) * (F.col("bx") - F.col("ax"))
+        crosses = ((F.col("ay") > F.col("_y")) != (F.col("by") > F.col("_y"))) & (F.col("_x") < at)
+        side = (F.col("bx") - F.col("ax")) * (F.col("_y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("_x") - F.col("ax"))
+        on = (side == 0) & F.col("_x").between(F.least("ax", "bx"), F.greatest("ax", "bx")) & F.col("_y").between(F.least("ay", "by"), F.greatest("ay", "by"))
+        told = met.groupBy(*keys, polygon).agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("c"), F.bool_or(on).alias("on"))
+        return told.where("on or c % 2 = 1").select(*keys, polygon)
+
+    inner = covered(cells.where("_rim is null").drop("_rim"), (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size, ["_cx", "_cy"])
+    sure = placed.join(inner.hint("merge"), ["_cx", "_cy"]).select(point, polygon)
+    tested = placed.join(cells.where("_rim").drop("_rim").hint("merge"), ["_cx", "_cy"])
+    return sure.unionByName(covered(tested, F.col("x"), F.col("y"), [point]).select(point, polygon))
 
 
 def ray_obstruction(points: DataFrame, heights: DataFrame, steps: int, d_row: Column, d_col: Column, sun_slope: Column) -> DataFrame:

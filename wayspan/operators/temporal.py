@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayspan.operators.sizes import small
+
 DAY = 1440
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -30,14 +32,15 @@ def active_services(calendar: DataFrame, exceptions: DataFrame, dates: DataFrame
     told = exceptions.join(dates.distinct(), "date", "left_semi")
     added = told.where("exception_type = '1'").select("date", "service_id")
     removed = told.where("exception_type = '2'").select("date", "service_id")
-    return regular.select("date", "service_id").union(added).distinct().join(removed, ["date", "service_id"], "left_anti")
+    return regular.select("date", "service_id").union(added).distinct().join(removed.hint("merge"), ["date", "service_id"], "left_anti")
 
 
 def events_in_windows(events: DataFrame, windows: DataFrame, at: str, half_width: int, circle: int | None = None) -> DataFrame:
     """events joined to every window (window_id, centre) with |at - centre| <= half_width, both ends in.
 
     A range join as an equi join: windows are cut into buckets as wide as they are, so an event meets only the
-    windows of its bucket. circle (e.g. DAY) lets windows wrap around.
+    windows of its bucket. Few windows are broadcast, so events don't move; many are merged, where Spark splits
+    full buckets. circle (e.g. DAY) lets windows wrap around.
     """
     width = 2 * half_width + 1
     starts = windows.select("window_id", "centre", F.explode(F.sequence(F.floor((F.col("centre") - half_width) / width), F.floor((F.col("centre") + half_width) / width))).alias("_bucket"))
@@ -45,7 +48,7 @@ def events_in_windows(events: DataFrame, windows: DataFrame, at: str, half_width
     if circle is not None:
         spread = spread.withColumn("_at", F.explode(F.array(F.col("_at"), F.col("_at") - circle, F.col("_at") + circle)))
     keyed = spread.withColumn("_bucket", F.floor(F.col("_at") / width))
-    met = keyed.join(starts.hint("shuffle_hash"), "_bucket").where(F.abs(F.col("_at") - F.col("centre")) <= half_width)
+    met = keyed.join(small(starts), "_bucket").where(F.abs(F.col("_at") - F.col("centre")) <= half_width)
     return met.drop("_bucket", "_at", "centre")
 
 
@@ -58,67 +61,78 @@ def nearest_in_time(targets: DataFrame, rows: DataFrame, key: str, at: str, targ
 
 # --- weekly hours -------------------------------------------------------------------------------
 
-_DAY_NAMES = {name[:3]: i for i, name in enumerate(WEEKDAYS)}
-_CLOCK = r"(\d{1,2})(?::(\d{2}))?\s*(am|pm|a\.m\.|p\.m\.)"
-_DAY = r"(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*"
-_RULE = rf"^\s*(?:((?:{_DAY}|weekdays|weekends|daily)(?:\s*(?:-|to|,|&|and)\s*(?:{_DAY}|holidays))*)\s*:?)?\s*(.+?)\s*$"
+# Texts that say that the hours are not published.
+UNPUBLISHED = ("", "none", "non-branch row", "centre hours")
+_SHORT = tuple(name[:3] for name in WEEKDAYS)
+_PREFIX = (
+    r"(?i)^(mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?|weekends?)"
+    rf"(?:\s*-\s*({'|'.join(_SHORT)}))?(?:\s*(?:&|and)\s*holidays?)?\s*:?[ ]+(.*)$"
+)
+_NEXT_RULE = rf"(?i)\s*[;,]\s*(?={'|'.join((*_SHORT, 'weekend'))})"
+_CLOCK = r"\s*(\d{1,2})(?::(\d{2}))?\s*([ap])\.?m\.?\s*"
+_INTERVAL = rf"^{_CLOCK}(?:(?<=\s)(?:to|until)\s+|-){_CLOCK}$"
 
 
-def _minute(hour: Column, minute: Column, half: Column) -> Column:
-    h = F.pmod(hour.cast("int"), F.lit(12)) + F.when(half.startswith("p"), 12).otherwise(0)
-    return h * 60 + F.coalesce(F.nullif(minute, F.lit("")).cast("int"), F.lit(0))
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _day_list(text: Column) -> Column:
-    """Weekday numbers (Monday is 0) of a day phrase; ranges wrap around the week; null if a word isn't a day."""
-    names = F.create_map(*[F.lit(x) for kv in _DAY_NAMES.items() for x in kv])
-    parts = F.filter(F.split(text, r"\s*(?:,|&|\band\b)\s*"), lambda p: (p != "") & (p != "holidays"))
+def _minute(hour: Column, minute: Column, half: Column) -> Column:
+    return F.pmod(hour.cast("int"), F.lit(12)) * 60 + F.coalesce(F.nullif(minute, F.lit("")).cast("int"), F.lit(0)) + F.when(half == "p", 720).otherwise(0)
 
-    def span(p: Column) -> Column:
-        ends = F.transform(F.split(p, r"\s*(?:-|\bto\b)\s*"), lambda e: F.try_element_at(names, F.substring(F.trim(e), 1, 3)))
-        first, last = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0)))
-        days = F.transform(F.sequence(F.lit(0), F.pmod(last - first, F.lit(7))), lambda k: F.pmod(first + k, F.lit(7)))
-        return F.when(F.exists(ends, lambda e: e.isNull()), F.array(F.lit(None).cast("int"))).otherwise(days)
 
-    named = F.flatten(F.transform(parts, span))
-    whole = F.sequence(F.lit(0), F.lit(6))
-    return F.when(text.isNull() | (text == "") | (text == "daily"), whole).when(text == "weekdays", F.sequence(F.lit(0), F.lit(4))).when(text == "weekends", F.array(F.lit(5), F.lit(6))).otherwise(named)
+def _days(first: Column, last: Column) -> Column:
+    """Weekday numbers (Monday is 0) from first to last; ranges wrap around the week. Null if they make no sense."""
+    number = lambda c: F.array_position(F.array(*map(F.lit, _SHORT)), F.substring(F.lower(c), 1, 3)).cast("int") - 1
+    a, b = number(first), F.when(last == "", number(first)).otherwise(number(last))
+    span = F.transform(F.sequence(F.lit(0), F.pmod(b - a, F.lit(7))), lambda k: F.pmod(a + k, F.lit(7)))
+    weekend = F.lower(first).startswith("weekend")
+    return F.when(weekend & (last == ""), F.array(F.lit(5), F.lit(6))).when(~weekend & (a >= 0) & (b >= 0), span)
 
 
 def weekly_hours(texts: DataFrame, text: str) -> DataFrame:
     """(text, hours_known, weekday, start_min, end_min) for each distinct text, one row an interval.
 
-    "mon-fri 9am to 5pm; sat & sun 10am-4pm & 6pm-8pm": rules between semicolons, several intervals joined by
-    "&", "to", "until" or "-" between the ends, an end at or before the start belongs to the next day (plus
-    1440), "closed" gives no interval. A text of which any part can't be read is unknown as a whole: one row
-    with hours_known false and no interval. Known texts without any interval are one row of nulls too.
+    "Mon-Fri 9 a.m. to 5 p.m.; Sat & holidays 10am-4pm & 6pm-8pm": rules begin with a day, a range of days or
+    "weekend(s)" and stand between semicolons or commas; a text without a day in front holds for all days.
+    Intervals are joined by "&", with "to", "until" or "-" between the ends; an end at or before the start belongs
+    to the next day (plus 1440); "closed" gives no interval. A text of which any part can't be read is unknown as
+    a whole: one row with hours_known false and no interval. Known texts without any interval are one row of nulls.
     """
-    rule = F.lower(F.trim(F.col("rule")))
-    rules = texts.select(text).distinct().withColumn("rule", F.explode(F.split(F.coalesce(F.col(text), F.lit("")), ";")))
-    cut = rules.withColumn("days", _day_list(F.trim(F.regexp_extract(rule, _RULE, 1)))).withColumn("times", F.trim(F.regexp_extract(rule, _RULE, 2)))
-    spans = F.filter(F.split(F.col("times"), r"\s*&\s*"), lambda s: s != "closed")
-    one = rf"^{_CLOCK}\s*(?:-|to|until)\s*{_CLOCK}$"
-    part = lambda s, k: F.regexp_extract(s, one, k)
+    cut = texts.select(text).distinct().withColumn("value", _stripped(F.coalesce(F.col(text), F.lit(""))))
+    low = F.lower("value")
+    cut = cut.withColumns({"unpublished": low.isin(*UNPUBLISHED) | low.startswith("view "), "dated": F.col("value").rlike(_PREFIX)})
+    rules = cut.withColumn("rule", F.explode(F.when(F.col("dated"), F.split("value", _NEXT_RULE)).otherwise(F.array("value"))))
+    part = lambda k: F.regexp_extract(F.trim("rule"), _PREFIX, k)
+    whole = F.sequence(F.lit(0), F.lit(6))
+    rules = rules.withColumns({"days": F.when(F.col("dated"), F.when(part(1) != "", _days(part(1), part(2)))).otherwise(whole), "times": _stripped(F.when(F.col("dated"), part(3)).otherwise(F.col("value")))})
+    spans = F.when(F.lower("times") == "closed", F.array().cast("array<string>")).otherwise(F.split("times", r"\s*&\s*"))
 
     def interval(s: Column) -> Column:
-        start, end = _minute(F.nullif(part(s, 1), F.lit("")), part(s, 2), part(s, 3)), _minute(F.nullif(part(s, 4), F.lit("")), part(s, 5), part(s, 6))
-        return F.struct(start.alias("start_min"), F.when(end <= start, end + DAY).otherwise(end).alias("end_min"))
-
-    cut = cut.withColumn("spans", F.transform(spans, interval))
-    good = (F.col("times") != "") & F.forall("spans", lambda s: s["start_min"].isNotNull() & s["end_min"].isNotNull()) & ~F.exists("days", lambda d: d.isNull())
-    known = cut.groupBy(text).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("hours_known"))
-    rows = cut.where(good).select(text, F.explode("days").alias("weekday"), F.col("spans")).select(text, "weekday", F.explode("spans").alias("s"))
-    rows = rows.select(text, "weekday", F.col("s.start_min").cast("int").alias("start_min"), F.col("s.end_min").cast("int").alias("end_min")).distinct()
+        of = lambda k: F.regexp_extract(s, _INTERVAL, k)
+        start, end = _minute(of(1), of(2), of(3)), _minute(of(4), of(5), of(6))
+        told = F.struct(start.alias("start_min"), F.when(end <= start, end + DAY).otherwise(end).alias("end_min"))
+        return F.when(s.rlike(_INTERVAL), told)
+
+    rules = rules.withColumn("spans", F.transform(spans, interval))
+    good = ~F.col("unpublished") & F.col("days").isNotNull() & ~F.exists("spans", lambda s: s.isNull())
+    known = rules.groupBy(text).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("hours_known"))
+    rows = rules.where(good).select(text, F.explode("days").alias("weekday"), F.col("spans")).select(text, "weekday", F.explode("spans").alias("s"))
+    rows = rows.select(text, "weekday", F.col("s.start_min").cast("int").alias("start_min"), F.col("s.end_min").cast("int").alias("end_min"))
     same = (known[text].eqNullSafe(rows[text])) & known["hours_known"]
     return known.join(rows.hint("merge"), same, "left").select(known[text], "hours_known", "weekday", "start_min", "end_min")
 
 
 def hours_text(days: dict[str, tuple[Column, Column]]) -> Column:
-    """Hours per weekday (open and close text) as one weekly text; empty, '-' and equal pairs are closed."""
+    """Hours per weekday (label to opening and closing text) as one weekly text. Missing ends, "closed" and the
+    placeholder pairs are closed; an opening text that ends in "and" goes on in the closing one."""
     parts = []
     for day, (opens, closes) in days.items():
-        shut = F.coalesce((F.trim(opens).isin("", "-", "n/a")) | (F.trim(closes).isin("", "-", "n/a")) | (opens == closes), F.lit(True))
-        parts.append(F.when(shut, F.lit(f"{day} closed")).otherwise(F.concat(F.lit(f"{day} "), F.lower(F.trim(opens)), F.lit(" to "), F.lower(F.trim(closes)))))
+        a, z = (_stripped(F.coalesce(c, F.lit(""))) for c in (opens, closes))
+        low = F.lower(a)
+        shut = (a == "") | (z == "") | (low == "closed") | (F.lower(z) == "closed") | ((low == "permits") & (F.lower(z) == "only"))
+        joined = F.concat(F.lit(f"{day} "), F.regexp_replace(a, r"(?i)\s* and$", ""), F.lit(" & "), z)
+        parts.append(F.when(shut, F.lit(f"{day} Closed")).when(low.endswith(" and"), joined).otherwise(F.concat(F.lit(f"{day} "), a, F.lit(" to "), z)))
     return F.concat_ws("; ", *parts)
 
 
@@ -126,22 +140,58 @@ def availability(places: DataFrame, hours: DataFrame, moments: DataFrame, place:
     """(place, moment_id, state): open, closed, temporarily closed or unknown.
 
     places: place, hours_known, temporarily_closed; hours: place, weekday, start_min, end_min; moments:
-    moment_id, weekday, minute (a small dimension). Intervals that pass midnight carry into the next day.
+    moment_id, weekday, minute (broadcast if few). Intervals that pass midnight carry into the next day.
     """
-    asked = F.broadcast(moments.limit(10_000))  # a dimension of moments, bounded here
+    asked = small(moments)
     own = hours.select(place, F.explode(F.array(F.struct(F.col("weekday").alias("weekday"), F.col("start_min").alias("a"), F.col("end_min").alias("b")), F.struct(F.pmod(F.col("weekday") + 1, F.lit(7)).alias("weekday"), (F.col("start_min") - DAY).alias("a"), (F.col("end_min") - DAY).alias("b")))).alias("i")).select(place, "i.*")
-    inside = own.join(asked, "weekday").where("minute >= a and minute < b").select(place, "moment_id").distinct().withColumn("_open", F.lit(True))
+    inside = own.join(asked, "weekday").where("minute >= a and minute < b and minute < 1440").select(place, "moment_id").distinct().withColumn("_open", F.lit(True))
     grid = places.select(place, "hours_known", "temporarily_closed").crossJoin(asked.select("moment_id"))
     state = F.when(F.col("temporarily_closed"), "temporarily closed").when(~F.col("hours_known"), "unknown").when(F.col("_open"), "open").otherwise("closed")
     return grid.join(inside.hint("merge"), [place, "moment_id"], "left").select(place, "moment_id", state.alias("state"))
 
 
-def scheduled_state(state: Column, closure: Column) -> Column:
-    """State apart from temporary closures: seasonal ones are scheduled closed, other closures unknown."""
-    return F.when(state == "temporarily closed", F.when(closure == "seasonal", "scheduled closed").otherwise("unknown")).when(state == "closed", "scheduled closed").otherwise(state)
+# States of a place by its raw state and closure category, and by its schedule alone.
+CLOSED_STATES = {"seasonal": "seasonal_closed", "construction": "construction_closed", "temporary": "temporary_closed", "none": "temporary_closed"}
+
+
+def state_name(raw: Column, closure: Column) -> Column:
+    """Published state: open, scheduled_closed, unknown_hours, or one of the three kinds of closures. Null for raw
+    states or categories that don't exist."""
+    shut = F.try_element_at(F.create_map(*[F.lit(x) for kv in CLOSED_STATES.items() for x in kv]), closure)
+    return F.when(raw == "open", "open").when(raw == "closed", "scheduled_closed").when(raw == "unknown", "unknown_hours").when(raw == "temporarily closed", shut)
 
 
 def effective_state(observed: Column, scheduled: Column, closure_mode: Column, information_mode: Column) -> Column:
-    """Under a scenario: normal operations undo temporary closures only; optimism makes unknown potential."""
-    now = F.when((closure_mode == "normal") & (observed == "temporarily closed"), scheduled).otherwise(observed)
-    return F.when((information_mode == "optimistic") & (now == "unknown"), "potential").otherwise(now)
+    """Under a scenario: normal operations put the schedule's state (open, closed, unknown) in place of temporary
+    closures only; optimistic information makes unknown hours potentially open."""
+    planned = F.when(scheduled == "open", "open").when(scheduled == "closed", "scheduled_closed").when(scheduled == "unknown", "unknown_hours")
+    now = F.when((closure_mode == "normal_operations") & (observed == "temporary_closed"), planned).otherwise(observed)
+    return F.when((information_mode == "optimistic_information") & (now == "unknown_hours"), "potential_open").otherwise(now)
+
+
+def eligible(places: DataFrame, mode: Column, condition: str = "access_condition") -> DataFrame:
+    """Places that an access mode permits: unrestricted ones to the public, all to riders. Other modes permit none."""
+    return places.where(((mode == "public") & (F.col(condition) == "unrestricted")) | (mode == "rider_conditional"))
+
+
+def facility_states(places: DataFrame, snapshots: DataFrame, observed: DataFrame, place: str = "place_id") -> DataFrame:
+    """(place, snapshot_id, scheduled, observed) for every place and snapshot (few: broadcast): the raw scheduled
+    state from the schedule alone, the named state from the observed row where there is one, else from the schedule.
+
+    places: place, closure_category; snapshots: snapshot_id; observed: place, snapshot_id, scheduled, raw (null
+    raw: derived, as weekend snapshots are).
+    """
+    grid = places.select(place, "closure_category").crossJoin(small(snapshots.select("snapshot_id").distinct()))
+    told = grid.join(observed.select(place, "snapshot_id", "scheduled", "raw").hint("merge"), [place, "snapshot_id"], "left")
+    raw = F.coalesce("raw", "scheduled", F.lit("unknown"))
+    return told.select(place, "snapshot_id", F.coalesce("scheduled", F.lit("unknown")).alias("scheduled"), state_name(raw, F.col("closure_category")).alias("observed"))
+
+
+def chosen_frames(frames: DataFrame, hours: list[int], hour: str = "hour", altitude: str = "altitude", least: float = 0.5) -> DataFrame:
+    """Frames of the asked clock hours in their order, with position (the bit) and casting (the sun is above the
+    least altitude). An hour without a frame is an error that names it."""
+    have = {r[0] for r in frames.where(F.col(hour).isin(*hours)).select(hour).distinct().collect()}  # hours of a day
+    if missing := [h for h in hours if h not in have]:
+        raise ValueError(f"no frame for the hours {missing}")
+    at = F.array_position(F.array(*map(F.lit, hours)), F.col(hour)).cast("int") - 1
+    return frames.where(F.col(hour).isin(*hours)).withColumns({"position": at, "casting": F.col(altitude) > least})

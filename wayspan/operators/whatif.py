@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspan.operators.graph import checkpointed
+from wayspan.operators.sizes import small
 
 
 def footprint(distances: DataFrame, source_offsets: DataFrame, stops: DataFrame, active: DataFrame, limit: float) -> DataFrame:
@@ -42,14 +43,20 @@ def always(states: DataFrame, place: str, state: str, wanted: str) -> DataFrame:
 def greedy_distinct(effects: DataFrame, ranks: DataFrame, share: float = 0.8) -> DataFrame:
     """Candidates kept when taken in rank order and skipped if one that is kept covers `share` of their effects.
 
-    effects: candidate_id, effect; ranks: candidate_id, rank (unique). Only pairs that share an effect are
-    built. Rounds decide all candidates whose earlier rivals are decided, which gives the sequential result;
-    one count a round reaches the driver.
+    effects: candidate_id, effect; ranks: candidate_id, rank (unique). A rival that covers so much of a candidate
+    has one of any n - share x n + 1 of its effects, so only a candidate's rarest effects look for rivals, and
+    overlaps are counted for the pairs found. Rounds decide all candidates whose earlier rivals are decided, which
+    gives the sequential result; one test a round reaches the driver.
     """
-    own = effects.select("candidate_id", "effect").distinct().join(ranks, "candidate_id")
+    own = checkpointed(effects.select("candidate_id", "effect").distinct().join(ranks, "candidate_id"))
+    common = own.groupBy("effect").agg(F.count(F.lit(1)).alias("common"))
     sizes = own.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
-    left, right = own.alias("a"), own.alias("b")
-    shared = left.join(right, F.col("a.effect") == F.col("b.effect")).where("b.rank < a.rank").groupBy(F.col("a.candidate_id").alias("candidate_id"), F.col("b.candidate_id").alias("rival")).agg(F.count(F.lit(1)).alias("c"))
+    rarest = own.join(common.hint("merge"), "effect").withColumn("_r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("common", "effect")))
+    heads = rarest.join(sizes.hint("merge"), "candidate_id").where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("candidate_id", "effect", "rank")
+    earlier = own.select(F.col("candidate_id").alias("rival"), "effect", F.col("rank").alias("_rank"))
+    pairs = checkpointed(heads.join(earlier.hint("merge"), "effect").where("_rank < rank").select("candidate_id", "rival").distinct())
+    both = pairs.join(own.select("candidate_id", "effect").hint("merge"), "candidate_id").join(earlier.select("rival", "effect").hint("merge"), ["rival", "effect"])
+    shared = both.groupBy("candidate_id", "rival").agg(F.count(F.lit(1)).alias("c"))
     rivals = checkpointed(shared.join(sizes, "candidate_id").where(F.col("c") >= F.col("n") * share).select("candidate_id", "rival"))
     state = checkpointed(ranks.select("candidate_id", F.lit(None).cast("boolean").alias("kept")))
     while True:
@@ -65,25 +72,39 @@ def material_gain(trips: Column, stops: Column, walk: Column) -> Column:
     return (walk == 400) & (trips >= 10) & (stops >= 3)
 
 
-def release_gate(candidates: DataFrame, robust: Column, material: Column, hours: Column, flagged: Column) -> DataFrame:
-    """One row: passed and the first reason against it."""
-    told = candidates.where(robust).agg(F.count(F.lit(1)).alias("robust"), F.count_if(material).alias("material"), F.count_if(hours).alias("hours"), F.count_if(flagged).alias("flagged"))
-    why = F.when(F.col("robust") < 5, "fewer than five robust").when(F.col("material") < F.col("robust"), "gain not material").when(F.col("hours") < 2, "fewer than two hours changes").when(F.col("flagged") > 0, "integrity flag")
-    return told.select("robust", "material", "hours", "flagged", why.isNull().alias("passed"), why.alias("reason"))
+def release_gate(candidates: DataFrame, robust: Column, valid: Column, material: Column, hours: Column, flagged: Column) -> DataFrame:
+    """One row: counts over the candidates that are robust and audited as valid, whether they pass, and the reason,
+    the first rule that fails."""
+    told = candidates.where(robust & valid).agg(F.count(F.lit(1)).alias("counted"), F.count_if(material).alias("material"), F.count_if(hours).alias("hours"), F.count_if(flagged).alias("flagged"))
+    why = (
+        F.when(F.col("counted") < 5, "fewer than five robust valid candidates").when(F.col("material") < F.col("counted"), "a robust valid candidate is not material")
+        .when(F.col("hours") < 2, "fewer than two robust valid hours extensions").when(F.col("flagged") > 0, "a robust valid candidate has an integrity flag")
+    )
+    return told.select("counted", "material", "hours", "flagged", why.isNull().alias("passed"), F.coalesce(why, F.lit("all product-gate conditions passed")).alias("reason"))
 
 
 def query_cells(candidates: DataFrame, dims: DataFrame, active: DataFrame, metrics: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Metrics of every candidate at every combination of dims (a small table); inactive or empty cells are zero."""
-    grid = candidates.crossJoin(F.broadcast(dims.limit(10_000)))  # a grid of control states, bounded here
-    told = grid.join(active.withColumn("_on", F.lit(True)), keys, "left").join(metrics, keys, "left")
+    """Metrics of every candidate at every combination of dims; inactive or empty cells are zero."""
+    grid = candidates.crossJoin(small(dims))
+    told = grid.join(active.withColumn("_on", F.lit(True)).hint("merge"), keys, "left").join(metrics.hint("merge"), keys, "left")
     zero = [F.when(F.col("_on"), F.coalesce(v, F.lit(0))).otherwise(0).alias(v) for v in values]
     return told.select(*keys, F.coalesce("_on", F.lit(False)).alias("active"), *zero)
 
 
-def fingerprint(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """SHA-256 of a table's content in key order, one row: rows are hashed, then the hashes of each key bucket in
-    order, then those of the buckets. Equal keys go by their hash."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    hashed = df.select(F.col(key).cast("string").alias("k"), row.alias("h")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)))
-    part = hashed.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda s: s["h"]), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256).alias("sha256"), F.sum("n").alias("rows"))
+def fingerprint(df: DataFrame, key: str, fold: int = 10_000) -> DataFrame:
+    """SHA-256 of a table's content, one row: sha256 and rows, whatever the order and partitions of the rows.
+
+    Rows are hashed and equal ones counted; hashes fall into buckets of about `fold` by their first digits, a
+    bucket's sorted hashes make one, and so on with the buckets until one hash is left. No bucket grows with the
+    table.
+    """
+    row = F.sha2(F.concat_ws(" ", F.col(key).cast("string"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})), 256)
+    rows = df.groupBy(row.alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    level = checkpointed(rows.select(F.sha2(F.concat_ws(" ", "h", F.col("c").cast("string")), 256).alias("h"), "c"))
+    while True:
+        n = level.count()
+        at = F.pmod(F.conv(F.substring("h", 1, 12), 16, 10).cast("long"), F.lit(max(1, -(-n // fold))))
+        level = level.groupBy(at.alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.sum("c").alias("c")).drop("b")
+        if n <= fold:
+            return level.select(F.col("h").alias("sha256"), F.col("c").alias("rows"))
+        level = checkpointed(level)

@@ -31,27 +31,33 @@ def decision_bindings(spark, sf_dir):
     return reviews.decided(own, decisions, "c_custkey", "last").groupBy("binding", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STATES = ("open", "scheduled_closed", "seasonal_closed", "temporary_closed", "construction_closed", "unknown_hours", "potential_open")
+
+
 def _evidence(spark, sf_dir):
-    item = table(spark, sf_dir, "lineitem").withColumn("open", F.col("l_linestatus") == "O")
-    named = {"open": (F.col("l_returnflag") == "R") & ~F.col("open"), "closed": F.col("l_returnflag") == "A", "unknown": F.col("open") & (F.col("l_returnflag") == "N"), "inaccessible": F.col("open") & (F.col("l_returnflag") == "R")}
-    return reviews.nearest_by_category(item, ["l_partkey"], named, "l_quantity", "l_suppkey")
+    """lineitem as pairs of a stop (part) and a place (supplier) at a distance (quantity)."""
+    item = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", F.get(F.array(*map(F.lit, _STATES)), ((F.col("l_suppkey") + F.col("l_linenumber")) % 7).cast("int")).alias("state"), F.get(F.array(*map(F.lit, ("accessible", "inaccessible", "unknown"))), (F.col("l_suppkey") % 3).cast("int")).alias("access"))
+    return reviews.nearest_by_category(item, ["l_partkey"], reviews.evidence_categories(F.col("state"), F.col("access")), "l_quantity", "l_suppkey")
 
 
-_EVIDENCE = """n as materialized (select l_partkey, min(case when l_returnflag = 'R' and l_linestatus <> 'O' then l_quantity * 1000000000 + l_suppkey end) as o, min(case when l_returnflag = 'A' then l_quantity * 1000000000 + l_suppkey end) as c,
-min(case when l_returnflag = 'N' and l_linestatus = 'O' then l_quantity * 1000000000 + l_suppkey end) as u, min(case when l_returnflag = 'R' and l_linestatus = 'O' then l_quantity * 1000000000 + l_suppkey end) as i from lineitem group by l_partkey)"""
+_PAIRS = """i as (select l_partkey, l_suppkey, l_quantity, ['open', 'scheduled_closed', 'seasonal_closed', 'temporary_closed', 'construction_closed', 'unknown_hours', 'potential_open'][(l_suppkey + l_linenumber) % 7 + 1] as state, ['accessible', 'inaccessible', 'unknown'][l_suppkey % 3 + 1] as access from lineitem),
+c as (select l_partkey, l_suppkey, l_quantity, 'documented' as k from i union all select l_partkey, l_suppkey, l_quantity, case when state in ('open', 'potential_open') then 'open' else state end from i
+union all select l_partkey, l_suppkey, l_quantity, case access when 'accessible' then 'open_accessible' when 'inaccessible' then 'open_inaccessible' else 'open_unknown' end from i where state in ('open', 'potential_open')),
+b as (select l_partkey, k, l_quantity, l_suppkey from (select *, row_number() over (partition by l_partkey, k order by l_quantity, l_suppkey) as r from c) where r = 1)"""
 
 
-@query(f"with {_EVIDENCE} select l_partkey, coalesce(cast(floor(o / 1000000000) as int), -1) as open_distance, coalesce(cast(o - floor(o / 1000000000) * 1000000000 as bigint), -1) as open_place, coalesce(cast(c - floor(c / 1000000000) * 1000000000 as bigint), -1) as closed_place from n")
+@query(f"with {_PAIRS} select l_partkey, coalesce(max(case when k = 'open' then cast(l_quantity as int) end), -1) as open_distance, coalesce(max(case when k = 'open' then l_suppkey end), -1) as open_place, coalesce(max(case when k = 'unknown_hours' then l_suppkey end), -1) as unknown_place from b group by l_partkey")
 def nearest_evidence(spark, sf_dir):
     out = _evidence(spark, sf_dir)
-    return out.select("l_partkey", F.coalesce(F.col("open_distance").cast("int"), F.lit(-1)).alias("open_distance"), F.coalesce("open_place", F.lit(-1)).alias("open_place"), F.coalesce("closed_place", F.lit(-1)).alias("closed_place"))
+    return out.select("l_partkey", F.coalesce(F.col("open_distance").cast("int"), F.lit(-1)).alias("open_distance"), F.coalesce("open_place", F.lit(-1)).alias("open_place"), F.coalesce("unknown_hours_place", F.lit(-1)).alias("unknown_place"))
 
 
-@query(f"""with {_EVIDENCE}, f as (select coalesce(o < 6e9, false) as o, coalesce(c < 6e9, false) as c, coalesce(u < 6e9, false) as u, coalesce(i < 6e9, false) as i from n)
-select not o as uncovered, not o and c as closed_nearby, not o and u as unknown_nearby, not o and i as inaccessible_nearby, not o and not c and not u and not i as no_place, count(*) as n from f group by all""")
+@query(f"""with {_PAIRS}, h as (select p.l_partkey, coalesce(list(k) filter (l_quantity <= 5), []) as h from (select distinct l_partkey from i) p left join b on b.l_partkey = p.l_partkey group by 1)
+select not list_contains(h, 'documented') as geographic_gap, not list_contains(h, 'open') and list_contains(h, 'scheduled_closed') as scheduled_time_gap, not list_contains(h, 'open') and list_contains(h, 'seasonal_closed') as seasonal_gap,
+not list_contains(h, 'open') and (list_contains(h, 'temporary_closed') or list_contains(h, 'construction_closed')) as temporary_service_gap, list_contains(h, 'open') and list_contains(h, 'open_inaccessible') and not list_contains(h, 'open_accessible') as accessibility_gap,
+(not list_contains(h, 'open') and list_contains(h, 'unknown_hours')) or (list_contains(h, 'open') and not list_contains(h, 'open_accessible') and list_contains(h, 'open_unknown')) as information_gap, count(*) as n from h group by all""")
 def gap_flags(spark, sf_dir):
-    flags = ["uncovered", "closed_nearby", "unknown_nearby", "inaccessible_nearby", "no_place"]
-    return reviews.gap_flags(_evidence(spark, sf_dir), 5, "open", "closed", "unknown", "inaccessible").groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
+    return reviews.gap_flags(_evidence(spark, sf_dir), 5).groupBy(*reviews.GAPS).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""select l_suppkey, coalesce(max(case when l_returnflag = 'A' then n end), 0) as a_lines, coalesce(max(case when l_returnflag = 'N' then n end), 0) as n_lines, coalesce(max(case when l_returnflag = 'R' then n end), 0) as r_lines from (select l_suppkey, l_returnflag, count(*) as n from lineitem group by all) group by l_suppkey""")
@@ -115,7 +121,16 @@ def control_states(spark, sf_dir):
     return reviews.state_matrix(cells, keys, item.select(keys).distinct(), "l_suppkey").withColumn("first", F.coalesce("first", F.lit(-1)))
 
 
-@query("""select concat_ws('; ', case when c_acctbal < 0 then 'behind a fare gate' end, case c_nationkey % 3 when 0 then 'access not known' when 1 then 'not accessible' end) as text, count(*) as n from customer group by 1""")
+@query("""select case c_nationkey % 3 when 0 then 'fare_paid' when 1 then 'unrestricted' else 'none' end as condition, case c_nationkey % 3 when 0 then 'true' when 1 then 'false' else '' end as fare, case c_nationkey % 3 when 0 then 'Fare-paid area, valid fare required' when 1 then 'No fare required' else '' end as label, count(*) as n from customer group by all""")
 def disclosures(spark, sf_dir):
-    access = F.get(F.array(*map(F.lit, ("unknown", "inaccessible", "accessible"))), F.col("c_nationkey") % 3)
-    return table(spark, sf_dir, "customer").groupBy(reviews.disclosure(access, F.col("c_acctbal") < 0).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    condition = F.get(F.array(*map(F.lit, ("fare_paid", "unrestricted", "staff"))), F.col("c_nationkey") % 3)
+    told = table(spark, sf_dir, "customer").select(reviews.disclosure(condition).alias("d"))
+    return told.groupBy(F.coalesce("d.condition", F.lit("none")).alias("condition"), F.coalesce(F.col("d.requires_fare").cast("string"), F.lit("")).alias("fare"), F.coalesce("d.label", F.lit("")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with c as (select l_suppkey, max(case when l_linenumber = 1 and l_returnflag = 'A' then l_quantity end) as stops, min(l_orderkey) as rank from lineitem group by 1) select l_suppkey, rank, stops from c where l_suppkey % 3 = 0 and l_suppkey % 2 = 0 and stops > 20""")
+def default_results(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.max(F.when((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "A"), F.col("l_quantity"))).alias("stops"), F.min("l_orderkey").alias("primary_rank"))
+    cell = lambda t, n: F.struct(F.lit(t).alias("time"), F.lit("public").alias("access"), F.lit(400).alias("walk"), (F.col("stops") > 20).alias("active"), n.alias("activeStops"), F.lit(0).alias("events"), F.lit(0).alias("uniqueTrips"))
+    told = c.withColumns({"cells": F.array(cell("0030", F.lit(0.0)), cell("2200", F.col("stops"))), "action": F.when(F.col("l_suppkey") % 3 == 0, "extend").otherwise("new"), "audit_status": F.lit("valid"), "material_gain": F.col("l_suppkey") % 2 == 0})
+    return reviews.default_results(told, "cells", "extend", "2200", "public", 400).select("l_suppkey", F.col("primary_rank").alias("rank"), "stops")

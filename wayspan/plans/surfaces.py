@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayspan.functions import bits as b
 from wayspan.functions import geo, text
-from wayspan.operators import checks, metrics, pixels, spatial
+from wayspan.operators import checks, metrics, pixels, spatial, zones
 from wayspan.operators.graph import components
 from wayspan.plans.access import table
 
@@ -28,9 +28,37 @@ def query(sql: str | None = None):
 # --- inventory ----------------------------------------------------------------------------------
 
 
-@query("select p_name as species, count(*) as n, count(distinct p_brand) as brands from part group by p_name")
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as an inventory of trees: a genus before the second word, some with cultivar names, crosses or nothing."""
+    p = table(spark, sf_dir, "part")
+    genus = F.get(F.array(*map(F.lit, ("Acer", "Picea", "Malus", "Fraxinus", "Celtis"))), F.col("p_size") % 5)
+    second, k = F.substring_index("p_name", " ", -1), (F.col("p_partkey") % 7).cast("int")
+    name = F.when(k == 0, F.concat(genus, F.lit(" \u00d7 "), second)).when(k == 1, F.concat(genus, F.lit(" "), second, F.lit(" 'Red'"))).when(k == 2, F.concat(genus, F.lit(" Brandywine"))).when(k == 3, F.lit(" ")).otherwise(F.concat(genus, F.lit(" "), second))
+    return p.select("p_partkey", "p_brand", name.alias("botanical"))
+
+
+TREES = """g as (select p_partkey, p_brand, ['Acer', 'Picea', 'Malus', 'Fraxinus', 'Celtis'][p_size % 5 + 1] as genus, split_part(p_name, ' ', -1) as second, p_partkey % 7 as k from part),
+t as (select p_partkey, p_brand, case when k = 3 then '?' when k = 0 then concat(genus, ' x') when k = 2 then genus else concat(genus, ' ', second) end as species from g)"""
+
+
+@query(f"with {TREES} select species, case split_part(species, ' ', 1) when 'Acer' then 0 when 'Picea' then 4 when 'Malus' then 7 when 'Fraxinus' then 9 else 10 end as category, count(*) as n, count(distinct p_brand) as brands from t group by all")
 def species_counts(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(text.species_key(F.col("p_name")).alias("species")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands"))
+    species = text.species_key(F.col("botanical"))
+    told = trees(spark, sf_dir).select(species.alias("species"), "p_brand").withColumn("category", text.genus_category(F.substring_index("species", " ", 1)))
+    return told.groupBy("species", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands"))
+
+
+@query(f"with {TREES}, s as (select *, case when p_partkey % 5 = 0 then concat(species, p_partkey) else species end as key from t) select p_partkey, key from s where contains(key, ' ') and key in (select key from s group by key having count(*) = 1)")
+def single_species(spark, sf_dir):
+    told = trees(spark, sf_dir).withColumn("key", text.species_key(F.col("botanical")))
+    own = told.withColumn("key", F.when(F.col("p_partkey") % 5 == 0, F.concat("key", F.col("p_partkey").cast("string"))).otherwise(F.col("key")))
+    return metrics.singletons(own, "key", species=True).select("p_partkey", "key")
+
+
+@query("select c_nationkey, arg_min(c_name, c_custkey) filter (c_custkey % 4 > 0) as name, arg_min(c_mktsegment, c_custkey) filter (c_mktsegment <> 'BUILDING') as segment from customer group by c_nationkey")
+def first_names(spark, sf_dir):
+    told = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"))
+    return metrics.first_filled(told, ["c_nationkey"], "c_custkey", ["name", "segment"])
 
 
 @query("select p_partkey, concat(p_brand, p_type, p_size) as kind from part where concat(p_brand, p_type, p_size) in (select concat(p_brand, p_type, p_size) from part group by 1 having count(*) = 1)")
@@ -74,9 +102,10 @@ def price_percentiles(spark, sf_dir):
     return out.withColumns({c: F.bround(c, 4) for c in ("p50", "p95", "p99")})
 
 
-@query("select 'right' as side, k from (select distinct c_nationkey as k from customer except select distinct s_nationkey from supplier) union all select 'left', k from (select distinct s_nationkey as k from supplier except select distinct c_nationkey from customer)")
+@query("select 'right' as side, k from (select distinct c_nationkey as k from customer where c_nationkey < 20 except select distinct s_nationkey from supplier where s_suppkey % 3 = 0) union all select 'left', k from (select distinct s_nationkey as k from supplier where s_suppkey % 3 = 0 except select distinct c_nationkey from customer where c_nationkey < 20)")
 def nation_sets(spark, sf_dir):
-    return metrics.set_equality(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")))
+    left = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("k"))
+    return metrics.set_equality(left, table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("k")))
 
 
 # --- places -------------------------------------------------------------------------------------
@@ -182,14 +211,15 @@ def bounding_boxes(spark, sf_dir):
     return places(spark, sf_dir).groupBy("label").agg(low("x", "x0"), high("x", "x1"), low("y", "y0"), high("y", "y1"))
 
 
-_KERNEL = {(dx, dy): 1.0 / (1 + dx * dx + dy * dy) for dx in range(-2, 3) for dy in range(-2, 3)}
+_KERNEL = pixels.gaussian_kernel(2, 1.05)
 
 
-@query(f"""with {PLACES} select cast(floor(x / 10) + dx as bigint) as ix, cast(floor(y / 10) + dy as bigint) as iy, round_even(sum((label + 1) / (1.0::double + dx * dx + dy * dy)), 6) as energy, round_even(1 - exp(-sum((label + 1) / (1.0::double + dx * dx + dy * dy))), 6) as tone
-from p, range(-2, 3) t(dx), range(-2, 3) u(dy) group by 1, 2""")
+@query(f"""with {PLACES}, k as (select dx, dy, exp(-(dx * dx + dy * dy) / (2 * 1.05::double * 1.05::double)) as w from range(-2, 3) t(dx), range(-2, 3) u(dy)),
+e as (select cast(floor(x / 10) + dx as bigint) as ix, cast(floor(y / 10) + dy as bigint) as iy, sum((label + 1) * w) as energy, sum((label + 1) * w * (vec_id % 5) / 4) as red from p, k where w >= 0.02 group by 1, 2)
+select ix, iy, round_even(energy, 6) as energy, round_even(1 - exp(-0.5::double * energy), 6) as tone, round_even(least(1, greatest(0, red / greatest(energy, 1e-6))), 6) as red from e""")
 def density_grid(spark, sf_dir):
-    out = pixels.density(places(spark, sf_dir), "x", "y", 10.0, F.col("label") + 1, _KERNEL)
-    return out.select("ix", "iy", F.bround("energy", 6).alias("energy"), F.bround("tone", 6).alias("tone"))
+    out = pixels.density(places(spark, sf_dir), "x", "y", 10.0, F.col("label") + 1, _KERNEL, {"red": F.col("vec_id") % 5 / 4}, 0.5)
+    return out.select("ix", "iy", *[F.bround(c, 6).alias(c) for c in ("energy", "tone", "red")])
 
 
 # --- pixels -------------------------------------------------------------------------------------
@@ -222,18 +252,22 @@ def zone_mean_median(spark, sf_dir):
     return _summary(spark, sf_dir).withColumn("mean", F.bround("mean", 6))
 
 
-@query(f"with {ZONES} select zone, side, place from (select zone, 'shadiest' as side, row_number() over (order by mean desc, zone) as place from s union all select zone, 'barest', row_number() over (order by mean, zone) from s) where place <= 5")
+@query(f"with {ZONES}, c as (select * from s where zone % 4 > 0) select zone, round_even(mean, 6) as mean, side, place from (select zone, mean, 'highest' as side, row_number() over (order by mean desc, zone) as place from c union all select zone, mean, 'lowest', row_number() over (order by mean, zone) from c) where place <= 5")
 def zone_extremes(spark, sf_dir):
-    zones = _summary(spark, sf_dir)
-    top = zones.orderBy(F.col("mean").desc(), "zone").limit(5).withColumns({"side": F.lit("shadiest"), "place": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("mean").desc(), "zone"))})
-    low = zones.orderBy("mean", "zone").limit(5).withColumns({"side": F.lit("barest"), "place": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("mean", "zone"))})
-    return top.unionByName(low).select("zone", "side", "place")
+    return metrics.extremes(_summary(spark, sf_dir), "zone", "mean", 5, F.col("zone") % 4 > 0).withColumn("mean", F.bround("mean", 6))
+
 
+@query(f"with {ZONES}, r as (select zone, s_nationkey < 8 as inside from h join supplier on s_suppkey = zone group by all), f as (select case when inside then 'inside' else 'outside' end as region, value, n from h join r using (zone) union all select 'all', value, n from h join r using (zone)) select region, round_even(sum(value * n) / sum(n), 6) as mean, cast(sum(n) as bigint) as pixels from f group by region")
+def region_means(spark, sf_dir):
+    zones = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone"), (F.col("s_nationkey") < 8).alias("inside"))
+    hist = metrics.histogram(zone_pixels(spark, sf_dir), "zone", "value", F.col("ground"))
+    return metrics.region_means(hist, zones, "zone", "value", "inside").withColumn("mean", F.bround("mean", 6))
 
-@query(f"with {ZONES} select s_nationkey, round_even(coalesce(sum(case when median < 7.5 then abs(s_acctbal) end), 0) / nullif(sum(case when median is not null then abs(s_acctbal) end), 0), 6) as share from supplier left join md on zone = s_suppkey group by s_nationkey")
+
+@query(f"with {ZONES}, a as (select s_nationkey, coalesce(sum(case when median < 7.5 then abs(s_acctbal) end), 0) / 1000 as poor_km, coalesce(sum(case when median is not null then abs(s_acctbal) end), 0) / 1000 as total_km from supplier left join md on zone = s_suppkey and zone % 5 > 0 group by s_nationkey) select s_nationkey, round_even(poor_km, 4) as poor_km, round_even(total_km, 4) as total_km, round_even(case when total_km > 0 then 100 * poor_km / total_km else 0 end, 4) as share_percent, case when total_km > 0 then 100 * poor_km / total_km >= 25 else false end as shortage_holds from a")
 def shortage_shares(spark, sf_dir):
-    told = table(spark, sf_dir, "supplier").join(_summary(spark, sf_dir), F.col("zone") == F.col("s_suppkey"), "left").withColumn("length", F.abs("s_acctbal"))
-    return metrics.shortage_share(told, ["s_nationkey"], "median", "length", 7.5).withColumn("share", F.bround("share", 6))
+    told = table(spark, sf_dir, "supplier").join(_summary(spark, sf_dir).where("zone % 5 > 0").hint("merge"), F.col("zone") == F.col("s_suppkey"), "left").withColumn("length", F.abs("s_acctbal"))
+    return metrics.shortage_share(told, ["s_nationkey"], "median", "length", 7.5).withColumns({c: F.bround(c, 4) for c in ("poor_km", "total_km", "share_percent")})
 
 
 @query(f"with {ZONES} select hour, cast(sum((raw >> hour) & 1) as bigint) as shaded, count(*) as ground_pixels, round_even(sum((raw >> hour) & 1) / count(*), 6) as share from z, range(0, 15) t(hour) where ground group by hour")
@@ -252,20 +286,45 @@ def zone_swings(spark, sf_dir):
     return pixels.swing(zone_pixels(spark, sf_dir), "zone", "raw", 3, 9, F.col("ground"), 100).withColumn("swing", F.bround("swing", 6))
 
 
-@query(f"""with {ZONES}, k as (select *, case when not ground then 1 when canopy then 3 else 2 end as kind, case when ground and canopy then 32767 else corrected end as fixed from z)
-select kind, case when bit_count(fixed) = 0 then 'no data' when (fixed >> 6) & 1 = 1 or canopy then 'shaded' else 'sunlit' end as state, count(*) as n, cast(sum(bit_count(fixed) * 65536 + fixed) as bigint) as packed from k group by all""")
+@query(f"""with {ZONES}, k as (select *, case when not ground then 1 when canopy then 3 else 2 end as kind, case when raw % 9 = 0 then 0 when ground and canopy then 32767 else corrected end as fixed from z)
+select kind, case when kind = 3 then 'shaded' when bit_count(fixed) = 0 then 'no data' when (fixed >> 6) & 1 = 1 then 'shaded' else 'sunlit' end as state, count(*) as n, cast(sum(bit_count(fixed) * 65536 + fixed) as bigint) as packed, count(*) filter (bit_count(fixed) = 0) as empty_masks from k group by all""")
 def pixel_states(spark, sf_dir):
     own = zone_pixels(spark, sf_dir)
-    fixed = b.with_canopy(F.col("corrected"), F.col("ground"), F.col("canopy"))
-    own = own.withColumns({"kind": b.pixel_class(F.lit(True), F.col("ground"), F.col("canopy")), "fixed": fixed}).withColumn("count", b.shaded_hours(F.col("fixed")))
-    state = b.hour_state(F.col("count"), F.col("fixed"), 6, F.col("canopy"), True)
-    return own.groupBy("kind", state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.sum(b.pack(F.col("count").cast("long"), F.col("fixed"))).alias("packed"))
+    fixed = F.when(F.col("raw") % 9 == 0, 0).otherwise(b.with_canopy(F.col("corrected"), F.col("ground"), F.col("canopy")))
+    own = own.withColumns({"kind": b.pixel_class(F.lit(True), F.col("ground"), F.col("canopy")), "fixed": fixed}).withColumn("packed", b.pack(b.shaded_hours(F.col("fixed")).cast("long"), F.col("fixed")))
+    count, bits = b.unpack(F.col("packed"))
+    state = b.hour_state(count, bits, 6, F.col("kind") == 3, True)
+    return own.groupBy("kind", state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.sum("packed").alias("packed"), F.count_if((count == 0) & b.consistent(count, bits)).alias("empty_masks"))
+
 
+@query("select l_suppkey, cast(bit_or(case when l_linenumber <= 7 and l_quantity > 25 then 1 << (l_linenumber - 1) else 0 end) as int) as bits, cast(bit_count(bit_or(case when l_linenumber <= 7 and l_quantity > 25 then 1 << (l_linenumber - 1) else 0 end)) as int) as hours from lineitem group by l_suppkey")
+def packed_hours(spark, sf_dir):
+    flags = {h: (F.col("l_linenumber") == h + 1) & (F.col("l_quantity") > 25) for h in range(7)}
+    out = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.bit_or(b.packed(flags)).alias("bits"))
+    return out.withColumn("hours", F.aggregate(b.profile(F.col("bits")), F.lit(0), lambda a, x: a + x))
 
-@query(f"with {ZONES} select zone, count(*) as pixels from z where ground group by zone having bool_and(bit_count(raw) <= 12) and bool_and(bit_count(corrected) <= 12)")
-def bare_zones(spark, sf_dir):
-    both = F.bool_and((b.shaded_hours(F.col("raw")) <= 12) & (b.shaded_hours(F.col("corrected")) <= 12))
-    return zone_pixels(spark, sf_dir).where("ground").groupBy("zone").agg(F.count(F.lit(1)).alias("pixels"), both.alias("_b")).where("_b").select("zone", "pixels")
+
+@query("with m as (select l_partkey, l_returnflag as f, min(l_linenumber) as hours from lineitem group by all) select cast(p_partkey as varchar) as id, p_name as name from part where p_partkey in (select l_partkey from m group by l_partkey having count(*) = 3 and bool_and(hours = 1))")
+def bare_stops(spark, sf_dir):
+    samples = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.min("l_linenumber").alias("hours"))
+    bare = zones.bare_on_every_surface(samples, "l_partkey", "l_returnflag", "hours", ["A", "N", "R"])
+    stops = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    return zones.bare_stop_records(bare, stops, "l_partkey", "p_name", "lon", "lat").select("id", "name")
+
+
+@query(f"with {ZONES}, h2 as (select hour, sum((raw >> hour) & 1) / count(*) as share from z, range(0, 15) t(hour) where ground group by hour), m as (select hour, share from h2 order by share, hour limit 1), o as (select hour, sum((corrected >> hour) & 1) / count(*) as share from z, range(0, 15) t(hour) where ground group by hour) select o.hour, round_even(o.share, 6) as share, m.hour as stored_hour, round_even(o.share - m.share, 6) as change from o, m")
+def minimum_hours(spark, sf_dir):
+    own = zone_pixels(spark, sf_dir)
+    out = pixels.share_change(pixels.hour_shares(own, "corrected", F.col("ground")), pixels.hour_shares(own, "raw", F.col("ground")))
+    return out.select("hour", F.bround("share", 6).alias("share"), "stored_hour", F.bround("change", 6).alias("change"))
+
+
+@query(f"with {ZONES}, w as (select zone, (sum((raw >> 9) & 1) - sum((raw >> 3) & 1)) / count(*) as swing, count(*) as g from z where ground group by zone), y as (select zone, count(*) as n from z group by zone), n as (select l_suppkey as zone, sum(l_quantity) as metres, count(distinct l_returnflag) as names from lineitem where l_returnflag <> 'N' group by 1) select w.zone, round_even(swing, 6) as swing, metres, names from w join y using (zone) join n using (zone) where g / n >= 0.3 and metres >= 100 order by swing desc, zone limit 1")
+def best_block(spark, sf_dir):
+    own = zone_pixels(spark, sf_dir)
+    swings = pixels.swing(own, "zone", "raw", 3, 9, F.col("ground"), 1).join(own.groupBy("zone").agg(F.count(F.lit(1)).alias("_n")).hint("merge"), "zone").withColumn("ground_share", F.col("ground_pixels") / F.col("_n"))
+    streets_ = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("zone"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("name"), F.col("l_quantity").alias("metres"))
+    return zones.best_block(swings, streets_, "zone", 0.3, 100.0).select("zone", F.bround("swing", 6).alias("swing"), "metres", F.size("names").cast("long").alias("names"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,25 +387,31 @@ def sun_obstructions(spark, sf_dir):
 # --- names and quality --------------------------------------------------------------------------
 
 
-@query("""select p_partkey, concat(upper(p_name[1]), substr(p_name, 2)) as title, replace(p_name, ' ', '-') as slug, concat(upper(split_part(p_name, ' ', 2)[1]), substr(split_part(p_name, ' ', 2), 2), ' ', split_part(p_name, ' ', 1)) as display,
-coalesce(case when p_retailprice > 900 and p_retailprice <= 905 then cast(floor(p_retailprice) as int) end, -1) as plausible, concat('part:', sha256(concat(p_name, '/', p_brand))) as public_id, case when contains(lower(p_type), 'eco') then 'cheap' when contains(lower(p_type), 'small') then 'small' else 'other' end as kind from part""")
+@query("""with f as (select *, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', -1) as b, case p_partkey % 4 when 0 then concat('part:', p_name) when 1 then concat('p-', p_partkey) when 2 then p_name else concat('no good:', p_name) end as id from part)
+select p_partkey, concat(upper(p_name[1]), substr(p_name, 2)) as title, case when p_partkey % 9 = 0 then concat('street-', substr(sha1('??'), 1, 10)) else replace(p_name, ' ', '-') end as slug, case when p_partkey % 5 < 2 then a else concat(upper(b[1]), substr(b, 2), ' ', a) end as display,
+coalesce(case when p_retailprice > 900 and p_retailprice <= 905 then cast(floor(p_retailprice) as int) end, -1) as plausible, case p_partkey % 4 when 0 then concat('part:', sha256(id)) when 1 then id else concat('place:', sha256(id)) end as public_id,
+case when contains(lower(p_type), 'eco') then 'cheap' when contains(lower(p_type), 'small') then 'small' else 'other' end as kind, p_partkey % 4 in (0, 3) as safe, case when p_partkey % 4 = 1 then concat('reach:', id, ':400') else concat('reach:', sha256(id), ':400') end as reach from f""")
 def part_names(spark, sf_dir):
-    name = F.col("p_name")
-    flipped = F.concat(F.substring_index(name, " ", 1), F.lit(", "), F.substring_index(name, " ", -1))
+    name, k = F.col("p_name"), F.col("p_partkey") % 4
+    first, second = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
+    flipped = F.when(F.col("p_partkey") % 5 == 0, first).when(F.col("p_partkey") % 5 == 1, F.concat(first, F.lit(", "))).otherwise(F.concat(first, F.lit(", "), second, F.lit(",x")))
+    raw = F.when(k == 0, F.concat(F.lit("part:"), name)).when(k == 1, F.concat(F.lit("p-"), F.col("p_partkey").cast("string"))).when(k == 2, name).otherwise(F.concat(F.lit("no good:"), name))
+    link = F.get(F.array(*map(F.lit, ("/data/a?b#c", "/data/../a", "https://u:p@x.org/a", "HTTPS://x.org/a"))), k.cast("int"))
     return table(spark, sf_dir, "part").select(
-        "p_partkey", text.capitalised(name).alias("title"), text.slug(name).alias("slug"), text.display_name(flipped).alias("display"), F.coalesce(text.plausible_int(F.col("p_retailprice"), 900, 905), F.lit(-1)).alias("plausible"),
-        text.public_id(F.concat(name, F.lit("/"), F.col("p_brand")), "part").alias("public_id"), text.first_rule(F.col("p_type"), (("cheap", ("eco",)), ("small", ("small",))), "other").alias("kind"),
+        "p_partkey", text.capitalised(name).alias("title"), text.slug(F.when(F.col("p_partkey") % 9 == 0, "??").otherwise(name)).alias("slug"), text.display_name(flipped).alias("display"), F.coalesce(text.plausible_int(F.col("p_retailprice"), 900, 905), F.lit(-1)).alias("plausible"),
+        text.public_id(raw).alias("public_id"), text.first_rule(F.col("p_type"), (("cheap", ("eco",)), ("small", ("small",))), "other").alias("kind"), text.safe_link(link).alias("safe"), text.reach_id(raw, F.lit(400)).alias("reach"),
     )
 
 
-@query("""select c_custkey, concat(c_custkey % 300, ' ', c_mktsegment, ' ST N') as canonical, concat(case when c_custkey % 300 > 0 then concat(c_custkey % 300, ' ') else '' end, upper(c_mktsegment[1]), lower(substr(c_mktsegment, 2)), ' of the McDonald Street') as title, c_custkey % 3 = 0 as wheel, case c_custkey % 3 when 0 then 'accessible' when 1 then 'inaccessible' else 'unknown' end as access from customer""")
+@query("""select c_custkey, concat(c_custkey % 300, ' ', lower(c_mktsegment), ' st n') as canonical, concat(case when c_custkey % 300 > 0 then concat(c_custkey % 300, ' ') else '' end, upper(c_mktsegment[1]), lower(substr(c_mktsegment, 2)), ' of the McDonald And Mc Street') as title, c_custkey % 3 = 0 as wheel, case c_custkey % 3 when 0 then 'accessible' when 1 then 'inaccessible' else 'unknown' end as access,
+case c_custkey % 5 when 0 then 'seasonal' when 1 then 'construction' when 2 then 'temporary' else 'none' end as closure from customer""")
 def customer_addresses(spark, sf_dir):
     number = (F.col("c_custkey") % 300).cast("string")
-    flag = F.get(F.array(F.lit(" Yes"), F.lit("no "), F.lit("?")), (F.col("c_custkey") % 3).cast("int"))
-    raw = F.concat(number, F.lit(" "), F.initcap("c_mktsegment"), F.lit(" Street, Unit 5"))
+    flag = F.get(F.array(F.lit(" Yes"), F.lit("no "), F.lit("full")), (F.col("c_custkey") % 3).cast("int"))
+    reason = F.get(F.array(F.lit("Closed for the season; repairs"), F.lit("UNDER CONSTRUCTION"), F.lit("repair of roof"), F.lit("closed"), F.lit(None)), (F.col("c_custkey") % 5).cast("int"))
+    raw = F.concat(number, F.lit(" "), F.initcap("c_mktsegment"), F.lit(" Street. north, back"))
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", text.canonical_address(F.concat(F.substring_index(raw, ",", 1), F.lit(". north, back"))).alias("canonical"),
-        text.title_address(number, F.concat("c_mktsegment", F.lit(" of the mcdonald street"))).alias("title"), text.truthy(flag).alias("wheel"), text.accessibility(flag).alias("access"),
+        "c_custkey", text.canonical_address(raw).alias("canonical"), text.title_address(number, F.concat("c_mktsegment", F.lit(" OF the mcdonald and MC street"))).alias("title"), text.truthy(flag).alias("wheel"), text.accessibility(flag).alias("access"), text.closure_category(reason).alias("closure"),
     )
 
 
@@ -355,14 +420,21 @@ def duplicate_orders(spark, sf_dir):
     return checks.duplicates(table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").cast("string").alias("day")), ["o_custkey", "day"])
 
 
-@query("select c_custkey, c_mktsegment from customer where c_mktsegment not in ('BUILDING', 'MACHINERY') or c_mktsegment is null")
+@query("select c_custkey, nullif(c_mktsegment, 'FURNITURE') as segment from customer where c_mktsegment not in ('BUILDING', 'MACHINERY')")
 def segment_domain(spark, sf_dir):
-    return checks.outside_domain(table(spark, sf_dir, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"]).select("c_custkey", "c_mktsegment")
+    told = table(spark, sf_dir, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("FURNITURE")).alias("segment"))
+    return checks.outside_domain(told, "segment", ["BUILDING", "MACHINERY"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_size <= 25) and l_quantity = 50")
+def unknown_parts(spark, sf_dir):
+    known = table(spark, sf_dir, "part").where("p_size <= 25")
+    return checks.dangling(table(spark, sf_dir, "lineitem").where("l_quantity = 50"), "l_partkey", known, "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem)")
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 10 and l_returnflag = 'R')")
 def unused_parts(spark, sf_dir):
-    return checks.dangling(table(spark, sf_dir, "part"), "p_partkey", table(spark, sf_dir, "lineitem"), "l_partkey").select("p_partkey")
+    return checks.dangling(table(spark, sf_dir, "part"), "p_partkey", table(spark, sf_dir, "lineitem").where("l_quantity > 10 and l_returnflag = 'R'"), "l_partkey").select("p_partkey")
 
 
 @query("select lower(p_type) as public, count(distinct p_brand) as n from part group by 1 having count(distinct p_brand) > 1")

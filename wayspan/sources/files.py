@@ -14,36 +14,57 @@ FEED = {
 }
 
 
-def read_table_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Header CSV as text columns, matched by name; a byte-order mark before the first name is ignored, columns
-    that a file lacks are null, others are left out."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    named = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
+def _by_header(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The CSV files of one or more paths (globs) as the text columns of the schema, matched by name in each file:
+    files with different headers are read apart. A byte-order mark before the first name is ignored, columns that a
+    file lacks are null, others are left out. file is the file's path."""
     wanted = [x.strip().split()[0] for x in schema.split(",")]
-    return named.select(*[(F.col(c) if c in named.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
+    # the first line of each file, of which Spark reads no more; one short text a file
+    first = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b")).where("_b = 0").withColumn("_n", F.monotonically_increasing_id())
+    heads = first.groupBy("file").agg(F.min_by("value", "_n").alias("head"))
+    kinds = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    out = None
+    for head, files in sorted((r.head, sorted(r.files)) for r in kinds):
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(files)
+        named = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+        part = named.select(*[(F.col(c).cast("string") if c in named.columns else F.lit(None).cast("string")).alias(c) for c in wanted], F.col("_metadata.file_path").alias("file"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*wanted, "file"))) if out is None else out
+
+
+def read_table_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Header CSV as the text columns of a schema (see _by_header)."""
+    return _by_header(spark, [path] if isinstance(path, str) else path, schema).drop("file")
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+    return sorted(x.getPath().toString() for x in found) if found is not None else []
 
 
 def read_feed(spark: SparkSession, folders: str) -> dict[str, DataFrame]:
-    """The tables of unpacked feeds (a glob of folders), each with feed_id, the folder's name. A table that no
-    folder has is an error that names it."""
+    """The tables of unpacked feeds (a glob of folders), each with feed_id, the folder's name. A table that a
+    folder lacks is an error that names both."""
+    every = _listed(spark, folders)
+    if not every:
+        raise FileNotFoundError(f"no feed under {folders}: no calendar.txt and so on")
     out = {}
     for name, schema in FEED.items():
-        pattern = f"{folders}/{name}.txt"
-        if not _exists(spark, pattern):
-            raise FileNotFoundError(f"the feed has no {name}.txt under {folders}")
-        raw = spark.read.option("header", True).csv(pattern)
-        clean = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns]).withColumn("feed_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
-        wanted = [x.strip().split()[0] for x in schema.split(",")]
-        out[name] = clean.select("feed_id", *[(F.col(c) if c in clean.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
+        files = _listed(spark, f"{folders}/{name}.txt")
+        lacking = {x.rsplit("/", 1)[-1] for x in every} - {x.rsplit("/", 2)[-2] for x in files}
+        if lacking:
+            raise FileNotFoundError(f"no {name}.txt in the feeds {sorted(lacking)}")
+        told = _by_header(spark, files, schema)
+        out[name] = told.select(F.element_at(F.split("file", "/"), -2).alias("feed_id"), *[c for c in told.columns if c != "file"])
     return out
 
 
+def source_manifest(sources: DataFrame) -> DataFrame:
+    """A list of sources with the time at which it was recorded."""
+    return sources.withColumn("retrieved_at", F.current_timestamp())
+
+
 def read_features(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
     """(lon, lat, properties...) of point features: the first position of multi-points; features without two
     numbers are dropped. lines: one feature a line, which splits large files; else a whole collection."""
@@ -58,12 +79,18 @@ def read_features(spark: SparkSession, path: str, properties: str, lines: bool =
     return out.select(F.get("_n", F.lit(0)).cast("double").alias("lon"), F.get("_n", F.lit(1)).cast("double").alias("lat"), "f.properties.*")
 
 
-def read_ways(spark: SparkSession, path: str, keep: list[str]) -> DataFrame:
-    """(way_id, tags, geometry) of ways with two vertices or more in exported elements, with the kept tags."""
+def read_ways(spark: SparkSession, path: str, keep: list[str], derived: dict | None = None, lines: bool = False) -> DataFrame:
+    """(way_id, tags, geometry, derived...) of ways with two vertices or more in exported elements, with the kept
+    tags. derived maps names to functions of all the tags (a tier, a flag). lines: one element a line, which splits
+    large exports; else whole exports, one a file."""
     element = "struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<elements:array<{element}>>")["elements"]).alias("e"))
+    if lines:
+        rows = spark.read.text(path).select(F.from_json("value", element).alias("e"))
+    else:
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<elements:array<{element}>>")["elements"]).alias("e"))
     ways = rows.where("e.type = 'way' and size(e.geometry) >= 2")
-    return ways.select(F.col("e.id").alias("way_id"), F.map_filter(F.coalesce("e.tags", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*keep)).alias("tags"), F.col("e.geometry").alias("geometry"))
+    tags = F.coalesce("e.tags", F.create_map().cast("map<string,string>"))
+    return ways.select(F.col("e.id").alias("way_id"), F.map_filter(tags, lambda k, v: k.isin(*keep)).alias("tags"), F.col("e.geometry").alias("geometry"), *[f(tags).alias(n) for n, f in (derived or {}).items()])
 
 
 def read_keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -102,13 +129,19 @@ def write_features(df: DataFrame, path: str, lon: str, lat: str, properties: lis
     df.repartitionByRange(*order).sortWithinPartitions(*order).select(feature_json(F.col(lon), F.col(lat), properties).alias("value")).write.text(path)
 
 
+def write_ndjson(df: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are left out."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias("value")).write.text(path)
+
+
 def write_by_group(df: DataFrame, path: str, group: str) -> None:
     df.write.partitionBy(group).json(path)
 
 
 def publish(df: DataFrame, path: str, checks: list) -> None:
     """Writes to a staging folder, runs checks (functions from the staged table to violation rows) and puts the
-    folder in place only if all are empty; else it raises and the published folder stays as it was."""
+    folder in place only if all are empty; else it raises and the published folder stays as it was. If the new
+    folder can't be put in place the old one is put back."""
     spark = df.sparkSession
     staging, old = f"{path}.staging", f"{path}.old"
     df.write.mode("overwrite").parquet(staging)
@@ -118,14 +151,25 @@ def publish(df: DataFrame, path: str, checks: list) -> None:
         if bad:
             raise ValueError(f"not published: {bad}")
     hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(path)):
-        fs.delete(hadoop(old), True)
-        if not fs.rename(hadoop(path), hadoop(old)):
+    swap_folders(hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop(staging), hadoop(path), hadoop(old))
+
+
+def swap_folders(fs, staging, path, old) -> None:
+    """Puts staging in the place of path, which may exist; on failure path is as it was."""
+    had = fs.exists(path)
+    if had:
+        fs.delete(old, True)
+        if not fs.rename(path, old):
             raise OSError(f"{path} could not be set aside")
-    if not fs.rename(hadoop(staging), hadoop(path)):
+    try:
+        done = fs.rename(staging, path)
+    except Exception:
+        done = False
+    if not done:
+        if had and not fs.rename(old, path):
+            raise OSError(f"{staging} could not be put in place; the former table is {old}")
         raise OSError(f"{staging} could not be put in place")
-    fs.delete(hadoop(old), True)
+    fs.delete(old, True)
 
 
 def output_manifest(df: DataFrame) -> DataFrame:
@@ -134,13 +178,19 @@ def output_manifest(df: DataFrame) -> DataFrame:
     return told.groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("records"))
 
 
-def stale_partitions(spark: SparkSession, inputs: str, outputs: str, depth: int = -2) -> DataFrame:
-    """Partition folders (the path part at depth) whose newest input is later than their oldest output, or that
-    have no output. Files are listed, not read."""
+def stale_partitions(spark: SparkSession, inputs: str, outputs: str, depth: int = -2, tags: DataFrame | None = None, tag: str | None = None) -> DataFrame:
+    """Partition folders (the path part at depth) whose newest input is later than their oldest output, that have no
+    output, or (with tags: part, tag as recorded with the output) that another version of the algorithm made. Files
+    are listed, not read."""
 
     def times(path: str, agg) -> DataFrame:
         listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
         return listed.groupBy(F.element_at(F.split("path", "/"), depth).alias("part")).agg(agg("modificationTime").alias("t"))
 
     made = times(outputs, F.min).withColumnRenamed("t", "made")
-    return times(inputs, F.max).join(made, "part", "left").where("made is null or t > made").select("part")
+    told = times(inputs, F.max).join(made.hint("merge"), "part", "left")
+    late = F.col("made").isNull() | (F.col("t") > F.col("made"))
+    if tags is not None:
+        told = told.join(tags.select("part", F.col("tag").alias("_tag")).hint("merge"), "part", "left")
+        late = late | ~F.col("_tag").eqNullSafe(F.lit(tag))
+    return told.where(late).select("part")
