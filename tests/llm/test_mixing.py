@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,51 @@ def cells_of(rows):
     return out
 
 
+def brute(docs, alpha, budget=None):
+    """Weight and probability of each (doc_id, text, lang, source): cells by hand, raked by dividing, in plain Python."""
+    cell_of, tokens = {}, {}
+    for d, text, lang, source in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        signs = sum(c in "#*$%&|<>" for c in text or "")
+        topic = "symbols" if text is not None and signs * 4 >= n + 1 else "brief" if n < 100 else "article" if n < 1000 else "long"
+        cell_of[d] = (source or "", lang or "", topic)
+        tokens[cell_of[d]] = tokens.get(cell_of[d], 0) + n
+    total = sum(tokens.values())
+    goals = []
+    for k in range(3):
+        had = {}
+        for c, n in tokens.items():
+            had[c[k]] = had.get(c[k], 0) + n
+        goal = {v: n**alpha for v, n in had.items() if n}
+        goals.append({v: x / sum(goal.values()) for v, x in goal.items()})
+    mass = {c: n / total for c, n in tokens.items()}
+    for _ in range(200):
+        for k in range(3):
+            now = {}
+            for c, x in mass.items():
+                now[c[k]] = now.get(c[k], 0) + x
+            mass = {c: x * goals[k].get(c[k], 0) / now[c[k]] if now[c[k]] else 0 for c, x in mass.items()}
+    weight = {c: mass[c] * total / n if n else 1.0 for c, n in tokens.items()}
+    scale = 1 / max(w for c, w in weight.items() if tokens[c])
+    if budget is not None:
+        spent = sum(weight[c] * scale * n for c, n in tokens.items())
+        scale *= min(1.0, budget * total / spent)
+    return {d: (c, weight[c], min(1.0, weight[c] * scale)) for d, c in cell_of.items()}
+
+
+def test_query_equals_raking_by_hand(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    want = brute(docs, 0.7)
+    drawn = {r.doc_id: r.u for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", m.uniform(None, 0).alias("u")).collect()}
+    rows = m.op4_raked_mixture(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        cell, weight, prob = want[r.doc_id]
+        assert (r.source or "", r.lang or "", r.topic) == cell
+        assert r.weight == pytest.approx(weight, rel=1e-6) and r.prob == pytest.approx(prob, rel=1e-6)
+        assert r.sampled == (drawn[r.doc_id] < prob)
+
+
 def test_weights_meet_the_marginals(spark, sf):
     rows = m.op4_raked_mixture(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -38,7 +39,11 @@ def test_query_equals_the_patterns(spark, sf):
         base = brute(docs[r.doc_id])
         assert tuple(r)[1:5] == tuple(sum(k == i for _, k, _ in base) for i in range(4))
         assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
-        assert [x for x in r.spans.split(",") if not x.startswith("other:")] == (joined(base).split(",") if base else ([""] if not r.spans else []))
+        spans = [(int(a), p.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == sorted(spans)
+        added = [x for x in spans if x not in base]
+        assert sorted(base + added) == spans
+        assert not any(a < e and s < b for a, _, b in added for s, _, e in base)
     assert any(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
 
 
@@ -64,13 +69,13 @@ def make(seed, n):
 
 
 def rows_of(texts):
-    x, y = [], []
+    out = [[], [], [], []]
     for t in texts:
         f = p.Field(t)
-        label = p.covered(f.spans, p.base_spans(t)).astype(float)
-        x.append(np.concatenate([f.features, p.agreement(f.chain, label)[:, None], p.agreement(f.skip, label)[:, None]], 1))
-        y.append(label)
-    return np.concatenate(x), np.concatenate(y)
+        state = p.states(f.spans, p.labelled_spans(t))
+        for into, v in zip(out, (f.features, p.agreement(f.chain, state), p.agreement(f.skip, state), state), strict=True):
+            into.append(v)
+    return [np.concatenate(v) for v in out]
 
 
 def test_held_out_accuracy_and_consistency():
@@ -78,40 +83,65 @@ def test_held_out_accuracy_and_consistency():
     right = total = 0
     for text in make(2, 100):
         field = p.Field(text)
-        label = p.covered(field.spans, p.base_spans(text))
-        right += ((p.marginals(field, w) > 0.5) == label).sum()
-        total += len(label)
+        state = p.states(field.spans, p.labelled_spans(text))
+        right += (p.marginals(field, w).argmax(axis=1) == state).sum()
+        total += len(state)
     assert right / total > 0.97
-    # two sightings of a token that the shape alone leaves open follow each other
+    # two sightings of a token that the shape alone leaves open follow each other, in their kind
     field = p.Field("7a word word word word word word 7a")
     assert field.skip.tolist() == [[0, 1]] and not len(field.chain)
-    strong = np.zeros(p.FEATURES + 2)
-    strong[-1] = 4.0
-    field.features[0], field.features[1] = 0, 0
-    field.features[0, 0], strong[0] = 3.0, 1.0
+    strong = np.zeros(p.WEIGHTS)
+    strong[-1] = 5.0
+    field.features[:] = 0
+    field.features[0, 0], strong[3 * p.FEATURES] = 6.0, 1.0  # the first looks like a phone number
     low = p.marginals(field, np.r_[strong[:-1], 0.0])
     high = p.marginals(field, strong)
-    assert abs(low[1] - 0.5) < 1e-9 and high[1] > 0.9 and high[0] >= low[0] - 1e-9
+    assert np.allclose(low[1], 1 / p.STATES) and high[1].argmax() == 4 and high[1, 4] > 0.8 and high[0, 4] >= low[0, 4] - 1e-9
+
+
+def test_numbers_written_in_two_ways_are_joined():
+    field = p.Field("call +1 (555) 010-9999 or, later on, please, 1.555.010.9999 if you can")
+    assert len(field.spans) == 4 and [2, 3] in field.skip.tolist()
+    assert p.Field("15550109999 and so on and on 1-555-010-9999").skip.tolist() == [[0, 1]]
+
+
+def test_secrets_are_learned_and_consistent():
+    rnd = random.Random(5)
+    secret = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'word {rnd.randrange(3000)} word token = "{secret()}" word {rnd.randrange(30)}' for _ in range(80)] + make(4, 80)
+    w = p.fit(*rows_of(texts))
+    again = secret()
+    field = p.Field(f'token = "{again}" ' + "word " * 30 + f"then {again} and 1234")
+    told = p.marginals(field, w)
+    alone = p.marginals(field, np.r_[w[:-1], 0.0])
+    assert told.argmax(axis=1).tolist() == [5, 5, 0] and told[1, 5] > alone[1, 5]
 
 
 def test_message_passing_is_exact_on_a_chain():
     field = p.Field("1a 2b 3c 4d")
     rng = np.random.default_rng(0)
-    w = rng.normal(size=p.FEATURES + 2)
+    w = rng.normal(size=p.WEIGHTS)
     w[-2:] = 0.7, 0.0
-    own = field.features @ w[: p.FEATURES]
-    total, on = 0.0, np.zeros(4)
-    for code in range(16):
-        y = np.array([(code >> i) & 1 for i in range(4)])
-        s = 2 * y - 1
-        score = np.exp((own * y).sum() + 0.5 * 0.7 * (s[:-1] * s[1:]).sum())
+    own = np.zeros((4, p.STATES))
+    own[:, 1:] = field.features @ w[:-2].reshape(len(p.KINDS), p.FEATURES).T
+    total, on = 0.0, np.zeros((4, p.STATES))
+    for y in itertools.product(range(p.STATES), repeat=4):
+        score = np.exp(own[range(4), y].sum() + 0.7 * sum(a == b for a, b in itertools.pairwise(y)))
         total += score
-        on += score * y
-    assert np.allclose(p.marginals(field, w), on / total, atol=1e-5)
+        on[range(4), y] += score
+    assert np.allclose(p.marginals(field, w), on / total, atol=1e-4)
+
+
+def test_the_sample_is_bounded_and_counts_equal_texts_once(spark):
+    texts = [f"number {i} and mail a{i}@b.cd " + "1 " * 40 for i in range(60)] + ["same 1 text 2"] * 300
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = p.training_rows(frame, 10).collect()
+    assert 0 < len(rows) <= 25 * p.NODES_PER_TEXT
+    assert p.training_rows(frame, 1000).count() == 60 * p.NODES_PER_TEXT + 2
 
 
 def test_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "mail a@b.cd", 0), (3, "mail a@b.cd", 0), (None, "x " * 60000 + "1.2.3.4", 0)], "doc_id long, text string, spans int")
-    rows = sorted(((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans if s.kind != "other"]) for r in p.find_personal_data(odd).collect()), key=repr)
+    rows = sorted(((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans if s.base]) for r in p.find_personal_data(odd).collect()), key=repr)
     assert rows == sorted([(1, []), (2, []), (3, [("email", 5, 11)]), (3, [("email", 5, 11)]), (None, [("ip", 120000, 120007)])], key=repr)
     assert p.find_personal_data(odd.limit(0)).count() == 0

@@ -43,4 +43,6 @@ def test_odd_rows(spark):
     for shard in range(3):
         slots = sorted(r.slot for r in rows if r.shard == shard)
         assert slots == list(range(len(slots)))
+    assert set(assign_shards(odd, 3).columns) == {"doc_id", "text", "shard_", "shard", "grown_shard", "slot"}
+    assert sorted(r.shard_ for r in rows) == [1, 2, 3, 3, 4]
     assert assign_shards(odd.limit(0), 3).count() == 0

@@ -17,10 +17,13 @@ CHUNK_BYTES = 1 << 21
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir, which driver and executors share. Where the setting is
-    empty (tests, one machine) a temporary folder is set as the checkpoint folder of this session."""
+    empty a temporary folder is set as the checkpoint folder of a session on one machine (tests); on a cluster
+    executors would not see it, so there the setting is needed."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """base, or base with underscores behind it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def whitespace_words(text, pattern: str = r"[^\x20\x09-\x0D]+"):
     """Number of words of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")

@@ -182,10 +182,10 @@ def quality_verdicts(docs: DataFrame, keys: list[str], text: str = "text", lang:
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those that the rules or the estimates reject. Rows that agree in
     id and text share their verdict; a null text is rejected."""
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text": F.xxhash64("text")})
-    verdicts = quality_verdicts(marked.select("_id", "_text", "text", "lang", "source"), ["_id", "_text"])
+    identity, content = F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.xxhash64(docs["text"])
+    verdicts = quality_verdicts(docs.select(identity.alias("_id"), content.alias("_text"), "text", "lang", "source"), ["_id", "_text"])
     gone = written(verdicts.where("not kept").select("_id", "_text").distinct(), "rejected")
-    return marked.join(gone, ["_id", "_text"], "left_anti").select(docs.columns)
+    return docs.join(gone, (identity == gone["_id"]) & (content == gone["_text"]), "left_anti")
 
 
 def op8_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayspan.llm.common import unused_name
+
 #: Sub-buckets of a shard in which slots are numbered on their own before offsets are added.
 SLOT_BUCKETS = 256
 
@@ -53,12 +55,14 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
 
     Null keys share one shard; rows that repeat a key share its shard and get slots of their own; null and
     empty texts have a size of 1; an empty table gives an empty one. Columns of the input that have one of
-    the new names are replaced. Slots need no shard in one task: rows are numbered within sub-buckets
+    the new names go on under that name with an underscore behind it. Slots need no shard in one task: rows are numbered within sub-buckets
     (hashed, so a hot shard or key order doesn't matter) and the counts of the sub-buckets, at most
     shards x SLOT_BUCKETS rows, are summed up to offsets.
     """
     grown = shards + 1 if grown is None else grown
-    df = df.drop("shard", "grown_shard", "slot", "_key", "_sub", "_at", "_before")
+    for name in ("shard", "grown_shard", "slot", "_key", "_sub", "_at", "_before"):
+        if name in df.columns:
+            df = df.withColumnRenamed(name, unused_name(df, f"{name}_"))
     placed = df.withColumn("_key", stable_key(F.col(key)))
     placed = placed.withColumn("shard", jump_shard(F.col("_key"), shards)).withColumn("grown_shard", jump_shard(F.col("_key"), grown))
     salt = F.xxhash64(F.col("_key"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)))
