@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayspan.llm.common import written
+from wayspan.llm.common import unused_name, written
 from wayspan.llm.decontamination import decontaminate
 from wayspan.llm.mixing import mixed_documents
 from wayspan.llm.neardup import drop_near_duplicates
@@ -31,7 +32,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs, alpha=MIX_ALPHA, budget=MIX_BUDGET, calibrated=True).where("sampled").select(docs.columns)
+    row = unused_name(docs, "row")  # carries the columns through, whatever they are called
+    mixed = mixed_documents(docs.withColumn(row, F.struct(*docs.columns)), alpha=MIX_ALPHA, budget=MIX_BUDGET, calibrated=True)
+    return mixed.where("sampled").select(f"{row}.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
