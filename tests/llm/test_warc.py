@@ -68,3 +68,17 @@ def test_odd_rows(spark, tmp_path):
     empty = str(tmp_path / "e")
     assert w.write_archives(odd.limit(0), empty).count() == 0
     assert w.read_archives(spark, empty).count() == 0
+
+
+def test_outlying_ids_do_not_fill_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(w, "SHARD_BYTES", 1000)
+    ids = [*range(500), (1 << 63) - 1, -(1 << 63)]
+    frame = spark.createDataFrame([(i, 50) for i in ids] + [(7, 50)] * 60, "id long, size long")
+    cuts, starts = w._shards(frame)
+    shard = {r.bin: r.shard for r in cuts.collect()}
+    held = {}
+    for i in ids:
+        held.setdefault(shard[int(max(0, starts.searchsorted(i, "right") - 1))], []).append(i)
+    assert len(held) >= 20 and max(map(len, held.values())) <= 42
+    order = [i for k in sorted(held) for i in held[k]]
+    assert sorted(ids) == sorted(order) and [min(v) for _, v in sorted(held.items())] == sorted(min(v) for v in held.values())

@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id into shards whose bounds come from exact payload sums of equal-width id bins,
-not from samples, so every run cuts at the same places. A shard's task writes gzip members, one a record,
+Records are range-sorted by id into shards whose bounds come from exact payload sums of id bins, not from samples, so
+every run cuts at the same places. Bins are of equal width at first; those that hold too much are split again within
+the ids that they hold, so neither outlying nor dense ids fill a shard. A shard's task writes gzip members, one a record,
 and rolls to the next file when the compressed size reaches a limit. Headers, record ids and digests are
 made from the payload alone; of equal payloads the one with the largest id is a response and the others
 revisit it. Files are written under names of the task attempt and renamed when complete; a manifest that is
@@ -19,18 +20,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayspan.llm.common import shared_folder, written
 
 #: Compressed bytes after which a file is closed.
 ROLL_BYTES = 16 << 20
-#: Payload bytes that a shard is to have, about; a bin of ids is never split.
+#: Payload bytes that a shard is to have, about; rows of one id stay together.
 SHARD_BYTES = 32 << 20
-BINS = 1 << 14
+#: Bins at first, parts that a heavy one is split into, and how many heavy ones there are at most (a bin is heavy with
+#: more than a shard's bytes and this part of all), which bounds what the driver holds.
+BINS, SPLIT, HEAVY = 1 << 14, 1 << 6, 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 FILES = "shard int, seq int, file string, records long, payload_bytes long, file_bytes long, sha256 string, first_id long, last_id long"
 
@@ -89,15 +94,32 @@ def _files_at(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
-def _shards(ids: DataFrame) -> tuple[DataFrame, int, int]:
-    """bin and shard of every id bin (BINS rows at most), the lowest id and the width of a bin."""
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    binned = ids.withColumn("bin", F.floor((F.coalesce("id", F.lit(low or 0)) - F.lit(low or 0)) / F.lit(width)).cast("int"))
-    sums = binned.groupBy("bin").agg(F.sum(F.col("size")).alias("size"))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over BINS rows at most
+def bin_of(ids: Column, starts: np.ndarray) -> Column:
+    """Number of the last bin that starts at or before an id; null ids are in the first."""
+
+    @F.pandas_udf("int")
+    def number(x: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(starts, x.to_numpy(np.int64), "right") - 1, 0).astype(np.int32))
+
+    return number(F.coalesce(ids, F.lit(int(starts[0]))))
+
+
+def _shards(ids: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """bin and shard of every id bin, and the ids at which bins start (BINS + a bounded number a pass)."""
+    low, high, total = ids.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    low, high, total = low or 0, high or 0, total or 0
+    width = max(1, -(-(high - low + 1) // BINS))
+    starts = np.array(range(low, high + 1, width), np.int64)
+    while True:
+        sums = ids.groupBy(bin_of(F.col("id"), starts).alias("bin")).agg(F.sum("size").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
+        heavy = sums.where((F.col("size") > max(SHARD_BYTES, total // HEAVY)) & (F.col("low") < F.col("high"))).collect()
+        if not heavy:
+            break
+        more = [range(r.low, r.high + 1, -(-(r.high - r.low + 1) // SPLIT)) for r in heavy]
+        starts = np.unique(np.concatenate([starts, *[np.array(x, np.int64) for x in more]]))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over the bins
     cuts = sums.select("bin", F.floor(F.coalesce(F.sum("size").over(upto), F.lit(0)) / F.lit(SHARD_BYTES)).cast("int").alias("shard"))
-    return cuts, low or 0, width
+    return cuts, starts
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: int = 6, least_payload: int = 0) -> DataFrame:
@@ -114,11 +136,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     # written and read back: its real size decides how it is joined, and a payload that many pages share is a skewed join's split
     shared = keys.where(F.col("size") >= least_payload).groupBy("sha", "size").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null").drop("n")
     shared = written(shared, "shared")
-    cuts, low, width = _shards(keys)
+    cuts, starts = _shards(keys)
     cuts = written(cuts, "cuts")
     n_shards = (cuts.agg(F.max("shard")).first()[0] or 0) + 1
-    bin_ = F.floor((F.coalesce("id", F.lit(low)) - F.lit(low)) / F.lit(width)).cast("int")
-    placed = keyed.withColumn("bin", bin_).join(F.broadcast(cuts), "bin")  # BINS rows at most
+    placed = keyed.withColumn("bin", bin_of(F.col("id"), starts)).join(F.broadcast(cuts), "bin")  # a row a bin
     told = placed.join(shared, ["sha", "size"], "left")
     first = Window.partitionBy("id", "sha", "size").orderBy("url")
     repeats = keys.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null")
