@@ -60,3 +60,14 @@ def test_edited_notices_and_odd_rows(spark):
 def test_bands_guarantee_retrieval():
     for j in (0.2, 0.5, 0.8):
         assert (1 - j) ** lic.bands_for(j) <= lic.MISSED
+
+
+def test_templates_of_whole_licenses(spark):
+    rnd = random.Random(12)
+    long = " ".join(rnd.choice("the of a license work source code party grant claim notice terms contributor patent".split()) + str(rnd.randrange(400)) for _ in range(1800))
+    own = long.split()
+    for i in range(0, 1800, 90):
+        own[i] = "changed"
+    docs = spark.createDataFrame([(1, "before " * 700 + " ".join(own) + " after" * 300), (2, " ".join(own[:900]))], "doc_id long, text string")
+    rows = lic.license_matches(docs, {"long": long, "short": "Released under the MIT License."}).collect()
+    assert [(r.doc_id, r.license) for r in rows] == [(1, "long")] and rows[0].n_found >= 0.8 * rows[0].n_shingles
