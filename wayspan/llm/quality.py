@@ -21,11 +21,12 @@ from wayspan.llm.common import written
 
 DIMENSIONS = 5
 #: Standard deviations (thousandths) below which a statistic is not resolved: added to every covariance.
-FLOORS = (150, 60, 100, 150, 150)
+FLOORS = (150, 60, 100, 95, 95)
 COVERAGE = 0.75
 STEPS = 4
-#: Squared distance; a chi-square variable with five degrees of freedom passes it once in ten million times.
-CUTOFF = 40.0
+#: Squared distance: the 0.999 quantile of a chi-square variable with five degrees of freedom. With the floors above
+#: each statistic can pass it on its own.
+CUTOFF = 20.515
 #: Smaller cells of language and source are estimated together: by language, then all.
 LEAST_CELL = 50
 X = [f"x{i}" for i in range(DIMENSIONS)]
