@@ -11,6 +11,18 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
+def common(a, b):
+    """Length of the longest run of words that both have."""
+    best, row = 0, {}
+    where = {}
+    for j, y in enumerate(b):
+        where.setdefault(y, []).append(j)
+    for x in a:
+        row = {j: row.get(j - 1, 0) + 1 for j in where.get(x, ())}
+        best = max(best, *row.values()) if row else best
+    return best
+
+
 def brute(docs, items, window=10):
     wanted = {}
     for i, text in items:
@@ -26,7 +38,8 @@ def brute(docs, items, window=10):
                 if own := wanted.get(tuple(w[at : at + n])):
                     hit |= set(range(at, at + n))
                     found |= own
-        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        longest = max((common(w, words(t)) for i, t in items if str(i) in found), default=0)
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest))
     return sorted(out, key=repr)
 
 
@@ -77,7 +90,7 @@ def test_items_without_id_and_row_counts(spark, monkeypatch):
     left = spark.createDataFrame(docs, "doc_id long, text string")
     right = spark.createDataFrame([(None, passage), (None, "  " + passage), (7, other), (None, None)], "item_id long, text string")
     none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
-    want = [(1, 12, 10, 1, none, True)] * 2 + [(None, 10, 10, 1, seven, True)] * 2 + [(2, 20, 20, 2, seven, True)] + [(3, 1, 0, 0, none, False)] * 2 + [(4, 0, 0, 0, none, False)] * 2
+    want = [(1, 12, 10, 1, none, True, 10)] * 2 + [(None, 10, 10, 1, seven, True, 10)] * 2 + [(2, 20, 20, 2, seven, True, 10)] + [(3, 1, 0, 0, none, False, 0)] * 2 + [(4, 0, 0, 0, none, False, 0)] * 2
     for size in (d.BLOCK_BYTES, 40):
         monkeypatch.setattr(d, "BLOCK_BYTES", size)
         assert sorted((tuple(r) for r in d.contamination(left, right).collect()), key=repr) == sorted(want, key=repr)

@@ -110,6 +110,19 @@ def _shards(batches: Iterator[pa.RecordBatch], text: str):
             yield batch, a, b, words, bounds
 
 
+def _longest(bounds: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The longest verbatim matches of a shard: windows that follow each other on one diagonal are one match. Row, first
+    word in the shard, words, item and first word in the item."""
+    at, length, items, item_at = found
+    of = np.searchsorted(bounds, at, "right") - 1
+    order = np.lexsort((at, at - item_at, items, of))
+    at, length, items, item_at, of = (x[order] for x in (at, length, items, item_at, of))
+    same = (of[1:] == of[:-1]) & (items[1:] == items[:-1]) & (np.diff(at - item_at) == 0) & (np.diff(at) == 1)
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(at)), bool), ~same])
+    last = np.r_[first[1:], len(at)][: len(first)] - 1
+    return of[first], at[first], at[last] - at[first] + length[last], items[first], item_at[first]
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The longest verbatim matches of a window or more: doc_id, item_id (string), doc_word, item_word, n_words
     (first words and length). A short item is one window. Null texts and items without words match nothing; an
@@ -122,20 +135,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id",
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch, a, b, words, bounds in _shards(batches, "text"):
-                at, length, items, item_at = sent.value.search(words, bounds)
-                if not len(at):
-                    continue
-                of = np.searchsorted(bounds, at, "right") - 1
-                order = np.lexsort((at, at - item_at, items, of))
-                at, length, items, item_at, of = (x[order] for x in (at, length, items, item_at, of))
-                same = (of[1:] == of[:-1]) & (items[1:] == items[:-1]) & (np.diff(at - item_at) == 0) & (np.diff(at) == 1)
-                first = np.flatnonzero(np.r_[True, ~same])
-                last = np.r_[first[1:], len(at)] - 1
-                ids = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(of[first])), pa.array(sent.value.ids[items[first]], pa.string()), pa.array(at[first] - bounds[of[first]]), pa.array(item_at[first]), pa.array(at[last] - at[first] + length[last])],
-                    ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
-                )
+                of, at, n, items, item_at = _longest(bounds, sent.value.search(words, bounds))
+                if len(of):
+                    ids = batch.column(0).slice(a, b - a)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(sent.value.ids[items], pa.string()), pa.array(at - bounds[of]), pa.array(item_at), pa.array(n)], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
@@ -144,7 +147,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id",
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit (words inside a match), n_items (items with matching
-    windows), items_sha256 (their ids, sorted as strings, comma-joined) and contaminated.
+    windows), items_sha256 (their ids, sorted as strings, comma-joined), contaminated and longest (words of the longest
+    verbatim match).
 
     Null and empty texts have no words and no hits. Repeated rows give repeated rows. Items without an id count
     as hits and, together, as one item, which the list of ids leaves out. Other columns of the input are ignored.
@@ -157,14 +161,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", it
     def finder(sent):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, a, b, words, bounds in _shards(batches, "text"):
-                at, length, items, _ = sent.value.search(words, bounds)
-                of = np.searchsorted(bounds, at, "right") - 1
+                of, at, n, items, _ = _longest(bounds, sent.value.search(words, bounds))
                 spans: list[bytes | None] = [None] * (b - a)
                 named: list[list[str] | None] = [None] * (b - a)
-                order = np.argsort(of, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(at) else []:
+                for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1) if len(of) else []:
                     d = of[part[0]]
-                    pairs = np.unique(np.stack([at[part] - bounds[d], at[part] - bounds[d] + length[part]], 1), axis=0)
+                    pairs = np.unique(np.stack([at[part] - bounds[d], at[part] - bounds[d] + n[part]], 1), axis=0)
                     spans[d] = pairs.astype("<i8").tobytes()
                     named[d] = list(set(sent.value.ids[np.unique(items[part])]))
                 yield pa.RecordBatch.from_arrays(
@@ -188,21 +190,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", it
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit, count, named = [], [], []
+            hit, longest, count, named = [], [], [], []
             for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 pairs = np.concatenate([np.frombuffer(s, "<i8").reshape(-1, 2) for s in spans if s] or [np.zeros((0, 2), np.int64)])
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 reach = np.maximum.accumulate(np.r_[0, pairs[:-1, 1]]) if len(pairs) else np.zeros(0, np.int64)
                 hit.append(int(np.maximum(0, pairs[:, 1] - np.maximum(pairs[:, 0], reach)).sum()))
+                longest.append(int((pairs[:, 1] - pairs[:, 0]).max()) if len(pairs) else 0)
                 own = {x for part in items if part for x in part}
                 count.append(len(own))
                 named.append(hashlib.sha256(",".join(sorted(own - {None})).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(named, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(named, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array(longest, pa.int64())],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
             )
 
-    return merged.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return merged.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -237,8 +240,11 @@ with d as materialized (select doc_id, {_WORDS} as w from documents), b as mater
 iw as materialized (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as g from (select item, w, least(len(w), {WINDOW}) as n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as i from b where len(w) > 0)),
 dw as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from iw) where len(w) >= n)),
 h as materialized (select doc_id, n, i, item from dw join iw using (n, g)),
+ip as (select k, n, j, array_to_string(w[j : j + n - 1], ' ') as g from (select k, w, least(len(w), {WINDOW}) as n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as j from (select row_number() over () as k, w from b where len(w) > 0))),
+g as (select doc_id, k, n, i, i - j as d, i - row_number() over (partition by doc_id, k, i - j order by i) as island from dw join ip using (n, g)),
+m as (select doc_id, max(c) as longest from (select doc_id, count(*) + any_value(n) - 1 as c from g group by doc_id, k, d, island) group by doc_id),
 c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id),
 s as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
-select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join c on d.doc_id = c.doc_id left join s on d.doc_id = s.doc_id
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(longest, 0) as longest, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join m on d.doc_id = m.doc_id left join s on d.doc_id = s.doc_id
 """
