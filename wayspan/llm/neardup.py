@@ -21,6 +21,7 @@ what is verified grows with the links that components need:
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,9 @@ SIGMAS = 4.5
 #: Partners that an outsider of a bucket sends to verification in the first round, and how many times more in each
 #: later one, so few rounds do.
 NEAREST, MORE = 8, 4
-#: Similarity by parity sketches from which one partner stands for all of its component in a round.
-SURE = 0.81
+#: Similarity by parity sketches from which a few partners stand for all of their component in a round, and how many:
+#: colliding members make one in twenty look nearer than it is.
+SURE, STAND = 0.82, 3
 #: Outsiders and members of a bucket whose registers meet in one task.
 OUTSIDERS, MEMBERS = 1024, 8192
 #: Bits of a parity sketch for each member of the set, rounded up to a power of two.
@@ -205,13 +207,14 @@ def _block_pairs(table: pa.Table, failed: pa.Table, percent: int, nearest: int)
     alone."""
     out: dict[str, list] = {k: [] for k in ("a", "b", "band", "c_a", "c_b")}
     if table.num_rows:
-        names = ("node", "component", "n", "outer", "outsider", "index")
-        node, component, size, outer, outsider, index = (table.column(c).to_numpy() for c in names)
+        names = ("node", "component", "n", "outer", "outsider")
+        node, component, size, outer, outsider = (table.column(c).to_numpy() for c in names)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
         sketch = [np.frombuffer(x, np.uint8) for x in table.column("parity").to_pylist()]
         barred = set(zip(failed.column("a").to_pylist(), failed.column("b").to_pylist(), strict=True))
         left, right = np.flatnonzero(outsider), np.flatnonzero(~outsider)
-        key, band, floor = table.column("band")[0].as_py(), int(index[0]), floor_of(percent)
+        key, floor = table.column("band")[0].as_py(), floor_of(percent)
+        band = key & 63
         for at in range(0, len(left), 8):
             block = left[at : at + 8]
             low, high = np.minimum(size[block][:, None], size[right][None, :]), np.maximum(size[block][:, None], size[right][None, :])
@@ -228,26 +231,26 @@ def _block_pairs(table: pa.Table, failed: pa.Table, percent: int, nearest: int)
             alike, possible = (both - about) / (both + about), least * (100 + percent) <= both * (100 - percent)
             x, y, alike = x[possible], y[possible], alike[possible]
             order = np.lexsort((node[right[y]], -alike, x))
-            sent, settled = np.zeros(len(block), np.int64), set()
+            sent, settled = np.zeros(len(block), np.int64), Counter()
             for i, j, near in zip(x[order].tolist(), right[y[order]].tolist(), alike[order].tolist(), strict=True):
-                if sent[i] < nearest and (i, component[j]) not in settled:
+                if sent[i] < nearest and settled[i, component[j]] < STAND:
                     p, q = sorted((block[i], j), key=lambda k: node[k])
                     if (int(node[p]), int(node[q])) not in barred:
                         sent[i] += 1
                         for k, v in zip(out, (node[p], node[q], key, component[p], component[q]), strict=True):
                             out[k].append(int(v))
                         if near >= SURE:
-                            settled.add((i, component[j]))
+                            settled[i, component[j]] += 1
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
 def _across(told: DataFrame, sizes: DataFrame, failed: DataFrame, sets: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """Candidates (a, b, band, c_a, c_b) of different components in the buckets told (band, index, node, component). Large
+    """Candidates (a, b, band, c_a, c_b) of different components in the buckets told (band, node, component). Large
     buckets are dealt in blocks of outsiders and members, so a task holds registers of a bounded number."""
     blocks = sizes.select("band", "top", F.ceil((F.col("n") - F.col("top_n")) / OUTSIDERS).cast("int").alias("_o"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("_m"))
     rows = told.join(blocks.hint("merge"), "band").join(sets.select("node", "n", "sig", "parity").hint("merge"), "node")
     rows = rows.withColumn("outer", F.col("component") != F.col("top"))
-    columns = ["band", "index", "node", "component", "n", "sig", "parity", "outer"]
+    columns = ["band", "node", "component", "n", "sig", "parity", "outer"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda node, n: F.pmod(F.xxhash64(node), F.col(n)).cast("int")
     members = rows.select(*columns, F.lit(False).alias("outsider"), own("node", "_m").alias("m"), every("_o").alias("o"))
@@ -290,8 +293,9 @@ def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -
     reps = sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("named"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers of the table as written
 
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
-    bands = reps.select("node", F.posexplode(keys).alias("index", "band"))
+    # a bucket's key: a hash of the band's registers, the band's number in its last six bits
+    key = lambda i: F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)).bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(i))
+    bands = reps.select("node", F.explode(F.array(*map(key, range(BANDS)))).alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last").drop("_last")
     members = written(bands.join(shared.hint("merge"), "band"), "members")
     # one shuffle by node counts the buckets with every hub and picks the hub with most; a node may be its own alone
@@ -313,9 +317,9 @@ def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -
     pairs = written(likely_pairs(met.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "likely")
     first = verified(pairs, sets, percent).where("linked").select(F.col("b").alias("node"), F.col("a").alias("component")).distinct()
     labels = rooted(written(met.select("node").join(first.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels"))
-    live, failed, nearest = members.select("band", "index", "node"), None, NEAREST
+    live, failed, nearest = members.select("band", "node"), None, NEAREST
     while True:
-        labelled = written(live.join(labels.hint("merge"), "node").select("band", "index", "node", "component"), "labelled")
+        labelled = written(live.join(labels.hint("merge"), "node").select("band", "node", "component"), "labelled")
         groups = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
         sizes = groups.groupBy("band").agg(F.max(F.struct("size", "component")).alias("_top"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         sizes = written(sizes.select("band", F.col("_top.component").alias("top"), F.col("_top.size").alias("top_n"), "n"), "open")
@@ -328,7 +332,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, doc: str, text: str) -
         labels = written(labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_c")).hint("merge"), "component", "left").select("node", F.coalesce("_c", "component").alias("component")), "labels")
         lost = tested.where("not linked").select("a", "b", "band")
         failed, nearest = lost if failed is None else failed.unionByName(lost), nearest * MORE
-        live = labelled.join(more.select("band").distinct().hint("merge"), "band", "left_semi").select("band", "index", "node")
+        live = labelled.join(more.select("band").distinct().hint("merge"), "band", "left_semi").select("band", "node")
 
     grouped = reps.select("fp", "node", "named").join(labels.hint("merge"), "node", "left").select("fp", "named", F.coalesce("component", "node").alias("component"))
     names = grouped.groupBy("component").agg(F.min("named").alias("component_id"))
