@@ -247,6 +247,20 @@ def test_zones_that_cannot_be(spark):
         temporal.chosen_frames(spark.createDataFrame([(9, 1.0)], "hour int, altitude double"), [9, 10])
 
 
+def test_rays_meet_what_looks_highest(spark):
+    heights = spark.createDataFrame([(5, 6, 10.0), (5, 8, 40.0), (5, 9, 50.0), (4, 5, 3.0), (5, 5, 0.0)], "row int, col int, height double")
+    points = [(1, 5, 5, 0.0, 30.0, 90.0), (2, 5, 5, 0.0, 0.5, 90.0), (3, 5, 5, 0.0, 60.0, 90.0), (4, 5, 5, 0.0, 30.0, 0.0), (5, 5, 5, 0.0, 30.0, 270.0), (6, 5, 5, None, 30.0, 90.0)]
+    frame = spark.createDataFrame(points, "point_id int, row int, col int, height double, altitude double, azimuth double")
+    got = {r.point_id: (r.row, r.col, r.distance) for r in spatial.ray_obstruction(frame, heights, 2.0, 10.0).collect()}
+    assert got == {1: (5, 8, 6.0), 2: (None,) * 3, 3: (5, 8, 6.0), 4: (4, 5, 2.0), 5: (None,) * 3, 6: (None,) * 3}
+
+
+def test_orders(spark):
+    rows = spark.createDataFrame([(1, "b", None), (2, "\u00c4", 3), (3, "A", 1), (4, "a", None), (5, "B", 1)], "id int, name string, rank int")
+    assert [r.id for r in serve.in_name_order(rows, "name", "id").collect()] == [3, 4, 1, 5, 2]
+    assert [r.id for r in serve.in_rank_order(rows, "rank", "id").collect()] == [3, 5, 2, 1, 4]
+
+
 def test_vertices_on_segments(spark):
     segments = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0)], "s int, ax double, ay double, bx double, by double")
     vertices = spark.createDataFrame([(1, 5.0, 0.01), (2, 5.0, 0.03), (3, 0.0, 0.0), (4, 10.0, 0.01)], "v int, x double, y double")
@@ -288,6 +302,9 @@ def test_readers_and_writers(spark, tmp_path):
     grid = spark.range(100).selectExpr("id div 10 as row", "id % 10 as col", "id as v")
     files.write_pixels(grid, str(tmp_path / "px"), 4)
     assert files.read_pixels(spark, str(tmp_path / "px"), (2, 5, 3, 9), 4).count() == 18
+    nan = spark.createDataFrame([(1.0, 2.0, float("nan"), 4)], "lon double, lat double, b double, a int")
+    files.write_features(nan, str(tmp_path / "nan"), "lon", "lat", ["b", "a"], ["a"])
+    assert '"properties":{"a":4}' in spark.read.text(str(tmp_path / "nan")).first()[0]
     places = spark.createDataFrame([(1.0, 2.0, None, 4)], "lon double, lat double, b string, a int")
     files.write_features(places, str(tmp_path / "out"), "lon", "lat", ["b", "a"], ["a"])
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"geometry":{"coordinates":[1.0,2.0],"type":"Point"},"properties":{"a":4},"type":"Feature"}'

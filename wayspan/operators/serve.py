@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayspan.functions.text import text_key
 from wayspan.operators.sizes import small
 
 
@@ -72,3 +73,18 @@ def ranked_groups(df: DataFrame, group: Column, order: list[str], rank: str, key
     told = df.withColumn("_g", group).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col(rank), F.lit(2**31 - 1)).alias("r"), F.col(key).alias("k")))).alias("_i"))
     place = F.coalesce(F.nullif(F.array_position(names, F.col("_g")), F.lit(0)), F.lit(len(order) + 1))
     return told.select(F.col("_g").alias("group"), place.alias("place"), F.transform("_i", lambda s: s["k"]).alias("items"))
+
+
+def in_name_order(places: DataFrame, name: str, key: str) -> DataFrame:
+    """Places by folded name, then id, sorted in ranges."""
+    return places.withColumn("_k", text_key(F.col(name))).orderBy("_k", key).drop("_k")
+
+
+def in_rank_order(candidates: DataFrame, rank: str, key: str) -> DataFrame:
+    """Candidates by rank, those without one last, then id."""
+    return candidates.orderBy(F.col(rank).asc_nulls_last(), key)
+
+
+def with_street_ids(points: DataFrame, streets: DataFrame, street: str, street_id: str) -> DataFrame:
+    """points with the id of their street, null where it is unknown; few streets are broadcast."""
+    return points.join(small(streets.select(street, street_id)), street, "left")

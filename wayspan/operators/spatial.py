@@ -126,16 +126,32 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, polygon:
     return sure.unionByName(covered(tested, F.col("x"), F.col("y"), [point]).select(point, polygon))
 
 
-def ray_obstruction(points: DataFrame, heights: DataFrame, steps: int, d_row: Column, d_col: Column, sun_slope: Column) -> DataFrame:
-    """(point_id, row, col) of the cell that blocks the sun: along the ray (d_row, d_col a step) the steepest cell
-    above the sun's slope, the nearest on ties; null when lit. points: point_id, row, col, height; heights:
-    row, col, height."""
-    walk = points.withColumns({"_dr": d_row, "_dc": d_col, "_sun": sun_slope}).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    walk = walk.withColumns({"r": F.floor(F.col("row") + F.col("step") * F.col("_dr") + 0.5).cast("long"), "c": F.floor(F.col("col") + F.col("step") * F.col("_dc") + 0.5).cast("long")})
+def ray_obstruction(points: DataFrame, heights: DataFrame, resolution: float, reach: float, horizon: float = 0.5) -> DataFrame:
+    """(point_id, row, col, distance, apparent) of the cell that blocks the sun: along the ray towards it, a step of the
+    resolution at a time and up to the reach, the cell that looks highest above the sun, the nearest on ties; nulls when
+    the point is lit or the sun stands at the horizon or below. apparent is the cell's altitude in degrees.
+
+    points: point_id, row, col, height, altitude and azimuth (degrees, north is 0 and up) of each point's sun; heights:
+    row, col, height.
+    """
+    sun = points.where((F.col("altitude") > horizon) & F.col("height").isNotNull()).select("point_id", "row", "col", "height", F.tan(F.radians("altitude")).alias("_sun"), F.sin(F.radians("azimuth")).alias("_dx"), (-F.cos(F.radians("azimuth"))).alias("_dy"))
+    walk = sun.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(int(reach / resolution)))))
+    walk = walk.withColumns({"r": F.col("row") + F.bround(F.col("step") * F.col("_dy"), 0).cast("long"), "c": F.col("col") + F.bround(F.col("step") * F.col("_dx"), 0).cast("long")})
     other = heights.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), F.col("height").alias("h"))
-    met = walk.hint("merge").join(other, ["r", "c"]).withColumn("slope", (F.col("h") - F.col("height")) / F.col("step")).where("slope > _sun")
-    best = met.groupBy("point_id").agg(F.max_by(F.struct("r", "c"), F.struct("slope", -F.col("step"))).alias("b"))
-    return points.select("point_id").join(best.hint("merge"), "point_id", "left").select("point_id", F.col("b.r").alias("row"), F.col("b.c").alias("col"))
+    met = walk.hint("merge").join(other, ["r", "c"]).withColumn("slope", (F.col("h") - F.col("height")) / (F.col("step") * F.lit(float(resolution)))).where("slope > _sun")
+    best = met.groupBy("point_id").agg(F.max_by(F.struct("r", "c", "step", "slope"), F.struct("slope", -F.col("step"))).alias("b"))
+    told = points.select("point_id").join(best.hint("merge"), "point_id", "left")
+    return told.select("point_id", F.col("b.r").alias("row"), F.col("b.c").alias("col"), (F.col("b.step") * F.lit(float(resolution))).alias("distance"), F.degrees(F.atan("b.slope")).alias("apparent"))
+
+
+def line_segments(lines: DataFrame, line: str, coords: str) -> DataFrame:
+    """(line, piece, ax, ay, bx, by): the segments between consecutive vertices (structs of two numbers) of each line.
+    No shuffle: a line's vertices are in its row."""
+    names = [f.name for f in lines.schema[coords].dataType.elementType.fields]
+    point = lambda i, p: [F.get(coords, i)[n].alias(f"{p}{k}") for n, k in zip(names, "xy", strict=False)]
+    piece = lambda i: F.struct(i.alias("piece"), *point(i, "a"), *point(i + 1, "b"))
+    pieces = F.when(F.size(coords) >= 2, F.transform(F.sequence(F.lit(0), F.size(coords) - 2), piece))
+    return lines.select(line, F.explode(pieces).alias("s")).select(line, "s.*")
 
 
 def overlapping_boxes(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float) -> DataFrame:

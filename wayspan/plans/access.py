@@ -403,3 +403,17 @@ def matching_cells(spark, sf_dir):
     cell = F.struct(F.col("l_returnflag").alias("time"), F.col("l_linestatus").alias("access"), walk.alias("walk"), "active", "gain")
     packed = c.groupBy("l_suppkey").agg(F.collect_list(cell).alias("cells")).withColumns({"material_gain": F.col("l_suppkey") % 3 > 0, "action": F.when(F.col("l_suppkey") % 3 == 1, "extend").otherwise("new")})
     return reduce(DataFrame.unionByName, [serve.one_matching_cell(packed, "cells", "extend", "A", "F", w).select("l_suppkey", F.lit(w).alias("walk"), "cell.gain") for w in (3, 4)])
+
+
+@query("""with s as (select p_name, row_number() over (order by p_name) - 1 as street_id from (select p_name from part group by p_name having count(*) >= 3)) select p_partkey, coalesce(street_id, -1) as street_id from part left join s using (p_name)""")
+def street_ids(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    names = part.groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("p_name")
+    out = serve.with_street_ids(part, metrics.numbered(names, ["p_name"], "street_id"), "p_name", "street_id")
+    return out.select("p_partkey", F.coalesce("street_id", F.lit(-1)).alias("street_id"))
+
+
+@query("select c_custkey, c_name, coalesce(case when c_custkey % 4 > 0 then c_nationkey end, -1) as rank from customer where c_nationkey < 5")
+def ordered_candidates(spark, sf_dir):
+    told = table(spark, sf_dir, "customer").where("c_nationkey < 5").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 4 > 0, F.col("c_nationkey")).alias("rank"))
+    return serve.in_rank_order(told, "rank", "c_custkey").withColumn("rank", F.coalesce("rank", F.lit(-1)))

@@ -374,14 +374,30 @@ def focal_sums(spark, sf_dir):
     return pixels.focal_sums(grid(spark, sf_dir).withColumn("height", F.floor("height")), "height", 2)
 
 
-@query(f"""with {GRID}, q as (select row * 1000 + col as point_id, row, col, height / 1000 as height from g where not ground), k as (select point_id, q.row as r0, q.col as c0, q.height as h0, step, cast(floor(q.row + step * -0.6::double + 0.5) as bigint) as r, cast(floor(q.col + step * 0.8::double + 0.5) as bigint) as c from q, range(1, 6) t(step)),
-m as (select point_id, r, c, (g.height / 1000 - h0) / step as slope, step from k join g on g.row = r and g.col = c), x as (select *, row_number() over (partition by point_id order by slope desc, step) as n from m where slope > 0.5)
-select q.point_id, coalesce(x.r, -1) as row, coalesce(x.c, -1) as col from q left join x on q.point_id = x.point_id and n = 1""")
+@query(f"""with {GRID}, q as (select row * 1000 + col as point_id, row, col, height / 1000 as height, (col % 40)::double as altitude, (row * 37 % 360)::double as azimuth from g where not ground), k as (select point_id, height as h0, tan(radians(altitude)) as sun, step, row + cast(round_even(step * -cos(radians(azimuth)), 0) as bigint) as r, col + cast(round_even(step * sin(radians(azimuth)), 0) as bigint) as c from q, range(1, 6) t(step) where altitude > 0.5),
+m as (select point_id, r, c, step, (g.height / 1000 - h0) / (step * 20.0::double) as slope, sun from k join g on g.row = r and g.col = c), x as (select *, row_number() over (partition by point_id order by slope desc, step) as n from m where slope > sun)
+select q.point_id, coalesce(x.r, -1) as row, coalesce(x.c, -1) as col, coalesce(x.step * 20.0::double, -1) as distance, round_even(coalesce(degrees(atan(slope)), -1), 6) as apparent from q left join x on q.point_id = x.point_id and n = 1""")
 def sun_obstructions(spark, sf_dir):
     own = grid(spark, sf_dir).withColumn("height", F.col("height") / 1000)
-    points = own.where("not ground").select((F.col("row") * 1000 + F.col("col")).alias("point_id"), "row", "col", "height")
-    out = spatial.ray_obstruction(points, own, 5, F.lit(-0.6), F.lit(0.8), F.lit(0.5))
-    return out.select("point_id", F.coalesce("row", F.lit(-1)).alias("row"), F.coalesce("col", F.lit(-1)).alias("col"))
+    points = own.where("not ground").select((F.col("row") * 1000 + F.col("col")).alias("point_id"), "row", "col", "height", (F.col("col") % 40).cast("double").alias("altitude"), (F.col("row") * 37 % 360).cast("double").alias("azimuth"))
+    out = spatial.ray_obstruction(points, own, 20.0, 100.0)
+    none = lambda c: F.coalesce(c, F.lit(-1))
+    return out.select("point_id", none("row").alias("row"), none("col").alias("col"), none("distance").alias("distance"), F.bround(none("apparent"), 6).alias("apparent"))
+
+
+@query(f"with {PLACES}, l as (select label, list({{'x': x, 'y': y}} order by vec_id) as v from p where label < 3 group by label), s as (select label, unnest(range(1, len(v))) as i, v from l) select label, count(*) as pieces, round_even(sum(sqrt(pow(v[i + 1].x - v[i].x, 2) + pow(v[i + 1].y - v[i].y, 2))), 3) as metres from s group by label")
+def polyline_lengths(spark, sf_dir):
+    lines = places(spark, sf_dir).where("label < 3").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("coords"))
+    pieces = spatial.line_segments(lines, "label", "coords").withColumn("metres", geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    return pieces.groupBy("label").agg(F.count(F.lit(1)).alias("pieces"), F.bround(F.sum("metres"), 3).alias("metres"))
+
+
+@query(f"with {PLACES} select vec_id, floor((x - 3) / 25) * 25 + 0.0 as x0, ceil((y + 4) / 25) * 25 + 0.0 as y1, cast(floor(floor((0 - y) / 25) / 4) as int) as block_row, cast(floor(floor(x / 25) / 4) as int) as block_col from p")
+def snapped_boxes(spark, sf_dir):
+    x0, _, _, y1 = geo.snapped_bounds(F.col("x") - 3, F.col("y") - 4, F.col("x") + 3, F.col("y") + 4, 25.0)
+    row, col = geo.cell(F.col("x"), F.col("y"), 0.0, 0.0, 25.0)
+    block = geo.block_key(row, col, 4)
+    return places(spark, sf_dir).select("vec_id", x0.alias("x0"), y1.alias("y1"), block[0].alias("block_row"), block[1].alias("block_col"))
 
 
 # --- names and quality --------------------------------------------------------------------------

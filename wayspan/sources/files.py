@@ -117,16 +117,19 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     df.select(*fields).write.option("header", True).csv(path)
 
 
-def feature_json(lon: Column, lat: Column, properties: list[str], digits: int = 6) -> Column:
-    """A point feature as JSON, property keys sorted, NaN and null properties left out."""
-    clean = F.struct(*[F.col(c) for c in sorted(properties)])
+def feature_json(lon: Column, lat: Column, properties: list[str], digits: int = 6, numbers: tuple[str, ...] = ()) -> Column:
+    """A point feature as JSON, property keys sorted, null properties and NaN in the named number columns left out."""
+    plain = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c) if c in numbers else F.col(c)
+    clean = F.struct(*[plain(c) for c in sorted(properties)])
     geometry = F.struct(F.array(F.bround(lon, digits), F.bround(lat, digits)).alias("coordinates"), F.lit("Point").alias("type"))
     return F.to_json(F.struct(geometry.alias("geometry"), clean.alias("properties"), F.lit("Feature").alias("type")), {"ignoreNullFields": "true"})
 
 
 def write_features(df: DataFrame, path: str, lon: str, lat: str, properties: list[str], order: list[str]) -> None:
     """One feature a line, sorted within each file of a range-sorted set."""
-    df.repartitionByRange(*order).sortWithinPartitions(*order).select(feature_json(F.col(lon), F.col(lat), properties).alias("value")).write.text(path)
+    numbers = tuple(n for n, kind in df.dtypes if kind in ("double", "float"))
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.select(feature_json(F.col(lon), F.col(lat), properties, numbers=numbers).alias("value")).write.text(path)
 
 
 def write_ndjson(df: DataFrame, path: str) -> None:
