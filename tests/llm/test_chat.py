@@ -58,3 +58,9 @@ def test_query(spark, sf):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in c.op2_reply_trees(spark, sf).collect()}
     assert got == {k: (n, sha(t), len(x), sha(x)) for k, (n, t, x) in want.items()}
+
+
+def test_repeated_and_missing_nodes(spark):
+    rows = [("t", 1, None, "user", "a", 0.0), ("t", 1, None, "user", "a", 0.0), ("t", 2, 1, "assistant", "z", 1.0), ("t", 2, 1, "assistant", "b", 1.0), ("t", None, 1, "assistant", "lost", 9.0)]
+    out = c.format_trees(spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")).collect()
+    assert [(r.leaf, r.formatted) for r in out] == [(2, "<s>[user]\na</s><s>[assistant]\nb</s>")]

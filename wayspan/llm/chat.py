@@ -64,14 +64,18 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     return paths
 
 
-def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
+def format_trees(messages: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
     """One conversation for each chosen path: tree, leaf, rank, score, formatted, turn_starts (first code point
     of each turn) and loss_spans (turn, start, end: code points of the assistants' texts, end exclusive).
 
     messages: tree, node, parent, role, text, score. Null roles and texts are empty, null scores 0, null trees
-    a tree of their own; an empty table gives an empty one; extra columns are ignored.
+    a tree of their own; an empty table gives an empty one; extra columns are ignored. Of rows that repeat a node of a
+    tree the smallest (parent, role, text, score) counts; rows without a node can't be placed and are left out. unique
+    says that there are none of both kinds.
     """
     own = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("\x00null")).alias("tree"), F.col("tree").alias("_tree"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
+    if not unique:
+        own = own.where("node is not null").groupBy(*KEY).agg(F.first("_tree").alias("_tree"), F.min(F.struct("parent", "role", "text", "score")).alias("_m")).select("tree", "_tree", "node", "_m.*")
     paths = chosen_paths(own, top)
     head = F.concat(F.lit("<s>["), escaped(F.col("role"), role=True), F.lit("]\n"))
     pieces = own.select("tree", "_tree", "node", "role", F.length(head).cast("long").alias("head"), F.concat(head, escaped(F.col("text")), F.lit("</s>")).alias("piece"))
@@ -106,9 +110,11 @@ def turn_chains(conversations: DataFrame) -> DataFrame:
 
 
 def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe -1, read back from their format; should the table have a conversation -1, the
+    probe's turns are among its own."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    out = read_back(format_trees(turn_chains(rows.unionByName(probe))))
+    out = read_back(format_trees(turn_chains(rows.unionByName(probe)), unique=True))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
