@@ -13,7 +13,8 @@ what is verified grows with the links that components need:
 2. Buckets that still hold several components are dealt in blocks of bounded size. Inside a task the members
    outside the bucket's largest component meet the others by registers, then by parity sketches: the bits in
    which two sketches differ bound the symmetric difference from below, so a pair that they rule out has no
-   link. Of what is left each outsider sends its few best partners, from the first band that the two share.
+   link. Of pairs that are nearly sure a block sends two spanning forests of its components (a few look nearer than they
+   are), of the others each outsider its few best; a pair comes from the first band that the two share.
 3. Found links merge components, failed pairs are remembered, and the buckets that sent something are looked
    at again, until no bucket has a pair of different components left that is neither tested nor ruled out.
 """
@@ -38,12 +39,11 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Pairs whose estimate lies so many standard errors below the limit are not verified.
 SIGMAS = 4.5
-#: Partners that an outsider of a bucket sends to verification in the first round, and how many times more in each
-#: later one, so few rounds do.
+#: Doubtful partners that an outsider of a bucket sends to verification in the first round, and how many times more in
+#: each later one, so few rounds do.
 NEAREST, MORE = 8, 4
-#: Similarity by parity sketches from which a few partners stand for all of their component in a round, and how many:
-#: colliding members make one in twenty look nearer than it is.
-SURE, STAND = 0.82, 3
+#: Similarity by parity sketches from which a pair is taken for a link when a block chooses what to send.
+SURE = 0.82
 #: Outsiders and members of a bucket whose registers meet in one task.
 OUTSIDERS, MEMBERS = 1024, 8192
 #: Bits of a parity sketch for each member of the set, rounded up to a power of two.
@@ -201,10 +201,40 @@ def floor_of(percent: int) -> float:
     return j - SIGMAS * (j * (1 - j) / REGISTERS) ** 0.5
 
 
+class Forests:
+    """Two spanning forests over components that grow by links taken for granted."""
+
+    def __init__(self, n: int):
+        self.up = np.tile(np.arange(n), (2, 1))
+
+    def root(self, k: int, c: int) -> int:
+        up = self.up[k]
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    def roots(self, k: int) -> np.ndarray:
+        up = self.up[k]
+        while (up[up] != up).any():
+            up = up[up]
+        self.up[k] = up
+        return up
+
+    def added(self, a: int, b: int) -> bool:
+        """Whether a link between two components is new to a forest; it then belongs to the first such one."""
+        for k in (0, 1):
+            x, y = self.root(k, a), self.root(k, b)
+            if x != y:
+                self.up[k, max(x, y)] = min(x, y)
+                return True
+        return False
+
+
 def _block_pairs(table: pa.Table, failed: pa.Table, percent: int, nearest: int) -> pa.Table:
-    """For each outsider of a block its `nearest` best untested partners of other components that neither registers nor
-    parity sketches rule out, with both components; a pair that several bands share comes from the first of them
-    alone."""
+    """Untested pairs of different components of a block that neither registers nor parity sketches rule out, with both
+    components: two spanning forests of those that are nearly sure, and for each outsider the `nearest` best of others
+    between components that the sure ones leave apart. A pair that several bands share comes from the first of them."""
     out: dict[str, list] = {k: [] for k in ("a", "b", "band", "c_a", "c_b")}
     if table.num_rows:
         names = ("node", "component", "n", "outer", "outsider")
@@ -215,10 +245,13 @@ def _block_pairs(table: pa.Table, failed: pa.Table, percent: int, nearest: int)
         left, right = np.flatnonzero(outsider), np.flatnonzero(~outsider)
         key, floor = table.column("band")[0].as_py(), floor_of(percent)
         band = key & 63
+        every, code = np.unique(component, return_inverse=True)
+        forests, sent = Forests(len(every)), Counter()
         for at in range(0, len(left), 8):
             block = left[at : at + 8]
             low, high = np.minimum(size[block][:, None], size[right][None, :]), np.maximum(size[block][:, None], size[right][None, :])
-            close = (component[block][:, None] != component[right][None, :]) & (~outer[right][None, :] | (node[block][:, None] < node[right][None, :])) & (low * 100 >= high * percent)
+            second = forests.roots(1)[code]  # what both forests join needs no further pair
+            close = (second[block][:, None] != second[right][None, :]) & (~outer[right][None, :] | (node[block][:, None] < node[right][None, :])) & (low * 100 >= high * percent)
             if not close.any():
                 continue
             same = sig[block][:, None, :] == sig[right][None, :, :]
@@ -229,18 +262,21 @@ def _block_pairs(table: pa.Table, failed: pa.Table, percent: int, nearest: int)
             least, about = parity_gaps(sketch, block[x], right[y])
             both = size[block[x]] + size[right[y]]
             alike, possible = (both - about) / (both + about), least * (100 + percent) <= both * (100 - percent)
-            x, y, alike = x[possible], y[possible], alike[possible]
-            order = np.lexsort((node[right[y]], -alike, x))
-            sent, settled = np.zeros(len(block), np.int64), Counter()
-            for i, j, near in zip(x[order].tolist(), right[y[order]].tolist(), alike[order].tolist(), strict=True):
-                if sent[i] < nearest and settled[i, component[j]] < STAND:
-                    p, q = sorted((block[i], j), key=lambda k: node[k])
-                    if (int(node[p]), int(node[q])) not in barred:
-                        sent[i] += 1
-                        for k, v in zip(out, (node[p], node[q], key, component[p], component[q]), strict=True):
-                            out[k].append(int(v))
-                        if near >= SURE:
-                            settled[i, component[j]] += 1
+            x, y, alike = block[x[possible]], right[y[possible]], alike[possible]
+            order = np.lexsort((node[y], x, -alike))
+            for i, j, near in zip(x[order].tolist(), y[order].tolist(), alike[order].tolist(), strict=True):
+                p, q = (i, j) if node[i] < node[j] else (j, i)
+                if (int(node[p]), int(node[q])) in barred:
+                    continue
+                if near >= SURE:
+                    if not forests.added(code[i], code[j]):
+                        continue
+                elif sent[i] == nearest or forests.root(0, code[i]) == forests.root(0, code[j]):
+                    continue
+                else:
+                    sent[i] += 1
+                for k, v in zip(out, (node[p], node[q], key, component[p], component[q]), strict=True):
+                    out[k].append(int(v))
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
