@@ -127,3 +127,10 @@ def test_the_pipelines_mixture_meets_its_targets(spark, monkeypatch):
         assert r.prob <= 1
         assert r.prob * r.tokens / spent == pytest.approx(goal[r.source], abs=1e-6)
     assert spent / 30000 <= asked["budget"] + 1e-9
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    cells = spark.createDataFrame([("a", "en", "t", 10), ("b", "de", "t", 10)], "source string, lang string, topic string, tokens long")
+    targets = spark.createDataFrame([("source", "a", 0.9), ("source", "b", 0.1), ("lang", "en", 0.1), ("lang", "de", 0.9), ("topic", "t", 1.0)], "dim string, value string, share double")
+    with pytest.warns(UserWarning, match="missed"):
+        assert m.rake(cells, targets).count() == 2

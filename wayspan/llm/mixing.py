@@ -11,6 +11,7 @@ beyond that by joins and aggregations on the cell table, with the same result.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -22,6 +23,8 @@ from wayspan.llm.common import whitespace_words, written
 DIMENSIONS = ("source", "lang", "topic")
 CELL_LIMIT = 100_000
 TOLERANCE, SWEEPS = 1e-9, 200
+#: Scales that are tried together when a budget is met.
+GRID = 32
 
 
 def surface_topic(text: Column, words: Column) -> Column:
@@ -58,19 +61,27 @@ def rake_local(cells: list[tuple], targets: dict[tuple[str, str], float]) -> np.
         for (names, code), goal in zip(coded, wanted, strict=True):
             now = np.bincount(code, mass, len(names))
             mass = mass * np.where(now > 0, goal / np.where(now > 0, now, 1), 0)[code]
-        if max(np.abs(np.bincount(code, mass, len(names)) - goal).max() for (names, code), goal in zip(coded, wanted, strict=True)) < TOLERANCE:
-            break
+        off = max(np.abs(np.bincount(code, mass, len(names)) - goal).max() for (names, code), goal in zip(coded, wanted, strict=True))
+        if off < TOLERANCE:
+            return mass
+    _missed(off)
     return mass
 
 
+def _missed(off: float) -> None:
+    warnings.warn(f"after {SWEEPS} sweeps a marginal is still missed by {off:.3g}: no masses meet these targets, or slowly", stacklevel=3)
+
+
 def rake(cells: DataFrame, targets: DataFrame, limit: int = CELL_LIMIT) -> DataFrame:
     """cells (source, lang, topic, tokens) with `mass`, raked to targets (dim, value, share) and summing to one.
     Cells of a value that has no target get no mass. Marginals that no masses can meet (a target for
-    documents that aren't there) stop after SWEEPS sweeps at the nearest masses of the last sweep."""
+    documents that aren't there) stop after SWEEPS sweeps at the masses of the last sweep, with a warning that says by
+    how much they are missed. Up to `limit` cells and three times as many targets are raked on the driver."""
     spark = cells.sparkSession
     head = cells.orderBy(*DIMENSIONS).limit(limit + 1).collect()
-    if len(head) <= limit:
-        goals = {(r.dim, r.value): r.share for r in targets.orderBy("dim", "value").limit(3 * limit).collect()}
+    wanted = targets.limit(3 * limit + 1).collect() if len(head) <= limit else []
+    if len(head) <= limit and len(wanted) <= 3 * limit:
+        goals = {(r.dim, r.value): r.share for r in wanted}
         mass = rake_local([tuple(r) for r in head], goals) if head else []
         return spark.createDataFrame([(*r, float(m)) for r, m in zip(head, mass, strict=True)], "source string, lang string, topic string, tokens long, mass double")
     total = cells.agg(F.sum("tokens")).first()[0] or 1
@@ -88,7 +99,8 @@ def rake(cells: DataFrame, targets: DataFrame, limit: int = CELL_LIMIT) -> DataF
             gap = now.groupBy(dim).agg(F.sum("mass").alias("_now")).join(goal, dim, "left").agg(F.max(F.abs(F.col("_now") - F.coalesce("share", F.lit(0.0)))))
             off = max(off, gap.first()[0] or 0.0)
         if off < TOLERANCE:
-            break
+            return now
+    _missed(off)
     return now
 
 
@@ -100,15 +112,18 @@ def sampling_plan(cells: DataFrame, targets: DataFrame, budget: float | None = N
     raked = rake(cells, targets, limit)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     weighed = written(raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("mass") * float(total) / F.col("tokens")).otherwise(1.0)), "weights")
-    top = weighed.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
-    scale = 1.0 / top
-    if budget is not None:
-        low, high = 0.0, 1.0 / max(1e-12, weighed.where("weight > 0").agg(F.min("weight")).first()[0] or 1.0)
-        for _ in range(40):
-            mid = (low + high) / 2
-            spent = weighed.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * mid) * F.col("tokens"))).first()[0] or 0.0
-            low, high = (mid, high) if spent < budget * total else (low, mid)
-        scale = min(high, scale) if calibrated else high
+    top, least, mass = weighed.where("tokens > 0").agg(F.max("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight"))), F.sum(F.col("weight") * F.col("tokens"))).first()
+    scale = 1.0 / (top or 1.0)
+    if budget is not None and calibrated:  # below the cap what is spent grows with the scale
+        scale = min(scale, budget * total / mass) if mass else scale
+    elif budget is not None:
+        low, high = 0.0, 1.0 / max(1e-12, least or 1.0)
+        for _ in range(9):  # a job tries GRID scales and narrows the range as many times
+            tried = [low + (high - low) * k / GRID for k in range(1, GRID + 1)]
+            spent = weighed.agg(*[F.sum(F.least(F.lit(1.0), F.col("weight") * x) * F.col("tokens")) for x in tried]).first()
+            short = sum((x or 0.0) < budget * total for x in spent)
+            low, high = (tried[short - 1] if short else low), tried[min(short, GRID - 1)]
+        scale = high
     return weighed.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
 
 
