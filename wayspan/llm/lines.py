@@ -235,9 +235,9 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = f"""
 with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-l as materialized (select doc_id, at, line, {_KEY} as k from (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as at from s)),
+l as materialized (select doc_id, pos, line, {_KEY} as k from (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from s)),
 c as (select k, max(doc_id) as keeper from l where length(k) >= {LINE_CHARS} group by k having count(distinct doc_id) >= {LEAST_DOCS})
 select doc_id, count(*) as n_lines, count(*) filter (where doc_id < keeper) as n_dropped,
-sha256(coalesce(string_agg(line, chr(10) order by at) filter (where keeper is null or doc_id >= keeper), '')) as kept_sha256
+sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where keeper is null or doc_id >= keeper), '')) as kept_sha256
 from l left join c using (k) group by doc_id
 """

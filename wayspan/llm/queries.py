@@ -6,9 +6,11 @@ from wayspan.llm.chat import ORACLE as OP2_SQL
 from wayspan.llm.chat import op2_reply_trees
 from wayspan.llm.decontamination import ORACLE as OP6_SQL
 from wayspan.llm.decontamination import op6_suffix_decontamination
+from wayspan.llm.divergence import ORACLE as OP11_SQL
+from wayspan.llm.divergence import op11_source_divergence
+from wayspan.llm.licenses import op1_license_scan
 from wayspan.llm.lines import ORACLE as OP12_SQL
 from wayspan.llm.lines import op12_line_dedup
-from wayspan.llm.licenses import op1_license_scan
 from wayspan.llm.mixing import op4_raked_mixture
 from wayspan.llm.neardup import op10_hyperminhash
 from wayspan.llm.personal import op9_skip_chain
@@ -29,6 +31,7 @@ QUERIES = {
     "op8_mcd_quality": op8_mcd_quality,
     "op9_skip_chain": op9_skip_chain,
     "op10_hyperminhash": op10_hyperminhash,
+    "op11_source_divergence": op11_source_divergence,
     "op12_line_dedup": op12_line_dedup,
 }
 
@@ -36,5 +39,6 @@ ORACLES: dict[str, str] = {
     "op2_reply_trees": OP2_SQL,
     "op6_suffix_decontamination": OP6_SQL,
     "op8_mcd_quality": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
     "op12_line_dedup": OP12_SQL,
 }
