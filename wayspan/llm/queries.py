@@ -18,6 +18,8 @@ from wayspan.llm.quality import ORACLE as OP8_SQL
 from wayspan.llm.quality import op8_mcd_quality
 from wayspan.llm.sharding import op5_jump_hash
 from wayspan.llm.suffixes import op7_longest_previous_factor
+from wayspan.llm.vectorcodes import ORACLE as OP13_SQL
+from wayspan.llm.vectorcodes import op13_vector_codes
 from wayspan.llm.warc import op3_warc
 
 QUERIES = {
@@ -33,6 +35,7 @@ QUERIES = {
     "op10_hyperminhash": op10_hyperminhash,
     "op11_source_divergence": op11_source_divergence,
     "op12_line_dedup": op12_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -41,4 +44,5 @@ ORACLES: dict[str, str] = {
     "op8_mcd_quality": OP8_SQL,
     "op11_source_divergence": OP11_SQL,
     "op12_line_dedup": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
