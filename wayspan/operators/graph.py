@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration in the shared checkpoint folder. Where none is set, only a session on one
-    machine gets a folder of its own: executors of a cluster would not see it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A fresh path in the shared checkpoint folder. Where none is set, only a session on one machine gets a folder
+    of its own: executors of a cluster would not see it."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint()
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an iteration: df as a table in the shared folder, computed once."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, dealt and sorted by key: joins on the key read it where it lies."""
+    spark = df.sparkSession
+    path, n = shared_path(spark, "buckets"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = os.path.basename(path).replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def network_tables(lines: DataFrame, line: str, coords: str, length: str, digits: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -39,27 +58,32 @@ def shortest_edges(edges: DataFrame) -> DataFrame:
     return ends.groupBy("src", "dst").agg(F.min("length").alias("length"))
 
 
-def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: float, every: int = 8) -> DataFrame:
+def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: float, delta: float | None = None, every: int = 8) -> DataFrame:
     """(label, node, dist): distance from the nearest source of the label, offsets included, at most cutoff.
 
-    sources: label, node, dist (start offsets). All labels are solved together. Each round only the rows that
-    got better go on over the edges, and rows beyond the cutoff never enter a shuffle. What is known is the base
-    plus the rounds since; these are folded into the base only every few rounds, so a round costs its own rows
-    and a look at the base, not a new base. Rounds go on until nothing gets better; lengths must not be negative.
+    sources: label, node, dist (start offsets). All labels are solved together. Edges that can matter (no longer than
+    the cutoff) are dealt by node once; a round's frontier comes to them, so no round moves an edge. Each round only
+    rows that got better go on, the nearest first: those within `delta` of the nearest that waits (all, without
+    delta), so far rows don't spread distances that nearer ones would mend. What is known is the base plus the rounds
+    since; these are folded into the base every few rounds. Rounds go on until nothing waits; lengths must not be
+    negative.
     """
-    both = checkpointed(edges.select("src", "dst", "length").union(edges.select("dst", "src", "length")))
+    useful = edges.where((F.col("length") <= cutoff) & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    ways = F.array(F.struct("src", F.col("dst").alias("to")), F.struct(F.col("dst").alias("src"), F.col("src").alias("to")))
+    both = bucketed(useful.select(F.explode(ways).alias("w"), "length").select("w.*", "length"), "src")
     best = lambda df: df.groupBy("label", "node").agg(F.min("dist").alias("dist"))
-    base = frontier = checkpointed(best(sources.where(F.col("dist") <= cutoff).select("label", "node", "dist")))
+    base = waiting = checkpointed(best(sources.where(F.col("dist") <= cutoff).select("label", "node", "dist")))
     later: list[DataFrame] = []
-    while True:
-        step = frontier.join(both, frontier["node"] == both["src"]).select("label", F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).where(F.col("dist") <= cutoff)
-        step = best(step).withColumnRenamed("dist", "new")
-        for known in (base, *later):
-            step = step.join(known.hint("merge"), ["label", "node"], "left").where("dist is null or new < dist").drop("dist")
-        frontier = checkpointed(step.select("label", "node", F.col("new").alias("dist")))
-        if frontier.isEmpty():
-            break
-        later.append(frontier)
+    while (least := waiting.agg(F.min("dist")).first()[0]) is not None:
+        near = waiting if delta is None else waiting.where(F.col("dist") <= least + delta)
+        # tables are written, so their sizes are known: a small frontier is sent to the edges, a large one is dealt as they are
+        step = near.join(both, near["node"] == both["src"]).select("label", F.col("to").alias("node"), (F.col("dist") + F.col("length")).alias("dist")).where(F.col("dist") <= cutoff)
+        known = best(reduce(DataFrame.union, later, base)).withColumnRenamed("dist", "old")
+        better = checkpointed(best(step).join(known, ["label", "node"], "left").where("old is null or dist < old").drop("old"))
+        far = None if delta is None else waiting.where(F.col("dist") > least + delta)
+        # rows that wait and have been bettered meanwhile go on with the better value only
+        waiting = better if far is None else checkpointed(best(far.unionByName(better)))
+        later.append(better)
         if len(later) == every:
             base, later = checkpointed(best(reduce(DataFrame.union, later, base))), []
     return best(reduce(DataFrame.union, later, base))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspan.operators.graph import checkpointed
+from wayspan.operators.sizes import small
 
 
 def activity(df: DataFrame, by: list[str], trip: str, route: str, stop: str, snapshot: str | None = None) -> DataFrame:
@@ -109,11 +112,42 @@ def shortage_share(zones: DataFrame, by: list[str], median: str, length: str, be
     return told.withColumn("share_percent", share).withColumn("shortage_holds", F.col("share_percent") >= holds)
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, share, quantile): exact quantiles, linear between neighbours, of the values that aren't null.
+
+    Values are counted, dealt into ranges of group and value and written; the counts of a group's ranges say which
+    ranges hold the ranks that are asked for, and only these are numbered. Nothing grows with a group's values in one
+    task, and a group of any size spreads over ranges. Groups may be null.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    same = lambda a, b: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = checkpointed(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    ranges = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n"))
+    group = Window.partitionBy(*keys)
+    sized = ranges.withColumns({"_end": F.sum("_n").over(group.orderBy("_part")), "_all": F.sum("_n").over(group)}).withColumn("_start", F.col("_end") - F.col("_n"))
+    # both neighbours of each share's place, in the range that holds them
+    asked = sized.withColumn("_share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("_place", F.col("_share") * (F.col("_all") - 1))
+    asked = asked.select(*keys, "_part", "_start", "_end", "_share", "_place", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))).alias("_rank"))
+    asked = checkpointed(asked.where("_rank >= _start and _rank < _end").drop("_end"))
+    needed = asked.select(*[F.col(k) for k in keys], "_part", "_start").distinct().alias("w")
+    rows = placed.join(small(needed), same(placed, needed) & (placed["_part"] == needed["_part"])).select(*[placed[k] for k in keys], placed["_part"], "_v", "_n", "_start")
+    last = F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    rows = rows.withColumn("_last", last)
+    met = rows.join(small(asked), same(rows, asked) & (rows["_part"] == asked["_part"]) & (F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_n")))
+    weight = F.when(F.floor("_place") == F.ceil("_place"), 1.0).when(F.col("_rank") == F.floor("_place"), F.ceil("_place") - F.col("_place")).otherwise(F.col("_place") - F.floor("_place"))
+    told = met.select(*[rows[k] for k in keys], "_share", (F.col("_v") * weight).alias("_p"))
+    return told.groupBy(*keys, "_share").agg(F.sum("_p").alias("quantile")).select(*[F.col(k).alias(c) for c, k in zip(by, keys)], F.col("_share").alias("share"), "quantile")
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, limit: float) -> DataFrame:
     """Count, linear p50, p95 and p99, maximum and how many lie above a limit."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), p.alias("_p"), F.max(value).alias("max"), F.count_if(F.col(value) > limit).alias("above"))
-    return out.select(*by, "n", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"), "max", "above")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = quantiles(df, by, value, list(shares.values()))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for n, s in shares.items()])
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.max(value).alias("max"), F.count_if(F.col(value) > limit).alias("above"))
+    same = reduce(Column.__and__, [out[c].eqNullSafe(wide[c]) for c in by], F.lit(True))
+    return out.join(wide.hint("merge"), same, "left").select(*[out[c] for c in by], "n", *shares, "max", "above")
 
 
 def common_spelling(df: DataFrame, key: Column, display: str) -> DataFrame:

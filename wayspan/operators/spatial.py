@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspan.functions.geo import distance, segment_projection
@@ -93,37 +93,65 @@ def split_segments(segments: DataFrame, cuts: DataFrame, segment: str) -> DataFr
     return rows.select(segment, F.expr(f"row_number() over (partition by {segment} order by share) - 1").alias("piece"), F.col("share").alias("from_share"), "to_share")
 
 
+def rim_cells(edges: DataFrame, polygon: str, size: float) -> DataFrame:
+    """(polygon, _cx, _cy, crossings): the cells that a polygon's edges pass, row by row of cells, so a slanting edge
+    has cells by its length. crossings counts the edges that cross the middle line of the row in the cell."""
+    rows = edges.where("ax is not null").withColumn("_cy", F.explode(F.sequence(F.floor(F.least("ay", "by") / size).cast("long"), F.floor(F.greatest("ay", "by") / size).cast("long"))))
+    rise, run = F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)), F.col("bx") - F.col("ax")
+    at = lambda y: F.coalesce(F.col("ax") + (F.least(F.greatest(y, F.least("ay", "by")), F.greatest("ay", "by")) - F.col("ay")) / rise * run, F.col("ax"))
+    low, high, middle = at(F.col("_cy") * size), at((F.col("_cy") + 1) * size), (F.col("_cy") + 0.5) * size
+    ends = lambda f: F.when(rise.isNull(), f("ax", "bx")).otherwise(f(low, high))
+    cell = lambda x: F.floor(x / size).cast("long")
+    slack = size * 1e-9  # rounding of the places above never leaves a touched cell out
+    rows = rows.withColumns({"_x0": cell(ends(F.least) - slack), "_x1": cell(ends(F.greatest) + slack)})
+    passed = rows.select(polygon, F.explode(F.sequence("_x0", "_x1")).alias("_cx"), "_cy", F.lit(0).alias("n"))
+    crossed = rows.where((F.col("ay") > middle) != (F.col("by") > middle)).select(polygon, cell(at(middle)).alias("_cx"), "_cy", F.lit(1).alias("n"))
+    return passed.unionByName(crossed).groupBy(polygon, "_cx", "_cy").agg(F.sum("n").alias("crossings"))
+
+
+def inner_runs(rim: DataFrame, polygon: str) -> DataFrame:
+    """(polygon, _cy, level, block): the cells inside a polygon that no edge passes, as blocks of 2^level cells of a row.
+
+    Between two neighbouring rim cells of a row all cells lie on one side, inside if the middle line has crossed an odd
+    number of edges so far. A run of them is cut into aligned blocks, two a level at most, so a polygon has blocks by
+    its edge (times a logarithm), not by its area."""
+    row = Window.partitionBy(polygon, "_cy").orderBy("_cx")
+    gaps = rim.withColumns({"a": F.col("_cx") + 1, "b": F.lead("_cx").over(row), "odd": F.sum("crossings").over(row) % 2 == 1}).where("odd and b > a")
+    level = gaps.select(polygon, "_cy", "a", "b", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("b") - F.col("a"))).cast("int") + 1)).alias("level"))
+    first, end = F.expr("-shiftright(-a, level)"), F.expr("shiftright(b, level)")
+    starts = F.when(first % 2 != 0, first)
+    stops = F.when(end % 2 != 0, end - 1)
+    blocks = level.where(first < end).withColumn("block", F.explode(F.array_compact(F.array(starts, stops))))
+    return blocks.select(polygon, "_cy", "level", "block")
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, point: str, polygon: str, size: float) -> DataFrame:
     """(point, polygon) for every polygon that covers a point, boundary included. Points have x, y, edges polygon, ax, ay, bx, by.
 
-    Every polygon's box is covered by cells. In a cell without edges all points lie on the same side, which the
-    crossings of the ray from the cell's centre decide once; only in cells that an edge touches a point meets
-    edges, and then those of its row of cells to the right, as the ray does.
+    Cells that no edge passes are decided by the crossings of their row and joined in blocks (inner_runs); only points
+    of cells that an edge passes meet edges, and then those of their row of cells, as the ray to the right does. The
+    cover grows with the polygons' edges, not with their areas.
     """
     low = lambda a, b: F.floor(F.least(a, b) / size).cast("long")
     high = lambda a, b: F.floor(F.greatest(a, b) / size).cast("long")
     rows = edges.where("ax is not null").withColumn("_cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
-    rim = _segment_cells(edges, size, 0.0).select(polygon, "_cx", "_cy").distinct()
-    box = edges.groupBy(polygon).agg(low(F.min(F.least("ax", "bx")), F.min(F.least("ax", "bx"))).alias("_x0"), high(F.max(F.greatest("ax", "bx")), F.max(F.greatest("ax", "bx"))).alias("_x1"), low(F.min(F.least("ay", "by")), F.min(F.least("ay", "by"))).alias("_y0"), high(F.max(F.greatest("ay", "by")), F.max(F.greatest("ay", "by"))).alias("_y1"))
+    rim = checkpointed(rim_cells(edges, polygon, size))
+    blocks = checkpointed(inner_runs(rim, polygon))
     placed = with_cell(points.select(point, "x", "y"), "x", "y", size)
-    # cells of the box that hold points, with their centre for those without an edge
-    spread = box.withColumn("_cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).select(polygon, "_cx", "_cy")
-    cells = spread.join(placed.select("_cx", "_cy").distinct().hint("merge"), ["_cx", "_cy"], "left_semi")
-    cells = cells.join(rim.withColumn("_rim", F.lit(True)).hint("merge"), [polygon, "_cx", "_cy"], "left")
-
-    def covered(df: DataFrame, x: Column, y: Column, keys: list[str]) -> DataFrame:
-        met = df.withColumns({"_x": x, "_y": y}).join(rows.hint("merge"), [polygon, "_cy"])
-        at = F.col("ax") + (F.col("_y") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) * (F.col("bx") - F.col("ax"))
-        crosses = ((F.col("ay") > F.col("_y")) != (F.col("by") > F.col("_y"))) & (F.col("_x") < at)
-        side = (F.col("bx") - F.col("ax")) * (F.col("_y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("_x") - F.col("ax"))
-        on = (side == 0) & F.col("_x").between(F.least("ax", "bx"), F.greatest("ax", "bx")) & F.col("_y").between(F.least("ay", "by"), F.greatest("ay", "by"))
-        told = met.groupBy(*keys, polygon).agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("c"), F.bool_or(on).alias("on"))
-        return told.where("on or c % 2 = 1").select(*keys, polygon)
-
-    inner = covered(cells.where("_rim is null").drop("_rim"), (F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size, ["_cx", "_cy"])
+    levels = sorted(r[0] for r in blocks.select("level").distinct().collect())  # at most the bits of a cell number
+    held = placed.select("_cx", "_cy").where("_cx is not null and _cy is not null").distinct()
+    spread = held.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("block", F.expr("shiftright(_cx, level)")) if levels else held.withColumns({"level": F.lit(0), "block": F.col("_cx")}).limit(0)
+    inner = spread.join(blocks.hint("merge"), ["_cy", "level", "block"]).select(polygon, "_cx", "_cy")
     sure = placed.join(inner.hint("merge"), ["_cx", "_cy"]).select(point, polygon)
-    tested = placed.join(cells.where("_rim").drop("_rim").hint("merge"), ["_cx", "_cy"])
-    return sure.unionByName(covered(tested, F.col("x"), F.col("y"), [point]).select(point, polygon))
+
+    tested = placed.join(rim.select(polygon, "_cx", "_cy").hint("merge"), ["_cx", "_cy"]).withColumnsRenamed({"x": "_x", "y": "_y"})
+    met = tested.join(rows.hint("merge"), [polygon, "_cy"])
+    at = F.col("ax") + (F.col("_y") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) * (F.col("bx") - F.col("ax"))
+    crosses = ((F.col("ay") > F.col("_y")) != (F.col("by") > F.col("_y"))) & (F.col("_x") < at)
+    side = (F.col("bx") - F.col("ax")) * (F.col("_y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("_x") - F.col("ax"))
+    on = (side == 0) & F.col("_x").between(F.least("ax", "bx"), F.greatest("ax", "bx")) & F.col("_y").between(F.least("ay", "by"), F.greatest("ay", "by"))
+    told = met.groupBy(point, polygon).agg(F.count_if(F.coalesce(crosses, F.lit(False))).alias("c"), F.bool_or(on).alias("on"))
+    return sure.unionByName(told.where("on or c % 2 = 1").select(point, polygon))
 
 
 def ray_obstruction(points: DataFrame, heights: DataFrame, resolution: float, reach: float, horizon: float = 0.5) -> DataFrame:
