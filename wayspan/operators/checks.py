@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayspan.operators.graph import checkpointed
+
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
@@ -61,6 +65,43 @@ def leaks(df: DataFrame, text: str, pattern: str, raw: DataFrame, raw_id: str) -
     return spread.join(raw.select(F.col(raw_id).cast("string").alias("leaked")).distinct().hint("merge"), "leaked", "left_semi")
 
 
+# How an id is written into a text, and the ends of key names (letters and digits only) that are forbidden.
+MARKER = r"""(?i)\btrip[_.-]?(?:id|key|identifier)s?\s*[:=]\s*["']?([^"'\s,;&?#}\])]+)"""
+FORBIDDEN_KEYS = ("tripid", "tripids", "tripkey", "tripkeys", "tripidentifier", "tripidentifiers")
+
+
+def nested_leaks(df: DataFrame, key: str, text: str, raw: DataFrame, raw_id: str) -> DataFrame:
+    """(key, kind, leaked), each once, of JSON texts: raw ids that are a whole string anywhere in the value (value) or
+    stand behind a marker in one (marker), forbidden key names at any depth (key), and texts that aren't JSON (unreadable,
+    leaked null). Null texts leak nothing.
+
+    Values are opened a level at a time, all rows together; what a level holds is written, and rounds end with the
+    deepest value.
+    """
+    told = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.lit(None).cast("string").alias("name"), F.try_parse_json(text).alias("v"))
+    out = [told.where("v is null").select("_id", F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("leaked"))]
+    strings, level = [], told.where("v is not null")
+    spark = df.sparkSession
+    while True:
+        shape = F.schema_of_variant("v")
+        kind = F.when(shape == "STRING", "string").when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), "box").otherwise("other")
+        level = checkpointed(level.select("_id", "name", kind.alias("kind"), F.when(kind == "string", F.try_variant_get("v", "$", "string")).when(kind == "box", F.to_json("v")).alias("j")))
+        strings.append(level.where("kind = 'string'").select("_id", F.col("j").alias("leaf")))
+        bare = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]", "")
+        out.append(level.where(bare.rlike(f"({'|'.join(FORBIDDEN_KEYS)})$")).select("_id", F.lit("key").alias("kind"), F.col("name").alias("leaked")))
+        boxes = level.where("kind = 'box'")
+        if boxes.isEmpty():
+            break
+        opened = boxes.select("_id", F.parse_json("j").alias("box")).lateralJoin(spark.tvf.variant_explode(F.col("box").outer()))
+        level = opened.select("_id", F.col("key").alias("name"), F.col("value").alias("v"))
+    leaves = reduce(DataFrame.unionByName, strings)
+    whole = leaves.select("_id", F.lit("value").alias("kind"), F.col("leaf").alias("leaked"))
+    marked = leaves.select("_id", F.lit("marker").alias("kind"), F.explode(F.regexp_extract_all("leaf", F.lit(MARKER), F.lit(1))).alias("leaked"))
+    ids = raw.select(F.col(raw_id).cast("string").alias("leaked")).distinct()
+    out.append(whole.unionByName(marked).distinct().join(ids.hint("merge"), "leaked", "left_semi").select("_id", "kind", "leaked"))
+    return reduce(DataFrame.unionByName, out).distinct().withColumnRenamed("_id", key)
+
+
 def unresolved_reviews(df: DataFrame, status: str, note: str, reviewer: str, date: str) -> DataFrame:
     """Resolved rows without a note, a reviewer or an ISO date."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))

@@ -196,8 +196,9 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, left_key: str, right_ke
     return met.where(touch & corner).select(F.col("l_k").alias(left_key), F.col("r_k").alias(right_key))
 
 
-def segment_crossings(segments: DataFrame, segment: str, feature: str, size: float) -> DataFrame:
-    """(a, b, x, y): proper crossings of segments of different features; shared end points are none."""
+def segment_crossings(segments: DataFrame, segment: str, feature: str, size: float, clear: float = 0.0) -> DataFrame:
+    """(a, b, x, y): proper crossings of segments of different features; shared end points are none, nor are places
+    within `clear` of an end."""
     cells = _segment_cells(segments.select(segment, feature, "ax", "ay", "bx", "by"), size, 0.0)
     columns = (segment, feature, "ax", "ay", "bx", "by")
     left, right = (cells.select("_cx", "_cy", *[F.col(c).alias(f"{p}_{c}") for c in columns]) for p in "lr")
@@ -206,7 +207,10 @@ def segment_crossings(segments: DataFrame, segment: str, feature: str, size: flo
     met = met.withColumns({"d1": side("l", "r", "a"), "d2": side("l", "r", "b"), "d3": side("r", "l", "a"), "d4": side("r", "l", "b")})
     crossing = met.where((F.col("d1") * F.col("d2") < 0) & (F.col("d3") * F.col("d4") < 0)).withColumn("t", F.col("d3") / (F.col("d3") - F.col("d4")))
     x, y = (F.col(f"l_a{c}") + F.col("t") * (F.col(f"l_b{c}") - F.col(f"l_a{c}")) for c in "xy")
-    return crossing.select(F.col(f"l_{segment}").alias("a"), F.col(f"r_{segment}").alias("b"), x.alias("x"), y.alias("y")).dropDuplicates(["a", "b"])
+    crossing = crossing.withColumns({"_x": x, "_y": y})
+    if clear:
+        crossing = crossing.where(F.least(*[distance(F.col("_x"), F.col("_y"), F.col(f"{p}_{e}x"), F.col(f"{p}_{e}y")) for p in "lr" for e in "ab"]) > clear)
+    return crossing.select(F.col(f"l_{segment}").alias("a"), F.col(f"r_{segment}").alias("b"), F.col("_x").alias("x"), F.col("_y").alias("y")).dropDuplicates(["a", "b"])
 
 
 def vertices_on_segments(vertices: DataFrame, segments: DataFrame, vertex: str, segment: str, tolerance: float, size: float) -> DataFrame:

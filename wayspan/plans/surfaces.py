@@ -487,3 +487,15 @@ def missed_anchors(spark, sf_dir):
     own = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 2).alias("v"))
     anchors = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 2).alias("expected"))
     return checks.missed_anchors(own, "k", "v", anchors, 500).select("k")
+
+
+@query(r"""with t as (select p_partkey, case when p_partkey % 11 = 0 then '{broken' else concat('{"place":"', p_name, '","note":"see Trip-Key = ', p_partkey % 300, ', or trip_ids:''', p_partkey % 170, '''","rows":[{"', case when p_partkey % 5 = 0 then 'Raw_Trip.IDs' else 'stop' end, '":"', p_partkey % 250, '"},[["', p_partkey * 7 % 500, '"]]],"n":', p_partkey % 100, '}') end as j from part),
+e as materialized (select p_partkey, key, case when type = 'VARCHAR' then atom ->> '$' end as leaf from (select * from t where json_valid(j)) t, json_tree(t.j)), r as (select distinct cast(user_id as varchar) as id from events),
+f as (select p_partkey, 'value' as kind, leaf as leaked from e where leaf is not null union select p_partkey, 'marker', unnest(regexp_extract_all(leaf, '\btrip[_.-]?(?:id|key|identifier)s?\s*[:=]\s*["'']?([^"''\s,;&?#}\])]+)', 1, 'i')) from e where leaf is not null)
+select p_partkey, kind, leaked from f where leaked in (select id from r) union select p_partkey, 'key', key from e where regexp_matches(lower(regexp_replace(key, '[^A-Za-z0-9]', '', 'g')), '(tripid|tripkey|tripidentifier)s?$') union select p_partkey, 'unreadable', null from t where not json_valid(j)""")
+def nested_leaks(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, "Raw_Trip.IDs").otherwise("stop")
+    parts = [F.lit('{"place":"'), F.col("p_name"), F.lit('","note":"see Trip-Key = '), k % 300, F.lit(", or trip_ids:'"), k % 170, F.lit("'\",\"rows\":[{\""), name, F.lit('":"'), k % 250, F.lit('"},[["'), k * 7 % 500, F.lit('"]]],"n":'), k % 100, F.lit("}")]
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 11 == 0, "{broken").otherwise(F.concat(*[c.cast("string") for c in parts])).alias("j"))
+    return checks.nested_leaks(docs, "p_partkey", "j", table(spark, sf_dir, "events"), "user_id")
