@@ -137,6 +137,16 @@ def text_key(c: Column) -> Column:
     return _folded(c)
 
 
+@F.pandas_udf(T.StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
+
+
+def composed(c: Column) -> Column:
+    """Compatibility-normalised text with single spaces, case as it is."""
+    return _composed(c)
+
+
 def ascii_key(c: Column) -> Column:
     """Like text_key for texts known to be ASCII, as an expression."""
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))

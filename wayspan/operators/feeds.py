@@ -19,7 +19,8 @@ def active_trips(trips: DataFrame, services: DataFrame) -> DataFrame:
 def timed_stops(stop_times: DataFrame) -> DataFrame:
     """stop_times with seconds of the service day: the departure, else the arrival; rows without either go."""
     raw = F.coalesce(blank_to_null(F.col("departure_time")), blank_to_null(F.col("arrival_time")))
-    return stop_times.withColumn("_raw", raw).where("_raw is not null").withColumn("seconds", service_seconds(F.col("_raw"))).drop("_raw")
+    # the explode binds the text: the filter and the seconds don't compute it again
+    return stop_times.withColumn("_raw", F.explode(F.array(raw))).where("_raw is not null").withColumn("seconds", service_seconds(F.col("_raw"))).drop("_raw")
 
 
 def stop_events(feed: dict[str, DataFrame], services: DataFrame, windows: DataFrame, half_minutes: int) -> DataFrame:

@@ -61,6 +61,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame
     return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")  # a row a partition
 
 
+def cluster_numbers(labels: DataFrame, component: str = "component", name: str = "cluster") -> DataFrame:
+    """labels with a number of each component from 0 on, in the order of the components' first (smallest) members."""
+    numbers = numbered(labels.select(F.col(component).alias("_c")).distinct(), ["_c"], name)
+    return labels.join(numbers.hint("merge"), labels[component] == numbers["_c"]).drop("_c")
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The k first rows of each group; Spark keeps k rows a group before the shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)

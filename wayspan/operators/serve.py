@@ -25,15 +25,16 @@ def _grams(text: Column, length: int) -> Column:
 
 def search(records: DataFrame, queries: DataFrame, text: Column, order: str, limit: int) -> DataFrame:
     """(query, record columns, rank): the first `limit` records for each row of a table of queries (text keys);
-    records that begin with the query come first, then by text and the order column.
+    records that begin with the query come first, then by text and the order column. A query without a token finds
+    nothing.
 
     A query's longest token stands for it by its first three characters (fewer if it is shorter): records meet
     only the queries whose characters they hold, and all tokens are tested after that.
     """
     tokens = F.filter(F.split("query", r"\s+"), lambda t: t != "")
     longest = F.coalesce(F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"], F.lit(""))
-    asked = queries.select("query").distinct().withColumn("_gram", F.substring(longest, 1, 3))
-    lengths = [r[0] for r in asked.select(F.length("_gram")).distinct().collect()]  # 0 to 3
+    asked = queries.select("query").where(longest != "").distinct().withColumn("_gram", F.substring(longest, 1, 3))
+    lengths = [r[0] for r in asked.select(F.length("_gram")).distinct().collect()]  # 1 to 3
     spread = records.withColumn("_text", text).withColumn("_gram", F.explode(F.flatten(F.array(*[_grams(F.col("_text"), n) for n in lengths] or [F.array(F.lit(""))]))))
     met = spread.join(small(asked), "_gram").where(contains_all(F.col("_text"), F.col("query"))).drop("_gram")
     best = Window.partitionBy("query").orderBy(F.startswith("_text", "query").desc(), "_text", order)

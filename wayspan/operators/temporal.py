@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +13,10 @@ WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
 
 
 def service_seconds(text: Column) -> Column:
-    """HH:MM:SS to seconds of the service day; hours past 24 stay as they are."""
-    parts = F.split(F.trim(text), ":")
-    return reduce(Column.__add__, [F.get(parts, F.lit(k)).cast("int") * w for k, w in enumerate((3600, 60, 1))])
+    """HH:MM:SS to seconds of the service day; hours past 24 stay as they are. The text is named once, so a plan that
+    uses the seconds several times doesn't hold copies of it for each part."""
+    parts = F.slice(F.concat(F.split(F.trim(text), ":"), F.array(F.lit(None), F.lit(None)).cast("array<string>")), 1, 3)
+    return F.aggregate(parts, F.lit(0), lambda sum_, part: sum_ * 60 + part.cast("int"))
 
 
 def active_services(calendar: DataFrame, exceptions: DataFrame, dates: DataFrame) -> DataFrame:
@@ -45,9 +44,9 @@ def events_in_windows(events: DataFrame, windows: DataFrame, at: str, half_width
     """
     width = 2 * half_width + 1
     starts = windows.select("window_id", "centre", F.explode(F.sequence(F.floor((F.col("centre") - half_width) / width), F.floor((F.col("centre") + half_width) / width))).alias("_bucket"))
-    spread = events.withColumn("_at", F.col(at).cast("long"))
-    if circle is not None:
-        spread = spread.withColumn("_at", F.explode(F.array(F.col("_at"), F.col("_at") - circle, F.col("_at") + circle)))
+    # the explode also binds the time: what computes it is not repeated in the bucket, the tests and the join
+    turns = (0,) if circle is None else (0, -circle, circle)
+    spread = events.withColumn("_at", F.explode(F.array(F.col(at).cast("long")))).withColumn("_at", F.explode(F.array(*[F.col("_at") + t for t in turns])))
     keyed = spread.withColumn("_bucket", F.floor(F.col("_at") / width))
     met = keyed.join(small(starts), "_bucket").where(F.abs(F.col("_at") - F.col("centre")) <= half_width)
     return met.drop("_bucket", "_at", "centre")

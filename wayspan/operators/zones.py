@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayspan.functions import bits as b
 from wayspan.functions import geo
-from wayspan.functions.text import slug, text_key
+from wayspan.functions.text import composed, slug, text_key
 from wayspan.operators.spatial import _segment_cells, nearest_node, overlapping_boxes, points_in_polygons, with_cell
 
 
@@ -90,12 +90,12 @@ def merged_lines(parts: DataFrame, by: list[str], length: str, least: float = 0.
 
 
 def named_streets(ways: DataFrame, name: str, length: str, least: float = 100.0) -> DataFrame:
-    """(key, street_id, name, length, parts) of ways with one name (spaces and case apart): the most frequent
-    spelling names the street, its slug is the id; of streets with one slug all but the first key get a suffix."""
-    spelt = F.regexp_replace(F.trim(F.col(name)), r"\s+", " ")
-    counts = ways.withColumn("key", text_key(F.col(name))).where("key <> ''").groupBy("key", spelt.alias("name")).agg(F.count(F.lit(1)).alias("_n"), F.sum(length).alias("_l"))
-    whole = counts.groupBy("key").agg(F.min_by("name", F.struct(-F.col("_n"), F.lower("name"), F.col("name"))).alias("name"), F.sum("_l").alias(length), F.sum("_n").alias("parts")).where(F.col(length) >= least)
-    return unique_slugs(whole, "key", "name", "street_id")
+    """(key, street_id, name, length, parts) of ways with one name (spaces, case and compatibility forms apart): the
+    most frequent spelling names the street, its slug is the id; of all streets with one slug all but the first key get
+    a suffix. Streets that are too short are left out after that, so an id doesn't hang on a length."""
+    counts = ways.withColumn("key", text_key(F.col(name))).where("key <> ''").groupBy("key", composed(F.col(name)).alias("name")).agg(F.count(F.lit(1)).alias("_n"), F.sum(length).alias("_l"))
+    whole = counts.withColumn("_f", text_key(F.col("name"))).groupBy("key").agg(F.min_by("name", F.struct(-F.col("_n"), F.col("_f"), F.col("name"))).alias("name"), F.sum("_l").alias(length), F.sum("_n").alias("parts"))
+    return unique_slugs(whole, "key", "name", "street_id").where(F.col(length) >= least)
 
 
 def unique_slugs(df: DataFrame, key: str, name: str, out: str) -> DataFrame:

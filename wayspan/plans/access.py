@@ -352,7 +352,7 @@ def content_fingerprint(spark, sf_dir):
 # --- serving ------------------------------------------------------------------------------------
 
 
-@query("""with q as (select distinct split_part(p_name, ' ', 1) as query from part union select distinct concat(substr(split_part(p_name, ' ', 2), 1, 2), ' ', substr(split_part(p_name, ' ', 1), 2, 1)) from part union select '')
+@query("""with q as (select distinct split_part(p_name, ' ', 1) as query from part union select distinct concat(substr(split_part(p_name, ' ', 2), 1, 2), ' ', substr(split_part(p_name, ' ', 1), 2, 1)) from part)
 select query, p_partkey, p_name, rank from (select query, p_partkey, p_name, row_number() over (partition by query order by starts_with(lower(p_name), query) desc, lower(p_name), p_partkey) as rank from part join q on contains(lower(p_name), split_part(query, ' ', 1)) and contains(lower(p_name), split_part(query, ' ', 2))) where rank <= 8""")
 def text_search(spark, sf_dir):
     part = table(spark, sf_dir, "part")

@@ -136,11 +136,11 @@ def same_label_pairs(spark, sf_dir):
 
 
 @query(f"""with recursive {PLACES}, l as materialized (select a.vec_id as a, b.vec_id as b from p a join p b on a.vec_id <> b.vec_id and {GAP} <= 6),
-r(node, other) as (select vec_id, vec_id from p union select r.node, l.b from r join l on r.other = l.a) select node as vec_id, min(other) as component from r group by node""")
+r(node, other) as (select vec_id, vec_id from p union select r.node, l.b from r join l on r.other = l.a) select vec_id, component, dense_rank() over (order by component) - 1 as cluster from (select node as vec_id, min(other) as component from r group by node)""")
 def place_clusters(spark, sf_dir):
     own = places(spark, sf_dir)
     links = spatial.pairs_within(own, "vec_id", "x", "y", 6.0)
-    return components(own.select(F.col("vec_id").alias("node")), links).withColumnRenamed("node", "vec_id")
+    return metrics.cluster_numbers(components(own.select(F.col("vec_id").alias("node")), links)).withColumnRenamed("node", "vec_id")
 
 
 @query(f"""with {PLACES} select vec_id, other, metres from (select a.vec_id, b.vec_id as other, round_even({GAP}, 3) as metres, row_number() over (partition by a.vec_id order by {GAP}, b.vec_id) as r from p a join p b on a.label = 0 and b.label <> 0) where r = 1""")

@@ -185,8 +185,8 @@ def nearest_street(spark, sf_dir):
 
 
 @query("""with n as (select p_size, case p_partkey % 11 when 0 then replace(p_name, ' ', '-') when 1 then upper(p_name) when 2 then concat('  ', replace(p_name, ' ', '   ')) else p_name end as raw from part), k as (select lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) as key, trim(regexp_replace(raw, '\\s+', ' ', 'g')) as name, count(*) as n, sum(p_size) as l from n group by all),
-w as (select key, arg_min(name, (-n, lower(name), name)) as name, sum(l) as length, sum(n) as parts from k group by key having sum(l) >= 100), d as (select *, replace(lower(name), ' ', '-') as s, row_number() over (partition by replace(lower(name), ' ', '-') order by key) as r from w)
-select key, name, cast(length as bigint) as length, cast(parts as bigint) as parts, case when r = 1 then s else concat(s, '-', substr(sha1(key), 1, 8)) end as street_id from d""")
+w as (select key, arg_min(name, (-n, lower(name), name)) as name, sum(l) as length, sum(n) as parts from k group by key), d as (select *, replace(lower(name), ' ', '-') as s, row_number() over (partition by replace(lower(name), ' ', '-') order by key) as r from w)
+select key, name, cast(length as bigint) as length, cast(parts as bigint) as parts, case when r = 1 then s else concat(s, '-', substr(sha1(key), 1, 8)) end as street_id from d where length >= 100""")
 def named_streets(spark, sf_dir):
     k, name = F.col("p_partkey") % 11, F.col("p_name")
     raw = F.when(k == 0, F.replace(name, F.lit(" "), F.lit("-"))).when(k == 1, F.upper(name)).when(k == 2, F.concat(F.lit("  "), F.replace(name, F.lit(" "), F.lit("   ")))).otherwise(name)
