@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayspan.operators.sizes import small
+
 FEED = {
     "calendar": "service_id STRING, monday STRING, tuesday STRING, wednesday STRING, thursday STRING, friday STRING, saturday STRING, sunday STRING, start_date STRING, end_date STRING",
     "calendar_dates": "service_id STRING, date STRING, exception_type STRING",
@@ -112,6 +114,17 @@ def write_pixels(df: DataFrame, path: str, block: int) -> None:
     keyed.repartition("block_row", "block_col").write.partitionBy("block_row", "block_col").parquet(path)
 
 
+def read_pixels_within(spark: SparkSession, path: str, windows: DataFrame, window: str, block: int) -> DataFrame:
+    """(window, row, col, ...) of the pixels of each window (low <= row < high, left <= col < right). The windows' blocks
+    are sent to the scan, which skips all other partitions while it runs: no bound is known to the driver."""
+    asked = windows.where("low < high and left < right").select(F.col(window).alias("_w"), "low", "high", F.col("left").alias("_left"), F.col("right").alias("_right"))
+    steps = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block).cast("int"), F.floor((F.col(b) - 1) / block).cast("int")))
+    blocks = asked.withColumn("block_row", steps("low", "high")).withColumn("block_col", steps("_left", "_right"))
+    met = spark.read.parquet(path).join(small(blocks), ["block_row", "block_col"])
+    inside = (F.col("row") >= F.col("low")) & (F.col("row") < F.col("high")) & (F.col("col") >= F.col("_left")) & (F.col("col") < F.col("_right"))
+    return met.where(inside).drop("low", "high", "_left", "_right", "block_row", "block_col").withColumnRenamed("_w", window)
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """Fields in a fixed order with a header; other columns are left out."""
     df.select(*fields).write.option("header", True).csv(path)
@@ -197,3 +210,43 @@ def stale_partitions(spark: SparkSession, inputs: str, outputs: str, depth: int
         told = told.join(tags.select("part", F.col("tag").alias("_tag")).hint("merge"), "part", "left")
         late = late | ~F.col("_tag").eqNullSafe(F.lit(tag))
     return told.where(late).select("part")
+
+
+def rebuild_stale(spark: SparkSession, inputs: str, outputs: str, part: str, build, checks: list, tag: str) -> list[str]:
+    """Builds the parts (folders part=...) of inputs whose output is missing, older than its input, or made under another
+    tag, and puts each in place on its own; all other folders stay as they are. Returns the parts that were built.
+
+    build maps the stale parts' input rows to output rows with the part column; the result goes to a staging folder, where
+    checks (functions from the staged table to violation rows) must find nothing. A part that loses all its rows
+    loses its folder. The tag is kept beside the parts in a table of its own.
+    """
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = hadoop(outputs).getFileSystem(spark._jsc.hadoopConfiguration())
+    made, tags = fs.exists(hadoop(outputs)), f"{outputs}.tags"
+    known = spark.read.parquet(tags) if fs.exists(hadoop(tags)) else spark.createDataFrame([], "part string, tag string")
+    if made:
+        stale = stale_partitions(spark, inputs, outputs, tags=known, tag=tag)
+    else:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inputs).select("path")
+        stale = listed.select(F.element_at(F.split("path", "/"), -2).alias("part")).distinct()
+    names = sorted(r[0] for r in stale.collect())  # names of folders, no rows of theirs
+    if not names:
+        return []
+    staging = f"{outputs}.staging"
+    fresh = spark.read.parquet(inputs).where(F.concat(F.lit(f"{part}="), F.col(part).cast("string")).isin(names))
+    build(fresh).repartition(part).write.mode("overwrite").partitionBy(part).parquet(staging)
+    staged = spark.read.parquet(staging) if any(fs.exists(hadoop(f"{staging}/{n}")) for n in names) else None
+    for check in checks if staged is not None else []:
+        if bad := check(staged).limit(3).collect():
+            raise ValueError(f"not published: {bad}")
+    fs.mkdirs(hadoop(outputs))
+    for name in names:
+        if fs.exists(hadoop(f"{staging}/{name}")):
+            swap_folders(fs, hadoop(f"{staging}/{name}"), hadoop(f"{outputs}/{name}"), hadoop(f"{outputs}.old-{name}"))
+        else:
+            fs.delete(hadoop(f"{outputs}/{name}"), True)
+    fs.delete(hadoop(staging), True)
+    kept = [(r["part"], r["tag"]) for r in known.where(~F.col("part").isin(names)).collect()] + [(n, tag) for n in names]
+    spark.createDataFrame(kept, "part string, tag string").coalesce(1).write.mode("overwrite").parquet(f"{tags}.new")
+    swap_folders(fs, hadoop(f"{tags}.new"), hadoop(tags), hadoop(f"{tags}.old"))
+    return names
