@@ -7,9 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from wayspan.plans import access, candidates, feeds, network, reviews, storage, surfaces, zonal
+from wayspan.plans import access, candidates, controls, feeds, network, reviews, storage, surfaces, zonal
 
-PLANS = (access, surfaces, reviews, feeds, zonal, candidates, network, storage)
+PLANS = (access, surfaces, reviews, feeds, zonal, candidates, network, storage, controls)
 ALL = {k: v for plan in PLANS for k, v in plan.QUERIES.items()}
 SQL = {k: v for plan in PLANS for k, v in plan.SQL.items()}
 
