@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspan.functions import ways
-from wayspan.operators import feeds, temporal
+from wayspan.operators import feeds, sources, temporal
 from wayspan.plans.access import table
 
 QUERIES: dict = {}
@@ -120,3 +120,41 @@ def layers(spark, sf_dir):
     lines = c.withColumn("coords", F.when(F.col("c_custkey") % 10 > 0, F.array(point(F.col("c_nationkey")))).otherwise(F.array(point(F.col("c_nationkey") + 1))))
     inside = ways.with_geometry(lines, "coords").where(ways.touches_box(F.col("coords"), box) & ways.within_box(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), box))
     return ways.layer(inside, {"c_name": "name", "c_mktsegment": "class"}, "c_mktsegment", ["BUILDING", "MACHINERY"])
+
+
+def published_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables as six published sources (suppliers are parks, customers buildings, nations the others), as places."""
+    text = lambda c: c.cast("string")
+    point = lambda x: F.concat(F.lit('{"type":"Point","coordinates":['), text(x), F.lit(",43.5]}"))
+    s, c, n = F.col("s_suppkey"), F.col("c_custkey"), F.col("n_nationkey")
+    supplier, customer, nation = (table(spark, sf_dir, t) for t in ("supplier", "customer", "nation"))
+    none = F.lit(None).cast("string")
+    parks = supplier.select(
+        text(s).alias("id"), F.when(s % 3 == 0, F.concat(F.lit("A"), text(s))).alias("asset_id"), F.col("s_name").alias("location"), F.when(s % 4 == 0, "Alt").otherwise("").alias("alternative_name"), F.concat(F.lit(" "), "s_name").alias("address"),
+        F.when(s % 2 == 0, "Centre hours").otherwise("9 a.m. to 5 p.m.").alias("hours"), F.when(s % 5 == 0, "None").when(s % 5 == 1, "ramp").alias("accessible"), point(s).alias("geometry"), F.when(s % 6 == 0, "Closed for the season").otherwise("None").alias("Reason"),
+        F.when(s % 7 == 0, "repair").alias("Comments"), F.when(s % 8 == 0, "All-Gender").alias("type"), text(s % 3).alias("Status"), none.alias("url"),
+    )
+    days = [F.lit("8 a.m." if (code, e) == ("mo", "o") else "4 p.m." if code == "mo" else "Closed").alias(f"oh{code}{e}") for code, _ in sources.DAY_CODES for e in "oc"]
+    hours = supplier.where(s % 4 < 3).select(text(s).alias("id"), *days)
+    libraries = nation.select(text(n % 2).alias("PublicWashroom"), text(n).alias("BranchCode"), F.col("n_name").alias("BranchName"), F.lit("a").alias("Address"), point(n).alias("geometry"), F.lit("9-5").alias("Hours"), none.alias("Website"))
+    museums = nation.select(n.alias("number"), F.when(n % 3 == 0, "Yes").otherwise("No").alias("Washroom?"), F.col("n_name").alias("Museums and Cultural Centres"), none.alias("Address"), none.alias("Hours"), F.when(n % 2 == 0, "No").alias("Accessible?"), F.when(n % 4 == 0, "yes").alias("Gender Inclusive?"), F.when(n % 5 == 0, "under construction").alias("Notes"))
+    automated = nation.select(text(n).alias("ID"), text(n).alias("ADDRESSNUMBERTEXT"), F.when(n % 2 == 0, "King St").alias("ADDRESSSTREET"), F.when(n % 3 == 0, "Existing").otherwise("Planned work").alias("STATUS"), point(n).alias("geometry"))
+    buildings = customer.select(c.alias("number"), F.when(c % 9 > 0, "Open - Public Access").otherwise("Closed").alias("Washroom Status"), F.when(c % 4 > 0, text(c % 50)).otherwise("N/A").alias("FLOC_ID"), F.col("c_mktsegment").alias("Building Description"), text(F.col("c_nationkey")).alias("Address"), text(c % 3).alias("Hours Available"), F.when(c % 10 == 0, "Yes").alias("Accessible Washroom"), F.when(c % 11 == 0, "YES").alias("Gender Inclusive"), point(c).alias("geometry"))
+    stations = customer.select(c.alias("number"), F.concat(F.lit("Stop "), text(F.col("c_nationkey"))).alias("station"), F.concat(F.lit("u"), text(c)).alias("source_url"))
+    stops = nation.select(text(n).alias("stop_id"), F.concat(F.lit("Stop "), text(n)).alias("stop_name"), text(n).alias("stop_lon"), F.lit("43").alias("stop_lat"), F.lit("1").alias("location_type"))
+    points = nation.select(F.col("n_name").alias("name"), point(n).alias("geometry"))
+    return ways.all_places(sources.park_places(parks, hours, "p"), sources.library_places(libraries), sources.museum_places(museums, points, "m"), sources.automated_places(automated, "a"), sources.building_places(buildings, "b"), sources.station_places(stations, stops))
+
+
+@query("""with b as (select c_custkey as c, case when c_custkey % 4 > 0 then cast(c_custkey % 50 as varchar) else concat(c_mktsegment, '|', c_nationkey) end as k, * from customer where c_custkey % 9 > 0),
+p as (select concat('parks:', case when s_suppkey % 3 = 0 then concat('A', s_suppkey) else cast(s_suppkey as varchar) end) as place_id, case when s_suppkey % 4 = 0 then 'Alt' else s_name end as name, s_suppkey::double as lon,
+case when s_suppkey % 2 = 1 then '9 a.m. to 5 p.m.' when s_suppkey % 4 < 3 then 'Mon 8 a.m. to 4 p.m.; Tue Closed; Wed Closed; Thu Closed; Fri Closed; Sat Closed; Sun Closed' else 'Centre hours' end as hours_raw, case when s_suppkey % 5 = 1 then 'true' else '' end as accessible, case when s_suppkey % 8 = 0 then 'true' else '' end as all_gender,
+case when s_suppkey % 6 = 0 then 'seasonal' when s_suppkey % 7 = 0 then 'temporary' else 'none' end as closure_category, s_suppkey % 3 = 0 as temporarily_closed, s_suppkey % 3 = 2 as partial_service, 1 as record_count, concat(case when s_suppkey % 6 = 0 then 'Closed for the season' else '' end, case when s_suppkey % 42 = 0 then '; ' else '' end, case when s_suppkey % 7 = 0 then 'repair' else '' end) as notes from supplier)
+select * from p union all select concat('library:', n_nationkey), concat(n_name, ' library'), n_nationkey, '9-5', '', '', 'none', false, false, 1, '' from nation where n_nationkey % 2 = 1
+union all select concat('museum:', n_nationkey), n_name, n_nationkey, '', case when n_nationkey % 2 = 0 then 'false' else '' end, case when n_nationkey % 4 = 0 then 'true' else 'false' end, case when n_nationkey % 5 = 0 then 'construction' else 'none' end, false, false, 1, case when n_nationkey % 5 = 0 then 'under construction' else '' end from nation where n_nationkey % 3 = 0
+union all select concat('automated:', n_nationkey), concat('Automated public washroom at ', n_nationkey, case when n_nationkey % 2 = 0 then ' King St' else '' end), n_nationkey, 'Seasonal Apr-Oct; daily hours not published', 'true', '', case when n_nationkey % 3 = 0 then 'none' else 'temporary' end, n_nationkey % 3 > 0, false, 1, 'Barrier-free and seasonal. Exact daily hours are not published.' from nation
+union all select concat('crem:', k), arg_min(c_mktsegment, c), min(c), case when count(distinct c % 3) = 1 then cast(any_value(c % 3) as varchar) else '' end, cast(bool_or(c % 10 = 0) as varchar), cast(bool_or(c % 11 = 0) as varchar), 'none', false, false, count(*), '' from b group by k
+union all select concat('ttc:stop-', c_nationkey), concat('Stop ', c_nationkey, ' station'), c_nationkey, 'Mon-Sat 6 a.m. to 2 a.m.; Sun 8 a.m. to 2 a.m.', 'true', '', 'none', false, false, count(*), 'Located in the fare-paid area.' from customer group by c_nationkey""")
+def source_places(spark, sf_dir):
+    flag = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return published_sources(spark, sf_dir).select("place_id", "name", "lon", "hours_raw", flag("accessible"), flag("all_gender"), "closure_category", "temporarily_closed", "partial_service", "record_count", "notes")
