@@ -113,3 +113,17 @@ def test_a_round_moves_no_edge(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange") == 1 and "Exchange hashpartitioning(node" in text and "Bucketed: true" in text
+
+
+def test_components_of_a_chain_in_few_rounds(spark, monkeypatch):
+    n, rounds, plain = 4000, [], graph.checkpointed
+    ids = list(range(n))
+    random.Random(6).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids[:-1], ids[1:])) + [(10**6, 10**6 + 1), (None, 3), (7, None)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in (*ids, 10**6, 10**6 + 1, 10**7)], "node long")
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or plain(df))
+    got = {r.node: r.component for r in graph.components(nodes, links).collect()}
+    assert got == {i: 0 for i in ids} | {10**6: 10**6, 10**6 + 1: 10**6, 10**7: 10**7}
+    assert len(rounds) < 3 * 1.6 * math.log2(n)  # three tables a round
+    numbers = metrics.cluster_numbers(spark.createDataFrame(sorted(got.items()), "node long, component long"))
+    assert {r.component: r.cluster for r in numbers.collect()} == {0: 0, 10**6: 1, 10**7: 2}

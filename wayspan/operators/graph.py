@@ -90,17 +90,33 @@ def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: float, delta
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that is reachable over links (a, b)."""
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpointed(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        told = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        onward = labels.select(F.col("node").alias("mid"), F.col("component").alias("next"))
-        step = checkpointed(told.join(onward, "mid").select("node", "old", F.least("mid", "next").alias("component")))
-        labels = step.select("node", "component")
-        if step.where("component <> old").isEmpty():
-            return labels
+    """(node, component): the smallest listed node that is reachable over links (a, b); null ends link nothing.
+
+    Randomised contraction: each round orders nodes by a hash of its own, every node goes over to the first of itself
+    and its neighbours, and the links between what is left go on, without repeats. Links shrink by a constant share a
+    round in expectation, so rounds grow with the logarithm of the nodes, whatever the shape (a chain, a star); the
+    moves of all rounds are then followed from the last to the first.
+    """
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = checkpointed(links.where("a <> b").select(F.explode(ways).alias("w")).select("w.*").distinct())
+    moves: list[DataFrame] = []
+    while not links.isEmpty():
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        first = links.groupBy("a").agg(F.min(place("b")).alias("m"))
+        moved = checkpointed(first.select(F.col("a").alias("node"), F.least(F.col("m"), place("a"))["n"].alias("to")))
+        at = lambda c: moved.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
+        links = checkpointed(links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct())
+        moves.append(moved)
+    roots = None
+    for moved in reversed(moves):
+        # those who moved on to a node that moved again
+        onward = None if roots is None else roots.select(F.col("node").alias("to"), F.col("root"))
+        roots = moved.withColumnRenamed("to", "root") if onward is None else checkpointed(moved.join(onward, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+    if roots is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    told = checkpointed(nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    least = told.groupBy("root").agg(F.min("node").alias("component"))
+    return told.join(least, "root").select("node", "component")
 
 
 def covered(distances: DataFrame, stops: DataFrame, limit: float) -> DataFrame:
