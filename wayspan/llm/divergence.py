@@ -31,7 +31,7 @@ LEAST_DOCS, RANKS, UNIT = 10, 10, 1_000_000_000
 #: Terms and bytes of terms in one transducer at most (a longer term is one alone); bytes of transducers sent at once.
 BLOCK_TERMS, BLOCK_BYTES, WAVE_BYTES = 1 << 15, 1 << 20, 1 << 25
 #: Bytes of text looked at together, and counts in a tile (terms times sources of the language).
-TEXT_BYTES, TILE = 1 << 23, 1 << 20
+TEXT_BYTES, TILE = 1 << 23, 1 << 17
 
 #: Lower-case image of each byte of a term; 0 for bytes between terms.
 _LETTER = np.array([lower_ascii(b) if b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 else 0 for b in range(256)], np.uint8)
