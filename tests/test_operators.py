@@ -103,12 +103,20 @@ def test_gap_flags(spark):
     assert flags(documented=1, open=1, open_inaccessible=1, open_accessible=1, scheduled_closed=1) == set()
 
 
+def test_street_ids_come_before_lengths(spark):
+    parts = spark.createDataFrame([("A b", 50.0), ("a-b", 150.0), ("\ufb01n Way", 90.0), ("FIN way", 60.0), ("\ufb01n Way", 10.0), ("  ", 500.0), (None, 500.0)], "name string, length double")
+    got = {r.key: (r.street_id, r.name, r.parts) for r in zones.named_streets(parts, "name", "length").collect()}
+    assert set(got) == {"a-b", "fin way"}
+    assert got["a-b"][0].startswith("a-b-") and len(got["a-b"][0]) == 12  # the short street holds the plain id
+    assert got["fin way"] == ("fin-way", "fin Way", 3)
+
+
 def test_sides_beyond_the_broadcast_bound_lose_no_row(spark, monkeypatch):
     monkeypatch.setattr(sizes.small, "__defaults__", (2,))
     queries = spark.createDataFrame([(q,) for q in ("ab", "b c", "", "zz", "c")], "query string")
     records = spark.createDataFrame([(1, "ab c"), (2, "b"), (3, "c ab"), (4, "")], "id int, t string")
     got = {(r.query, r.id) for r in serve.search(records, queries, F.col("t"), "id", 9).collect()}
-    assert got == {("ab", 1), ("ab", 3), ("b c", 1), ("b c", 3), ("c", 1), ("c", 3), *(("", i) for i in (1, 2, 3, 4))}
+    assert got == {("ab", 1), ("ab", 3), ("b c", 1), ("b c", 3), ("c", 1), ("c", 3)}  # an empty query finds nothing
     moments = spark.createDataFrame([(i, i % 7, 60 * i) for i in range(20)], "moment_id int, weekday int, minute int")
     places = spark.createDataFrame([(1, True, False)], "place_id int, hours_known boolean, temporarily_closed boolean")
     hours = spark.createDataFrame([(1, d, 0, 1440) for d in range(7)], "place_id int, weekday int, start_min int, end_min int")
