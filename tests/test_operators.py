@@ -36,7 +36,7 @@ WEEK = range(7)
         ("Mon-Wed: 9am until 5:30pm", True, {(d, 540, 1050) for d in (0, 1, 2)}), ("sat-mon 10pm-2am", True, {(d, 1320, 1560) for d in (5, 6, 0)}), ("weekends & holidays 12am to 12pm", True, {(5, 0, 720), (6, 0, 720)}),
         ("mon-fri 9am-5pm, sat 10am-4pm", True, {(d, 540, 1020) for d in range(5)} | {(5, 600, 960)}), ("weekend 10am-4pm", True, {(5, 600, 960), (6, 600, 960)}), ("Tuesday closed; Wed 9am-10am & 3pm-4pm", True, {(2, 540, 600), (2, 900, 960)}),
         ("6 a.m. to 2 a.m.", True, {(d, 360, 1560) for d in WEEK}), ("Closed", True, set()), ("mon 9am-5pm; ask staff", False, set()), ("daily 9am-5pm", False, set()), ("weekdays 9am-5pm", False, set()), ("9AM-5PM", False, set()), ("mon-friday 9am-5pm", False, set()),
-        ("mon & wed 9am-5pm", False, set()), ("weekend-mon 9am-5pm", False, set()), ("9amto 5pm", False, set()), ("View hours", False, set()), ("Centre hours", False, set()), ("", False, set()), (None, False, set()),
+        ("mon & wed 9am-5pm", False, set()), ("weekend-mon 9am-5pm", False, set()), ("9amto 5pm", False, set()), ("View hours", False, set()), ("mon\n 9am-5pm", True, {(0, 540, 1020)}), ("Mon 9am-5pm;\nTue closed", False, set()), ("Mon 9am-5pm, , Tue closed", False, set()), ("Sat and holidays: 9 a.m-5 p.m.", True, {(5, 540, 1020)}), ("monday - wed & holiday 09:05am - 5pm", True, {(d, 545, 1020) for d in range(3)}), ("Centre hours", False, set()), ("", False, set()), (None, False, set()),
     ],
 )
 def test_weekly_hours(spark, hours, known, rows):

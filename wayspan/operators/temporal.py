@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,33 +86,95 @@ def nearest_in_time(targets: DataFrame, rows: DataFrame, key: str, at: str, targ
 
 # --- weekly hours -------------------------------------------------------------------------------
 
-# Texts that say that the hours are not published.
+# Texts that say that the hours are not published, and the words of weekly hours (longer ones first).
 UNPUBLISHED = ("", "none", "non-branch row", "centre hours")
 _SHORT = tuple(name[:3] for name in WEEKDAYS)
-_PREFIX = (
-    r"(?i)^(mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?|weekends?)"
-    rf"(?:\s*-\s*({'|'.join(_SHORT)}))?(?:\s*(?:&|and)\s*holidays?)?\s*:?[ ]+(.*)$"
-)
-_NEXT_RULE = rf"(?i)\s*[;,]\s*(?={'|'.join((*_SHORT, 'weekend'))})"
-_CLOCK = r"\s*(\d{1,2})(?::(\d{2}))?\s*([ap])\.?m\.?\s*"
-_INTERVAL = rf"^{_CLOCK}(?:(?<=\s)(?:to|until)\s+|-){_CLOCK}$"
+DAY_WORDS = (*WEEKDAYS, "weekends", "weekend", *_SHORT)
+JOINERS, HOLIDAYS = ("&", "and"), ("holidays", "holiday")
+#: "am", "a.m", "am.", "a.m." and the same of "pm".
+MARKS = tuple(f"{half}{inner}m{end}" for half in "ap" for inner in ("", ".") for end in ("", "."))
 
 
 def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _minute(hour: Column, minute: Column, half: Column) -> Column:
-    return F.pmod(hour.cast("int"), F.lit(12)) * 60 + F.coalesce(F.nullif(minute, F.lit("")).cast("int"), F.lit(0)) + F.when(half == "p", 720).otherwise(0)
+def _left(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+", "")
+
+
+def _word(text: Column, words: tuple[str, ...]) -> Column:
+    """The first of the words that the text begins with, in any case; empty if there is none."""
+    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.startswith(F.lower(text), w)), F.lit(0)), F.lit(""))
+
+
+def _behind(text: Column, word: Column) -> Column:
+    return F.substr(text, F.length(word) + 1)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value bound to a variable, so that what computes it stands in the plan once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _day_clause(text: Column) -> Column:
+    """(first, last, times) of a rule "day [- day] [& holidays] [:] times"; last is empty without a range, times is null
+    where the text doesn't begin with a day clause and a blank. Words are taken off the front one by one."""
+    state = lambda first, last, rest: F.struct(first.alias("first"), last.alias("last"), rest.alias("rest"))
+    none = F.lit("")
+
+    def opened(rest: Column, word: str) -> Column:
+        return F.when(F.startswith(_left(rest), F.lit(word)), _left(_behind(_left(rest), F.lit(word))))
+
+    def ranged(s: Column) -> Column:
+        return _bound(opened(s["rest"], "-"), lambda t: _bound(_word(t, _SHORT), lambda d: F.when(d != "", state(s["first"], d, _behind(t, d))).otherwise(s)))
+
+    def without_holidays(s: Column) -> Column:
+        joined = F.coalesce(*[opened(s["rest"], w) for w in JOINERS], none)
+        return _bound(joined, lambda t: _bound(_word(t, HOLIDAYS), lambda h: F.when(h != "", state(s["first"], s["last"], _behind(t, h))).otherwise(s)))
+
+    def timed(s: Column) -> Column:
+        colon = F.startswith(_left(s["rest"]), F.lit(":"))
+        told = lambda t, sound: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.when((s["first"] != "") & sound & ~F.contains(_left(t), F.lit("\n")), _stripped(t)).alias("times"))
+        plain = lambda t: F.contains(F.substring_index(F.left(t, F.length(t) - F.length(_left(t))), "\n", -1), F.lit(" "))
+        behind = _behind(_left(s["rest"]), F.lit(":"))
+        return F.when(colon, told(behind, F.startswith(behind, F.lit(" ")) & ~F.contains(behind, F.lit("\n")))).otherwise(told(s["rest"], plain(s["rest"])))
+
+    first = _bound(_word(text, DAY_WORDS), lambda d: state(d, none, _behind(text, d)))
+    return _bound(_bound(_bound(first, ranged), without_holidays), timed)
 
 
 def _days(first: Column, last: Column) -> Column:
     """Weekday numbers (Monday is 0) from first to last; ranges wrap around the week. Null if they make no sense."""
-    number = lambda c: F.array_position(F.array(*map(F.lit, _SHORT)), F.substring(F.lower(c), 1, 3)).cast("int") - 1
-    a, b = number(first), F.when(last == "", number(first)).otherwise(number(last))
-    span = F.transform(F.sequence(F.lit(0), F.pmod(b - a, F.lit(7))), lambda k: F.pmod(a + k, F.lit(7)))
-    weekend = F.lower(first).startswith("weekend")
-    return F.when(weekend & (last == ""), F.array(F.lit(5), F.lit(6))).when(~weekend & (a >= 0) & (b >= 0), span)
+    number = lambda c: F.array_position(F.array(*map(F.lit, _SHORT)), F.left(c, F.lit(3))).cast("int") - 1
+    weekend, span = F.startswith(first, F.lit("weekend")), F.pmod(F.when(last == "", 0).otherwise(number(last) - number(first)), F.lit(7))
+    week = F.transform(F.sequence(F.lit(0), span), lambda k: F.pmod(number(first) + k, F.lit(7)))
+    return F.when(weekend, F.when(last == "", F.array(F.lit(5), F.lit(6)))).when(first != "", week)
+
+
+def _clock(text: Column) -> Column:
+    """Minute of the day of "9am", "9:30 p.m."; null for anything else."""
+
+    def minute_of(mark: Column, figures: Column) -> Column:
+        hour, minute = F.get(figures, F.lit(0)), F.coalesce(F.get(figures, F.lit(1)), F.lit("00"))
+        sound = (F.size(figures) <= 2) & hour.rlike("^[0-9]{1,2}$") & minute.rlike("^[0-9]{2}$")
+        return F.when(sound, F.pmod(hour.cast("int"), F.lit(12)) * 60 + minute.cast("int") + F.when(F.startswith(mark, F.lit("p")), 720).otherwise(0))
+
+    marks = F.filter(F.array(*map(F.lit, MARKS)), lambda m: F.endswith(text, m))
+    figures = lambda m: F.split(F.regexp_replace(F.left(text, F.length(text) - F.length(m)), r"\s+$", ""), ":")
+    return F.get(F.transform(marks, lambda m: _bound(figures(m), lambda f: minute_of(m, f))), F.lit(0))
+
+
+def _interval(text: Column) -> Column:
+    """(start_min, end_min) of two clocks with a dash, "to" or "until" between them; null for anything else."""
+
+    def interval_of(clocks: Column) -> Column:
+        start, end = F.get(clocks, F.lit(0)), F.get(clocks, F.lit(1))
+        told = F.struct(start.alias("start_min"), F.when(end <= start, end + DAY).otherwise(end).alias("end_min"))
+        return F.when((F.size(clocks) == 2) & start.isNotNull() & end.isNotNull(), told)
+
+    halves = F.split(F.regexp_replace(text, r"\s(to|until)\s", "-"), "-")
+    return _bound(F.transform(halves, lambda t: _bound(_stripped(t), _clock)), interval_of)
 
 
 def weekly_hours(texts: DataFrame, text: str) -> DataFrame:
@@ -122,28 +186,23 @@ def weekly_hours(texts: DataFrame, text: str) -> DataFrame:
     to the next day (plus 1440); "closed" gives no interval. A text of which any part can't be read is unknown as
     a whole: one row with hours_known false and no interval. Known texts without any interval are one row of nulls.
     """
-    cut = texts.select(text).distinct().withColumn("value", _stripped(F.coalesce(F.col(text), F.lit(""))))
-    low = F.lower("value")
-    cut = cut.withColumns({"unpublished": low.isin(*UNPUBLISHED) | low.startswith("view "), "dated": F.col("value").rlike(_PREFIX)})
-    rules = cut.withColumn("rule", F.explode(F.when(F.col("dated"), F.split("value", _NEXT_RULE)).otherwise(F.array("value"))))
-    part = lambda k: F.regexp_extract(F.trim("rule"), _PREFIX, k)
-    whole = F.sequence(F.lit(0), F.lit(6))
-    rules = rules.withColumns({"days": F.when(F.col("dated"), F.when(part(1) != "", _days(part(1), part(2)))).otherwise(whole), "times": _stripped(F.when(F.col("dated"), part(3)).otherwise(F.col("value")))})
-    spans = F.when(F.lower("times") == "closed", F.array().cast("array<string>")).otherwise(F.split("times", r"\s*&\s*"))
-
-    def interval(s: Column) -> Column:
-        of = lambda k: F.regexp_extract(s, _INTERVAL, k)
-        start, end = _minute(of(1), of(2), of(3)), _minute(of(4), of(5), of(6))
-        told = F.struct(start.alias("start_min"), F.when(end <= start, end + DAY).otherwise(end).alias("end_min"))
-        return F.when(s.rlike(_INTERVAL), told)
-
-    rules = rules.withColumn("spans", F.transform(spans, interval))
-    good = ~F.col("unpublished") & F.col("days").isNotNull() & ~F.exists("spans", lambda s: s.isNull())
-    known = rules.groupBy(text).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("hours_known"))
-    rows = rules.where(good).select(text, F.explode("days").alias("weekday"), F.col("spans")).select(text, "weekday", F.explode("spans").alias("s"))
-    rows = rows.select(text, "weekday", F.col("s.start_min").cast("int").alias("start_min"), F.col("s.end_min").cast("int").alias("end_min"))
-    same = (known[text].eqNullSafe(rows[text])) & known["hours_known"]
-    return known.join(rows.hint("merge"), same, "left").select(known[text], "hours_known", "weekday", "start_min", "end_min")
+    cut = texts.select(F.col(text).alias("_text")).distinct().withColumn("_value", _stripped(F.coalesce("_text", F.lit(""))))
+    low = F.lower("_value")
+    published = ~(low.isin(*UNPUBLISHED) | F.startswith(low, F.lit("view ")))
+    none = F.array().cast("array<struct<start_min:int,end_min:int>>")
+    spans = lambda times: F.when(F.lower(times) == "closed", none).otherwise(F.transform(F.split(times, "&"), _interval))
+    rule = lambda days, times: F.struct(days.alias("days"), spans(times).alias("spans"))
+    daily = F.array(rule(F.sequence(F.lit(0), F.lit(6)), F.col("_value")))
+    dated = F.transform(F.split("_value", "[;,]"), lambda piece: _bound(_bound(_stripped(piece), _day_clause), lambda c: rule(_days(c["first"], c["last"]), c["times"])))
+    # the explode binds the rules: what reads them is not repeated in the tests and the join
+    rules = cut.select("_text", published.alias("_published"), F.explode(F.when(_day_clause(F.col("_value"))["times"].isNotNull(), dated).otherwise(daily)).alias("_rule"))
+    days, told = F.col("_rule.days"), F.col("_rule.spans")
+    good = F.coalesce(F.col("_published") & days.isNotNull() & told.isNotNull() & ~F.exists(told, lambda s: s.isNull()), F.lit(False))
+    known = rules.groupBy("_text").agg(F.bool_and(good).alias("hours_known"))
+    rows = rules.where(good).select(F.col("_text").alias("_own"), F.explode(days).alias("weekday"), told.alias("spans")).select("_own", "weekday", F.explode("spans").alias("s"))
+    rows = rows.select("_own", "weekday", F.col("s.start_min").alias("start_min"), F.col("s.end_min").alias("end_min"))
+    same = F.col("_text").eqNullSafe(F.col("_own")) & F.col("hours_known")
+    return known.join(rows.hint("merge"), same, "left").select(F.col("_text").alias(text), "hours_known", "weekday", "start_min", "end_min")
 
 
 def hours_text(days: dict[str, tuple[Column, Column]]) -> Column:
