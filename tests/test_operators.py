@@ -236,8 +236,9 @@ def test_corrected_heights_equal_a_padded_box(spark):
     low = canopy & (height < 3)
     want = np.where(low, np.where(n > 0.5, s / np.maximum(n, 1), 8.0), height)
     frame = spark.createDataFrame([(i, j, float(height[i, j]), bool(canopy[i, j])) for i in range(9) for j in range(11)], "row int, col int, height double, canopy boolean")
-    got = zones.corrected_heights(frame, r).collect()
-    assert all(abs(x.corrected - want[x.row, x.col]) < 1e-9 for x in got) and {x.source for x in got} == {"measured", "default", "kept"}
+    for side in (None, 4, 3):
+        got = zones.corrected_heights(frame, r, side=side).collect()
+        assert len(got) == 99 and all(abs(x.corrected - want[x.row, x.col]) < 1e-9 for x in got) and {x.source for x in got} == {"measured", "default", "kept"}
 
 
 def test_zones_that_cannot_be(spark):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayspan.operators import graph, metrics, spatial, temporal
+from wayspan.operators import graph, metrics, pixels, spatial, temporal, zones
 
 
 def plan(df):
@@ -52,6 +52,22 @@ def test_quantiles_equal_numpy(spark):
     assert wide[None].n == len(groups[None]) and wide[None].above == sum(v > 2 for v in groups[None])
 
 
+def test_neighbourhoods_move_the_grid_once(spark):
+    rng = random.Random(8)
+    cells = {(i, j): rng.choice([None, rng.randint(-3, 9)]) for i in range(-20, 21) for j in range(-15, 30)}
+    frame = spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()] + [(None, 1, 5), (1, None, 5)], "row long, col long, v long")
+    square = lambda i, j, r: [v for a in range(i - r, i + r + 1) for b in range(j - r, j + r + 1) if (v := cells.get((a, b))) is not None]
+    for radius, side in ((2, 3), (3, 3), (2, None), (0, 5)):
+        got = {(x.row, x.col): (x.total, x.n) for x in pixels.focal_sums(frame, "v", radius, side).collect()}
+        assert got == {(i, j): (sum(own) if own else None, len(own)) for i, j in cells for own in [square(i, j, radius)]}
+    heights = frame.withColumn("height", F.col("v").cast("double")).withColumn("canopy", F.lit(True))
+    for df in (pixels.focal_sums(frame, "v", 2), zones.corrected_heights(heights, 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert pixels.focal_sums(frame.limit(0), "v", 2).count() == 0
+    with pytest.raises(ValueError, match="block"):
+        pixels.focal_sums(frame, "v", 5, 4)
+
+
 def ring_edges(name, ring):
     return [(name, *map(float, ring[i]), *map(float, ring[(i + 1) % len(ring)])) for i in range(len(ring))]
 

@@ -85,13 +85,36 @@ def native_overview(pixels: DataFrame, factor: int, count: str, bits: str, groun
     return met.select("row", "col", "ground", F.when(F.col("ground"), F.greatest(F.lit(1), F.bround("_m", 0).cast("int"))).otherwise(0).alias("count"), "bits")
 
 
-def focal_sums(pixels: DataFrame, value: str, radius: int) -> DataFrame:
-    """(row, col, total, n): sums and counts of the non-null values in the square around each pixel, by sliding
-    sums along rows, then columns; each window partition is one grid line."""
-    along = Window.partitionBy("row").orderBy("col").rangeBetween(-radius, radius)
-    down = Window.partitionBy("col").orderBy("row").rangeBetween(-radius, radius)
-    first = pixels.select("row", "col", F.sum(value).over(along).alias("_s"), F.count(value).over(along).alias("_n"))
-    return first.select("row", "col", F.sum("_s").over(down).alias("total"), F.sum("_n").over(down).alias("n"))
+def with_halo(pixels: DataFrame, radius: int, side: int | None = None) -> DataFrame:
+    """pixels (row, col) dealt by blocks (_by, _bx) of side x side cells, each with the pixels within radius around it:
+    one shuffle, after which windows over a block's lines need none. Pixels near a border are in up to four blocks, so
+    what moves grows by about 4 x radius / side; the side is eight radii (64 at least) unless given, radius at least."""
+    side = max(64, 8 * radius) if side is None else side
+    if side < max(1, radius):
+        raise ValueError("a block must be as wide as the radius")
+    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / side) for d in (-radius, 0, radius)]))
+    spread = pixels.withColumn("_by", F.explode(near("row"))).withColumn("_bx", F.explode(near("col")))
+    return spread.repartition("_by", "_bx").withColumn("_side", F.lit(side))
+
+
+def own_columns() -> Column:
+    """The pixel lies in the columns of its block and not in the halo beside them."""
+    return F.floor(F.col("col") / F.col("_side")) == F.col("_bx")
+
+
+def own_rows() -> Column:
+    return F.floor(F.col("row") / F.col("_side")) == F.col("_by")
+
+
+def focal_sums(pixels: DataFrame, value: str, radius: int, side: int | None = None) -> DataFrame:
+    """(row, col, total, n): sums and counts of the non-null values in the square around each pixel of a complete grid
+    (pixels without a value have a null), by sliding sums along rows, then columns, inside blocks that hold their
+    surroundings: one shuffle. Null rows or columns are left out; of an absent pixel, its row's sum is absent too."""
+    block = with_halo(pixels.where("row is not null and col is not null").select("row", "col", F.col(value).alias("_v")), radius, side)
+    along = Window.partitionBy("_by", "_bx", "row").orderBy("col").rangeBetween(-radius, radius)
+    down = Window.partitionBy("_by", "_bx", "col").orderBy("row").rangeBetween(-radius, radius)
+    first = block.withColumns({"_s": F.sum("_v").over(along), "_n": F.count("_v").over(along)}).where(own_columns())
+    return first.withColumns({"total": F.sum("_s").over(down), "n": F.sum("_n").over(down)}).where(own_rows()).select("row", "col", "total", "n")
 
 
 def tiles_for_box(boxes: DataFrame, key: str, zooms: list[int], tile_x0: dict[int, Column], tile_x1: dict[int, Column], tile_y0: dict[int, Column], tile_y1: dict[int, Column]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayspan.functions import bits as b
 from wayspan.functions import geo
 from wayspan.functions.text import composed, slug, text_key
+from wayspan.operators.pixels import own_columns, own_rows, with_halo
 from wayspan.operators.spatial import _segment_cells, nearest_node, overlapping_boxes, points_in_polygons, with_cell
 
 
@@ -138,28 +139,27 @@ def best_block(swings: DataFrame, streets: DataFrame, block: str, least_ground:
     return told.orderBy(F.col("swing").desc(), block).limit(1).select(block, "swing", "metres", "names")
 
 
-def corrected_heights(pixels: DataFrame, radius: int = 25, bare: float = 3.0, default: float = 8.0) -> DataFrame:
+def corrected_heights(pixels: DataFrame, radius: int = 25, bare: float = 3.0, default: float = 8.0, side: int | None = None) -> DataFrame:
     """(row, col, height, corrected, source) of a complete grid (row, col, height, canopy): canopy pixels under the bare
     height are raised to the mean of the crowns in the square around them, or to the default where it holds none.
     source says measured, default or kept.
 
-    Sums slide along rows, then along columns. Beyond the grid the edge cell goes on, as often as the square hangs
-    over.
+    Sums slide along rows, then along columns, inside blocks that hold their surroundings: one shuffle. Beyond the grid
+    the edge cell goes on, as often as the square hangs over; a block's own pixels reach its edge only where the grid
+    ends. Null rows or columns are left out.
     """
     crown = F.coalesce(F.col("canopy"), F.lit(False)) & (F.col("height") >= bare)
-    own = pixels.select("row", "col", "height", F.coalesce("canopy", F.lit(False)).alias("canopy"), F.when(crown, F.col("height")).otherwise(0.0).cast("double").alias("s"), F.when(crown, 1.0).otherwise(0.0).alias("n"))
+    own = pixels.where("row is not null and col is not null").select("row", "col", "height", F.coalesce("canopy", F.lit(False)).alias("canopy"), F.when(crown, F.col("height")).otherwise(0.0).cast("double").alias("s"), F.when(crown, 1.0).otherwise(0.0).alias("n"))
 
     def slid(df: DataFrame, line: str, at: str) -> DataFrame:
-        near, whole = Window.partitionBy(line).orderBy(at).rangeBetween(-radius, radius), Window.partitionBy(line)
-        low, high = F.min(at).over(whole), F.max(at).over(whole)
+        lines = Window.partitionBy("_by", "_bx", line).orderBy(at)
+        near, whole = lines.rangeBetween(-radius, radius), lines.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         over = lambda c: F.greatest(F.lit(0), F.lit(radius) - c)
-        ends = df.withColumns({"_low": low, "_high": high})
-        for c in ("s", "n"):
-            ends = ends.withColumns({f"_{c}a": F.max(F.when(F.col(at) == F.col("_low"), F.col(c))).over(whole), f"_{c}z": F.max(F.when(F.col(at) == F.col("_high"), F.col(c))).over(whole)})
-        sums = {c: F.sum(c).over(near) + over(F.col(at) - F.col("_low")) * F.col(f"_{c}a") + over(F.col("_high") - F.col(at)) * F.col(f"_{c}z") for c in ("s", "n")}
-        return ends.withColumns({f"_{c}": v for c, v in sums.items()}).select("row", "col", "height", "canopy", F.col("_s").alias("s"), F.col("_n").alias("n"))
+        ends = df.withColumns({"_low": F.first(at).over(whole), "_high": F.last(at).over(whole)} | {f"_{c}a": F.first(c).over(whole) for c in ("s", "n")} | {f"_{c}z": F.last(c).over(whole) for c in ("s", "n")} | {f"_{c}": F.sum(c).over(near) for c in ("s", "n")})
+        sums = {c: F.col(f"_{c}") + over(F.col(at) - F.col("_low")) * F.col(f"_{c}a") + over(F.col("_high") - F.col(at)) * F.col(f"_{c}z") for c in ("s", "n")}
+        return ends.select("_by", "_bx", "_side", "row", "col", "height", "canopy", *[v.alias(c) for c, v in sums.items()])
 
-    local = slid(slid(own, "row", "col"), "col", "row")
+    local = slid(slid(with_halo(own, radius, side), "row", "col").where(own_columns()), "col", "row").where(own_rows())
     low = F.col("canopy") & (F.col("height") < bare)
     seen = (F.col("n") > 0.5) & (F.col("s") > 0)
     source = F.when(low & seen, "measured").when(low, "default").otherwise("kept")
