@@ -2,12 +2,13 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayspan.operators import graph, metrics, pixels, spatial, temporal, zones
+from wayspan.operators import graph, metrics, pixels, serve, spatial, temporal, zones
 
 
 def plan(df):
@@ -68,6 +69,26 @@ def test_neighbourhoods_move_the_grid_once(spark):
         pixels.focal_sums(frame, "v", 5, 4)
 
 
+def test_search_by_a_stored_index(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["elm", "oak", "st", "a", "queen", "queens", "west", "north"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 4))), i % 3) for i in range(300)] + [(900, None, 1), (901, "", 2), (902, "zebra", 2)]
+    records = spark.createDataFrame(rows, "id int, name string, rank_of int")
+    queries = spark.createDataFrame([(q,) for q in ("", " ", None, "queen", "queen we", "a", "st", "zebra", "zebras", "nowhere", "oak  elm", "elm", "elm")], "query string")
+    serve.write_search_index(records, "id", F.col("name"), str(tmp_path / "i"), 8)
+    got = serve.search_by_index(str(tmp_path / "i"), records, queries, "id", F.col("name"), "id", 5, 8)
+    want = serve.search(records.where("name is not null"), queries.where("query is not null"), F.col("name"), "id", 5)
+    told = lambda df: sorted((r.query, r.id, r["rank"]) for r in df.collect())
+    assert told(got) == told(want) and ("zebra", 902, 1) in told(got)
+    assert {r.query for r in got.collect()} == {"queen", "queen we", "a", "st", "zebra", "oak  elm", "elm"}
+    text = plan(got)
+    assert "WindowGroupLimit" in text  # only the best of a query's hits move
+    one = plan(serve.search_by_index(str(tmp_path / "i"), records, queries.where("query = 'zebra'"), "id", F.col("name"), "id", 5, 8))
+    scans = [line for line in one[one.index("== Physical Plan ==") :].splitlines() if "FileScan" in line and "key#" in line]
+    assert len(scans) == 1 and re.search(r"PartitionFilters: \[[^]]*shard#\d+ = \d", scans[0]), scans  # of eight shards one is read
+    assert serve.search_by_index(str(tmp_path / "i"), records, queries.limit(0), "id", F.col("name"), "id", 5, 8).count() == 0
+
+
 def ring_edges(name, ring):
     return [(name, *map(float, ring[i]), *map(float, ring[(i + 1) % len(ring)])) for i in range(len(ring))]
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspan.functions.text import text_key
+from wayspan.operators.graph import checkpointed
 from wayspan.operators.sizes import small
 
 
@@ -41,6 +42,44 @@ def search(records: DataFrame, queries: DataFrame, text: Column, order: str, lim
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("_text")
 
 
+def write_search_index(records: DataFrame, key: str, text: Column, path: str, shards: int = 64) -> None:
+    """Stores an inverted index of a search key (text) under a path: postings (shard, gram, key) of all substrings of
+    one to three characters, and how many records hold each. Keys are unique; records without key or text are left out.
+
+    Postings are dealt into ranges of gram and key together, so a gram that every record holds spreads over many
+    files; a search reads only the shards of the grams it asks for.
+    """
+    own = records.select(F.col(key).alias("key"), text.alias("_text")).where("key is not null and _text is not null")
+    spread = own.select("key", F.explode(F.flatten(F.array(*[_grams(F.col("_text"), n) for n in (1, 2, 3)]))).alias("gram"))
+    postings = spread.withColumn("shard", F.pmod(F.hash("gram"), F.lit(shards)))
+    postings.repartitionByRange("shard", "gram", "key").sortWithinPartitions("shard", "gram", "key").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    stored = records.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
+    stored.groupBy("shard", "gram").agg(F.count(F.lit(1)).alias("records")).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/frequencies")
+
+
+def search_by_index(path: str, records: DataFrame, queries: DataFrame, key: str, text: Column, order: str, limit: int, shards: int = 64) -> DataFrame:
+    """The rows of `search` from a stored index of the same records, text and number of shards: no record's characters
+    are spread again.
+
+    The rarest substring of a query stands for it; a query with one that no record holds, or without a token, finds
+    nothing. Only the postings of the substrings chosen meet queries, and all tokens are tested on the records found.
+    """
+    spark = records.sparkSession
+    stored = lambda name, columns: spark.read.schema(f"{columns}, shard int").parquet(f"{path}/{name}")
+    tokens = F.filter(F.split("query", r"\s+"), lambda t: t != "")
+    own = F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.when(F.length(t) < 3, F.array(t)).otherwise(_grams(t, 3)))))
+    asked = checkpointed(queries.select("query").where("query is not null").distinct().select("query", F.size(own).alias("_all"), F.explode(own).alias("gram")).withColumn("shard", F.pmod(F.hash("gram"), F.lit(shards))))
+    known = stored("frequencies", "gram string, records long").join(small(asked), ["shard", "gram"])
+    rarest = known.groupBy("query", "_all").agg(F.count(F.lit(1)).alias("_known"), F.min(F.struct("records", "gram", "shard")).alias("r"))
+    chosen = checkpointed(rarest.where("_known = _all").select("query", "r.gram", "r.shard"))
+    kind = next(f.dataType.simpleString() for f in records.schema if f.name == key)
+    read = [r[0] for r in chosen.select("shard").distinct().collect()]  # at most as many numbers as there are shards
+    found = stored("postings", f"key {kind}, gram string").where(F.col("shard").isin(read)).join(small(chosen), ["shard", "gram"]).select("query", F.col("key").alias(key))
+    met = found.join(records.withColumn("_text", text).hint("merge"), key).where(contains_all(F.col("_text"), F.col("query")))
+    best = Window.partitionBy("query").orderBy(F.startswith("_text", "query").desc(), "_text", order)
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", *records.columns, "rank")
+
+
 def kept_stops(records: DataFrame, query: Column, name: Column) -> DataFrame:
     """Records whose search key holds every token of the query; their order column stays, so the published order
     does. An empty query keeps all. Both texts are search keys."""

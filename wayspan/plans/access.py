@@ -361,6 +361,20 @@ def text_search(spark, sf_dir):
     return serve.search(part.select("p_partkey", "p_name"), queries, F.lower("p_name"), "p_partkey", 8)
 
 
+@query("""with r as (select s_suppkey, s_name, lower(concat(s_name, ' ', n_name)) as t from supplier join nation on s_nationkey = n_nationkey),
+q as (select distinct lower(n_name) as query from nation union select distinct concat(s_suppkey % 1000, ' ', lower(substr(n_name, 1, 2))) from supplier join nation on s_nationkey = n_nationkey union select distinct concat('zz', s_nationkey) from supplier)
+select query, s_suppkey, s_name, rank from (select query, s_suppkey, s_name, row_number() over (partition by query order by starts_with(t, query) desc, t, s_suppkey) as rank from r join q on contains(t, split_part(query, ' ', 1)) and contains(t, split_part(query, ' ', 2))) where rank <= 8""")
+def indexed_search(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    told = table(spark, sf_dir, "supplier").join(nation.hint("merge"), "s_nationkey")
+    records, search_text = told.select("s_suppkey", "s_name", "n_name"), F.lower(F.concat("s_name", F.lit(" "), "n_name"))
+    part = F.concat((F.col("s_suppkey") % 1000).cast("string"), F.lit(" "), F.lower(F.substring("n_name", 1, 2)))
+    queries = nation.select(F.lower("n_name").alias("query")).union(told.select(part)).union(told.select(F.concat(F.lit("zz"), F.col("s_nationkey").cast("string")))).union(nation.select(F.lit(" ")))
+    path = graph.shared_path(spark, "index")
+    serve.write_search_index(records, "s_suppkey", search_text, path)
+    return serve.search_by_index(path, records, queries, "s_suppkey", search_text, "s_suppkey", 8).drop("n_name")
+
+
 @query("select c_custkey, c_name, c_mktsegment from customer where contains(lower(c_mktsegment), case when c_custkey % 2 = 0 then 'ld' else '' end) and contains(lower(c_mktsegment), case when c_custkey % 2 = 0 then 'bui' else 'h' end) order by c_name")
 def kept_stops(spark, sf_dir):
     query = F.when(F.col("c_custkey") % 2 == 0, "ld bui").otherwise("h")
