@@ -89,6 +89,19 @@ def test_search_by_a_stored_index(spark, tmp_path):
     assert serve.search_by_index(str(tmp_path / "i"), records, queries.limit(0), "id", F.col("name"), "id", 5, 8).count() == 0
 
 
+def test_items_of_a_hot_group_are_numbered_in_ranges(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 8 + ["b", "c", None]), rng.choice([None, 1, 2, 3]), i) for i in range(900)] + [("c", 1, 5), ("c", 1, 5)]
+    frame = spark.createDataFrame(rows, "g string, r int, id int")
+    got = {(x.group, x.position): (x.place, x.id) for x in serve.ranked_group_rows(frame, F.col("g"), ["c", "hot"], "r", "id").collect()}
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        own = sorted((r is None, r or 0, i) for k, r, i in rows if k == g)
+        want |= {(g, n): ({"c": 1, "hot": 2}.get(g, 3), i) for n, (_, _, i) in enumerate(own, 1)}
+    assert got == want
+    assert serve.ranked_group_rows(frame.limit(0), F.col("g"), ["c"], "r", "id").count() == 0
+
+
 def ring_edges(name, ring):
     return [(name, *map(float, ring[i]), *map(float, ring[(i + 1) % len(ring)])) for i in range(len(ring))]
 

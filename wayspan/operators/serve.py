@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayspan.functions.text import text_key
 from wayspan.operators.graph import checkpointed
+from wayspan.operators.metrics import numbered
 from wayspan.operators.sizes import small
 
 
@@ -115,6 +116,18 @@ def ranked_groups(df: DataFrame, group: Column, order: list[str], rank: str, key
     return told.select(F.col("_g").alias("group"), place.alias("place"), F.transform("_i", lambda s: s["k"]).alias("items"))
 
 
+def ranked_group_rows(df: DataFrame, group: Column, order: list[str], rank: str, key: str) -> DataFrame:
+    """(group, place, position, key): what `ranked_groups` lists, a row an item with its position from 1 in the group, for
+    groups of any size: all items are numbered in sorted ranges, and a group's first number is taken off."""
+    names = F.array(*[F.lit(x) for x in order])
+    place = F.coalesce(F.nullif(F.array_position(names, F.col("group")), F.lit(0)), F.lit(len(order) + 1)).cast("int")
+    own = df.select(group.alias("group"), F.col(rank).alias("_r"), F.col(key).alias("key")).select("group", place.alias("place"), F.col("_r").isNull().alias("_last"), "_r", "key")
+    told = numbered(own, ["place", "group", "_last", "_r", "key"], "_n")
+    first = checkpointed(told.groupBy("group").agg(F.min("_n").alias("_first")).withColumnRenamed("group", "_g"))
+    met = told.join(small(first), told["group"].eqNullSafe(first["_g"]))
+    return met.select("group", "place", (F.col("_n") - F.col("_first") + 1).alias("position"), F.col("key").alias(key))
+
+
 def in_name_order(places: DataFrame, name: str, key: str) -> DataFrame:
     """Places by folded name, then id, sorted in ranges."""
     return places.withColumn("_k", text_key(F.col(name))).orderBy("_k", key).drop("_k")

@@ -398,6 +398,13 @@ def ranked_groups(spark, sf_dir):
     return out.select("group", F.col("place").cast("int").alias("place"), F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
+@query("""with c as (select c_mktsegment as "group", c_custkey, case when c_custkey % 7 = 0 then null else c_nationkey end as r from customer)
+select "group", case "group" when 'MACHINERY' then 1 when 'BUILDING' then 2 else 3 end as place, row_number() over (partition by "group" order by r nulls last, c_custkey) as position, c_custkey from c""")
+def ranked_group_rows(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").withColumn("r", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")))
+    return serve.ranked_group_rows(own, F.col("c_mktsegment"), ["MACHINERY", "BUILDING"], "r", "c_custkey")
+
+
 @query("""with s as (select o_custkey, o_orderpriority as p, case when bool_or(o_orderstatus = 'O') then 'open' else 'closed' end as state from orders group by all)
 select mode, c_custkey from customer join s on o_custkey = c_custkey, (values ('public'), ('rider'), ('staff')) t(mode) where p = '1-URGENT' and state = 'open' and case c_mktsegment when 'BUILDING' then mode in ('public', 'rider') when 'MACHINERY' then mode = 'rider' else false end""")
 def open_places(spark, sf_dir):
