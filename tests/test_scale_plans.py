@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayspan.operators import graph, metrics, pixels, serve, spatial, temporal, zones
+from wayspan.operators import graph, metrics, pixels, serve, spatial, temporal, whatif, zones
 
 
 def plan(df):
@@ -177,3 +177,23 @@ def test_components_of_a_chain_in_few_rounds(spark, monkeypatch):
     assert len(rounds) < 3 * 1.6 * math.log2(n)  # three tables a round
     numbers = metrics.cluster_numbers(spark.createDataFrame(sorted(got.items()), "node long, component long"))
     assert {r.component: r.cluster for r in numbers.collect()} == {0: 0, 10**6: 1, 10**7: 2}
+
+
+def test_greedy_selection_meets_copies_once(spark, monkeypatch):
+    rng = random.Random(3)
+    sets = [frozenset(rng.sample(range(60), rng.choice([1, 1, 2, 3, 5, 9, 20, 33, 40, 50]))) for _ in range(60)]
+    sets += [frozenset([*rng.sample(sorted(s), -(-4 * len(s) // 5)), rng.randint(0, 60)]) for s in sets]  # near the share
+    sets += [sets[0]] * 300 + [sets[5]] * 300
+    rows = [(i, e) for i, s in enumerate(sets) for e in s] + [(9000, None), (9001, None)]
+    order = sorted(range(len(sets)), key=lambda i: (-len(sets[i]), i))
+    kept = []
+    for i in order:
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i]) for k in kept):
+            kept.append(i)
+    sizes, plain = [], whatif.checkpointed
+    monkeypatch.setattr(whatif, "checkpointed", lambda df: sizes.append((out := plain(df)).count()) or out)
+    ranks = spark.createDataFrame([(c, r) for r, c in enumerate([*order, 9000, 9001, 9002])], "candidate_id int, rank int")
+    got = whatif.greedy_distinct(spark.createDataFrame(rows, "candidate_id int, effect int"), ranks)
+    assert sorted(r.candidate_id for r in got.where("kept").collect()) == sorted([*kept, 9000, 9001, 9002])
+    assert got.count() == len(sets) + 3
+    assert max(sizes) <= len(rows)  # 600 copies are no 180,000 pairs

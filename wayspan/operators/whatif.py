@@ -40,32 +40,62 @@ def always(states: DataFrame, place: str, state: str, wanted: str) -> DataFrame:
     return states.groupBy(place).agg(F.bool_and(F.col(state) == wanted).alias("_a")).where("_a").select(place)
 
 
+# Fixed value: up to so many effects a set is looked up by pairs of them.
+NARROW = 32
+
+
+def _pairs_of(items: Column) -> Column:
+    """All pairs (a, b) of a sorted list, the earlier item first."""
+    return F.flatten(F.transform(items, lambda a, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
 def greedy_distinct(effects: DataFrame, ranks: DataFrame, share: float = 0.8) -> DataFrame:
     """Candidates kept when taken in rank order and skipped if one that is kept covers `share` of their effects.
 
-    effects: candidate_id, effect; ranks: candidate_id, rank (unique). A rival that covers so much of a candidate
-    has one of any n - share x n + 1 of its effects, so only a candidate's rarest effects look for rivals, and
-    overlaps are counted for the pairs found. Rounds decide all candidates whose earlier rivals are decided, which
-    gives the sequential result; one test a round reaches the driver.
+    effects: candidate_id, effect; ranks: candidate_id, rank (unique). Of candidates with equal effects only the first
+    can be kept: what covers it covers the others, and so does it. Sets are told apart by 128 bits and their size, and
+    only the first of each go on. A rival that covers c of a candidate's n effects has one of any n - c + 1 of them and
+    two of any n - c + 2, so a candidate's rarest effects look for rivals: pairs of them for rivals of up to NARROW
+    effects, single ones for wider rivals and where c is 1. Overlaps are counted for the candidates found. Rounds decide
+    all candidates whose earlier rivals are decided, which gives the sequential result; one test a round reaches the
+    driver.
     """
-    own = checkpointed(effects.select("candidate_id", "effect").distinct().join(ranks, "candidate_id"))
+    every = checkpointed(effects.select("candidate_id", "effect").distinct().join(ranks, "candidate_id"))
+    digest = lambda seed: F.sum(F.xxhash64(F.lit(seed), "effect").cast("decimal(38,0)"))
+    alone = F.when(F.bool_or(F.col("effect").isNull()), F.col("candidate_id"))  # nulls equal nothing
+    sets = checkpointed(every.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), digest(0).alias("_g"), digest(1).alias("_h"), alone.alias("_alone")))
+    first = checkpointed(sets.groupBy("n", "_g", "_h", "_alone").agg(F.min_by("candidate_id", "rank").alias("candidate_id"), F.min("rank").alias("rank")).select("candidate_id", "rank", "n"))
+    least = F.ceil(F.col("n") * share - 1e-9)
+    sized = first.select("candidate_id", "n", least.alias("c")).withColumn("paired", (F.col("c") >= 2) & (F.col("n") - F.col("c") + 2 <= NARROW))
+    own = checkpointed(every.join(sized.hint("merge"), "candidate_id"))
     common = own.groupBy("effect").agg(F.count(F.lit(1)).alias("common"))
-    sizes = own.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(common.hint("merge"), "effect").withColumn("_r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("common", "effect")))
-    heads = rarest.join(sizes.hint("merge"), "candidate_id").where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("candidate_id", "effect", "rank")
-    earlier = own.select(F.col("candidate_id").alias("rival"), "effect", F.col("rank").alias("_rank"))
-    pairs = checkpointed(heads.join(earlier.hint("merge"), "effect").where("_rank < rank").select("candidate_id", "rival").distinct())
+    placed = own.join(common.hint("merge"), "effect").withColumn("_r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("common", "effect")))
+    heads = checkpointed(placed.where(F.col("_r") <= F.col("n") - F.col("c") + F.when(F.col("paired"), 2).otherwise(1)).select("candidate_id", "effect", "rank", "n", "c", "paired", "_r"))
+    listed = F.sort_array(F.collect_list("effect"))
+    earlier = own.select(F.col("candidate_id").alias("rival"), "effect", F.col("rank").alias("_rank"), F.col("n").alias("_n"))
+    spread = lambda df, keys: df.groupBy(*keys).agg(listed.alias("_e")).select(*keys, F.explode(_pairs_of(F.col("_e"))).alias("_p"))
+    ahead = (F.col("_rank") < F.col("rank")) & (F.col("_n") >= F.col("c"))
+    by_two = spread(heads.where("paired"), ["candidate_id", "rank", "c"]).join(spread(earlier.where(F.col("_n") <= NARROW), ["rival", "_rank", "_n"]).hint("merge"), "_p").where(ahead)
+    single = heads.where("_r <= n - c + 1")
+    to_wide = single.join(earlier.where(F.col("_n") > NARROW).hint("merge"), "effect").where(ahead)
+    by_one = single.where("not paired").join(earlier.where(F.col("_n") <= NARROW).hint("merge"), "effect").where(ahead)
+    found = [df.select("candidate_id", "rival") for df in (by_two, to_wide, by_one)]
+    pairs = checkpointed(found[0].union(found[1]).union(found[2]).distinct())
     both = pairs.join(own.select("candidate_id", "effect").hint("merge"), "candidate_id").join(earlier.select("rival", "effect").hint("merge"), ["rival", "effect"])
-    shared = both.groupBy("candidate_id", "rival").agg(F.count(F.lit(1)).alias("c"))
-    rivals = checkpointed(shared.join(sizes, "candidate_id").where(F.col("c") >= F.col("n") * share).select("candidate_id", "rival"))
-    state = checkpointed(ranks.select("candidate_id", F.lit(None).cast("boolean").alias("kept")))
+    shared = both.groupBy("candidate_id", "rival").agg(F.count(F.lit(1)).alias("common"))
+    rivals = checkpointed(shared.join(first.select("candidate_id", "n").hint("merge"), "candidate_id").where(F.col("common") >= F.col("n") * share).select("candidate_id", "rival"))
+    state = checkpointed(first.select("candidate_id", F.lit(None).cast("boolean").alias("kept")))
     while True:
         told = rivals.join(state.select(F.col("candidate_id").alias("rival"), F.col("kept").alias("rival_kept")), "rival")
         seen = told.groupBy("candidate_id").agg(F.bool_or(F.coalesce("rival_kept", F.lit(False))).alias("beaten"), F.bool_or(F.col("rival_kept").isNull()).alias("open"))
         verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beaten", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True)
         state = checkpointed(state.join(seen, "candidate_id", "left").select("candidate_id", verdict.alias("kept")))
         if state.where("kept is null").isEmpty():
-            return state
+            break
+    # candidates without effects stay, those that repeat an earlier set go
+    held = sets.select("candidate_id", F.lit(True).alias("_held"))
+    told = ranks.select("candidate_id").join(held.hint("merge"), "candidate_id", "left").join(state.hint("merge"), "candidate_id", "left")
+    return told.select("candidate_id", F.coalesce("kept", F.col("_held").isNull()).alias("kept"))
 
 
 def material_gain(trips: Column, stops: Column, walk: Column) -> Column:
