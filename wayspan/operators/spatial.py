@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspan.functions.geo import distance, segment_projection
 from wayspan.operators.graph import checkpointed
+from wayspan.operators.sizes import small
 
 
 def with_cell(df: DataFrame, x: str, y: str, size: float, names: tuple[str, str] = ("_cx", "_cy")) -> DataFrame:
@@ -41,19 +44,39 @@ def same_key_pairs(df: DataFrame, key: str, group: str, x: str, y: str, limit: f
     return met.where(F.col("metres") <= limit).select("a", "b", F.col("_g").alias(group), "metres")
 
 
+# Places that the average place may have in its cell at the start of a search, how often a cell is halved
+# for that at most, and rows of a block.
+SPARSE, HALVINGS, BLOCK = 8, 10, 2000
+
+
+def _sparse_size(places: DataFrame, x: str, y: str, size: float) -> float:
+    """`size`, or less: halved until the average row shares its cell with SPARSE rows at most, HALVINGS times at most.
+    places holds no place twice; one row a step reaches the driver."""
+    least = size / 2**HALVINGS
+    while True:
+        held = with_cell(places, x, y, size).groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
+        mean = held.agg(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).first()[0]
+        if mean is None or mean <= SPARSE or size <= least:
+            return size
+        size = max(least, size / 2 ** max(1, math.ceil(math.log(mean / SPARSE, 4))))
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, point: str, node: str, x: str, y: str, size: float) -> DataFrame:
     """(point, node, metres): the nearest node of each point, the smaller id on ties.
 
     A found node is final once its distance is at most the searched ring's inner reach; other points go on, written
-    first, with cells twice as large, until each point is final or a ring has covered all nodes.
+    first, with cells twice as large, until each point is final or a ring has covered all nodes. Of nodes at one place
+    only the smallest counts, and cells start smaller than `size` where the nodes lie dense, so a point meets some
+    nodes, however many there are.
     """
     waiting, done = points.select(F.col(point), F.col(x).alias("px"), F.col(y).alias("py")), None
-    own = nodes.select(F.col(node), F.col(x).alias("nx"), F.col(y).alias("ny"))
+    own = checkpointed(nodes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("nx"), F.col(y).alias("ny")).agg(F.min(node).alias(node)))
     box = own.agg(F.min("nx"), F.max("nx"), F.min("ny"), F.max("ny")).first()
     if box[0] is None:
         return waiting.limit(0).join(own.select(node).limit(0), F.lit(True)).select(point, node, F.lit(0.0).alias("metres"))
     far = F.greatest(F.abs(F.col("px") - box[0]), F.abs(F.col("px") - box[1]), F.abs(F.col("py") - box[2]), F.abs(F.col("py") - box[3]))
     waiting = checkpointed(waiting.where("px is not null and py is not null"))
+    size = _sparse_size(own, "nx", "ny", size)
     while True:
         near = with_neighbour_cells(waiting, "px", "py", size).join(with_cell(own, "nx", "ny", size).hint("merge"), ["_cx", "_cy"])
         gap = distance(F.col("px"), F.col("py"), F.col("nx"), F.col("ny"))
