@@ -197,3 +197,33 @@ def test_greedy_selection_meets_copies_once(spark, monkeypatch):
     assert sorted(r.candidate_id for r in got.where("kept").collect()) == sorted([*kept, 9000, 9001, 9002])
     assert got.count() == len(sets) + 3
     assert max(sizes) <= len(rows)  # 600 copies are no 180,000 pairs
+
+
+def test_crossings_of_a_dense_cell_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, i % 3, *(float(rng.randint(-9, 9)) for _ in range(4))) for i in range(150)] + [(200, 1, -90.0, -70.5, 80.0, 90.0), (201, 2, 50.0, 50.0, 40.0, 61.0)]
+    side = lambda p, q, x, y: (p[4] - p[2]) * (y - p[3]) - (p[5] - p[3]) * (x - p[2])
+    cross = lambda p, q: side(p, q, q[2], q[3]) * side(p, q, q[4], q[5]) < 0
+    want = sorted((p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[1] != q[1] and cross(p, q) and cross(q, p))
+    frame = spark.createDataFrame(rows, "s int, f int, ax double, ay double, bx double, by double")
+    assert len(want) > 500
+    for size, block in ((7.0, 20), (100.0, 20), (100.0, 2000)):
+        monkeypatch.setattr(spatial, "BLOCK", block)
+        found = spatial.segment_crossings(frame, "s", "f", size)
+        assert sorted((r.a, r.b) for r in found.collect()) == want
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in text  # pairs are found once, none is taken out afterwards
+
+
+def test_nearest_nodes_of_a_dense_place(spark, monkeypatch):
+    rng = random.Random(6)
+    nodes = [(i, rng.gauss(0, 3), rng.gauss(0, 3)) for i in range(1500)] + [(2000 + i, 1.0, 1.0) for i in range(300)] + [(5000, 400.0, 0.0)]
+    points = [(i, rng.gauss(0, 4), rng.gauss(0, 4)) for i in range(120)] + [(900, 1.0, 1.0), (901, 390.0, 3.0), (902, None, 1.0)]
+    want = {p: min((math.dist((x, y), (a, b)), n) for n, a, b in nodes)[1] for p, x, y in points if x is not None}
+    met, plain = [], spatial.with_neighbour_cells
+    monkeypatch.setattr(spatial, "with_neighbour_cells", lambda df, x, y, size, ring=1: met.append((df, size)) or plain(df, x, y, size, ring))
+    got = spatial.nearest_node(spark.createDataFrame(points, "p int, x double, y double"), spark.createDataFrame(nodes, "n int, x double, y double"), "p", "n", "x", "y", 20.0)
+    assert {r.p: r.n for r in got.collect()} == want
+    cells = spark.createDataFrame(nodes, "n int, nx double, ny double").dropDuplicates(["nx", "ny"])
+    tested = sum(plain(df, "px", "py", size).join(spatial.with_cell(cells, "nx", "ny", size).hint("merge"), ["_cx", "_cy"]).count() for df, size in met)
+    assert tested < 120 * 100  # all points with all nodes are 220,000
