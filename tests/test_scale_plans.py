@@ -227,3 +227,15 @@ def test_nearest_nodes_of_a_dense_place(spark, monkeypatch):
     cells = spark.createDataFrame(nodes, "n int, nx double, ny double").dropDuplicates(["nx", "ny"])
     tested = sum(plain(df, "px", "py", size).join(spatial.with_cell(cells, "nx", "ny", size).hint("merge"), ["_cx", "_cy"]).count() for df, size in met)
     assert tested < 120 * 100  # all points with all nodes are 220,000
+
+
+def test_reached_ends_meet_without_a_full_join(spark):
+    edges = [(1, 2, 4.0), (2, 3, 2.0), (3, 4, 1.0), (4, 5, 8.0), (1, 5, 20.0)]
+    near = [("a", 1, 0.0), ("a", 2, 4.0), ("a", 3, 5.0), ("b", 5, 3.0), ("b", 4, 4.5)]
+    frame = spark.createDataFrame(edges, "src int, dst int, length double")
+    got = graph.edge_reach(frame, spark.createDataFrame(near, "label string, node int, dist double"), 5.0)
+    told = sorted(tuple(r) for r in got.collect())
+    assert told == [("a", 1, 2, 0.0, 1.0), ("a", 1, 5, 0.0, 0.25), ("a", 2, 3, 0.0, 0.5), ("b", 1, 5, 0.9, 1.0), ("b", 3, 4, 0.5, 1.0), ("b", 4, 5, 0.0, 0.0625), ("b", 4, 5, 0.75, 1.0)]
+    assert "FullOuter" not in plan(got)
+    parallel = spark.createDataFrame([(1, 2, 7.0), (2, 1, 3.0), (2, 3, 9.0), (4, 4, 1.0)], "src int, dst int, length double")
+    assert [tuple(r) for r in graph.shortest_edges(parallel, 5.0).collect()] == [(1, 2, 3.0)]

@@ -104,7 +104,7 @@ def snapshot_headlines(spark, sf_dir):
 select p_partkey as stop_id, coalesce(c0.dist <= 3, false) as public_3, coalesce(c0.dist <= 5, false) as public_5, coalesce(c1.dist <= 3, false) as rider_3, coalesce(c1.dist <= 5, false) as rider_5 from part left join c c0 on c0.stop_id = p_partkey and c0.label = 0 left join c c1 on c1.stop_id = p_partkey and c1.label = 1 where p_size % 2 = 0""")
 def stop_coverage(spark, sf_dir):
     label = F.struct(F.lit("2200").alias("snapshot_id"), F.when(F.col("label") == 0, "public").otherwise("rider").alias("access"))
-    distances = supply_distances(spark, sf_dir).where("label < 2").select(label.alias("label"), "node", "dist")
+    distances = supply_distances(spark, sf_dir, 2).select(label.alias("label"), "node", "dist")
     p = table(spark, sf_dir, "part")
     stops = p.select(F.col("p_partkey").alias("stop_id"), (F.col("p_partkey") + 10_000_000).alias("node"), (F.col("p_size") * F.lit(0.05)).alias("offset"))
     out = candidates.stop_coverage(distances, stops, p.where("p_size % 2 = 0").select(F.lit("2200").alias("snapshot_id"), F.col("p_partkey").alias("stop_id")), [3, 5], ["public", "rider"])
