@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import os
 
+from pyspark.sql import functions as F
+
 from wayspan.llm import warc as w
 
 
@@ -82,3 +84,55 @@ def test_outlying_ids_do_not_fill_a_shard(spark, monkeypatch):
     assert len(held) >= 20 and max(map(len, held.values())) <= 42
     order = [i for k in sorted(held) for i in held[k]]
     assert sorted(ids) == sorted(order) and [min(v) for _, v in sorted(held.items())] == sorted(min(v) for v in held.values())
+
+
+def test_members_are_inflated_once(monkeypatch):
+    payloads = [b"", *(os.urandom(500) for _ in range(2000)), os.urandom(20000), b"x" * 100000]
+    data = b"".join(gzip.compress(p) for p in payloads)
+    fed = []
+
+    class Counting:
+        def __init__(self, bits):
+            self.inner = inflate(bits)
+
+        def decompress(self, piece):
+            fed.append(len(piece))
+            return self.inner.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    inflate = w.zlib.decompressobj
+    monkeypatch.setattr(w.zlib, "decompressobj", Counting)
+    assert list(w.members(data)) == payloads
+    assert sum(fed) <= len(data) + len(payloads) * 4096
+
+
+def test_cut_members_are_found():
+    for cut in (1, 9):
+        try:
+            list(w.members(gzip.compress(b"one") + gzip.compress(b"two" * 50)[:-cut]))
+        except ValueError as e:
+            assert "cut short" in str(e)
+        else:
+            raise AssertionError("a cut went unseen")
+
+
+def test_a_task_writes_one_shard_and_reads_no_table_of_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(w, "SHARD_BYTES", 4000)
+    rows = [(i, "u", "x" * (3000 if i < 12 else 10) + str(i)) for i in range(1200)]  # few long, then many short rows
+    folder = str(tmp_path / "s")
+    manifest = w.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    held = {}
+    for r in manifest.withColumn("part", F.input_file_name()).collect():
+        held.setdefault(r.part, set()).add(r.shard)
+    assert len(held) >= 10 and max(map(len, held.values())) == 1
+    read = w.read_archives(spark, folder)
+    assert read.count() == len(rows) and "Join" not in (plan := read._jdf.queryExecution().toString()) and "binaryFile" not in plan
+    os.remove(f"{folder}/{manifest.first().file}")
+    try:
+        w.read_archives(spark, folder).count()
+    except Exception as e:
+        assert "is missing or isn't what the manifest says" in str(e)
+    else:
+        raise AssertionError("a missing file went unseen")

@@ -36,6 +36,8 @@ SHARD_BYTES = 32 << 20
 #: Bins at first, parts that a heavy one is split into, and how many heavy ones there are at most (a bin is heavy with
 #: more than a shard's bytes and this part of all), which bounds what the driver holds.
 BINS, SPLIT, HEAVY = 1 << 14, 1 << 6, 1 << 16
+#: Compressed bytes that a member is inflated from at a time; what lies behind a member's end is copied once a member.
+STEP = 1 << 12
 DATE = "2024-01-01T00:00:00Z"
 FILES = "shard int, seq int, file string, records long, payload_bytes long, file_bytes long, sha256 string, first_id long, last_id long"
 
@@ -80,10 +82,16 @@ def parse_record(raw: bytes) -> dict:
 
 def members(data: bytes) -> Iterator[bytes]:
     """The gzip members of a file, one record each."""
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            piece = view[at : at + STEP]
+            if not piece:
+                raise ValueError("a gzip member is cut short")
+            parts.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+        yield b"".join(parts)
 
 
 def _files_at(folder: str):
@@ -149,7 +157,8 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
         told = told.withColumn("nth", F.row_number().over(first))
     refers = F.when(F.col("response").isNotNull() & ((F.col("id").isNull()) | (F.col("id") != F.col("response")) | (F.col("nth") > 1)), F.col("response"))
     rows = told.select("shard", "id", "url", "html", refers.alias("refers_to"))
-    ordered = rows.repartitionByRange(max(n_shards, 1), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "refers_to", "url")
+    # the shard is the partition: ranges would be cut by a sample of rows, which reads all text and lays shards together
+    ordered = rows.repartitionById(n_shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "refers_to", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = _files_at(folder)
@@ -201,12 +210,17 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     payload_bytes, refers_to and payload (null for revisits). A file that differs from its manifest row, or a
     record that differs from its digests, is an error."""
     manifest = spark.read.schema(FILES).json(f"{folder}/_manifest").select("file", "file_bytes", "sha256")
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    named = listed.withColumn("file", F.element_at(F.split("path", "/"), -1)).select("file", "content").join(manifest.hint("merge"), "file", "right")
+    named = manifest.repartitionByRange(max(manifest.count(), 1), "file")  # only names are dealt, a task a file
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = _files_at(folder)
         for batch in batches:
-            for name, content, size, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, size, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    with files.open_input_stream(f"{at}/{name}", compression=None) as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    content = None
                 if content is None or len(content) != size or hashlib.sha256(content).hexdigest() != sha:
                     raise ValueError(f"{name} is missing or isn't what the manifest says")
                 rows: list[tuple] = []
