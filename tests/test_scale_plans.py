@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayspan.operators import graph, metrics, pixels, serve, spatial, temporal, whatif, zones
+from wayspan.plans import access
 
 
 def plan(df):
@@ -239,3 +240,10 @@ def test_reached_ends_meet_without_a_full_join(spark):
     assert "FullOuter" not in plan(got)
     parallel = spark.createDataFrame([(1, 2, 7.0), (2, 1, 3.0), (2, 3, 9.0), (4, 4, 1.0)], "src int, dst int, length double")
     assert [tuple(r) for r in graph.shortest_edges(parallel, 5.0).collect()] == [(1, 2, 3.0)]
+
+
+def test_reachable_edges_start_at_suppliers_of_all_nations(spark, sf):
+    own = spark.read.parquet(f"{sf}/supplier.parquet").join(spark.read.parquet(f"{sf}/lineitem.parquet"), F.expr("s_suppkey = l_suppkey"))
+    want = {r[0] for r in own.select("s_nationkey").distinct().collect()}
+    assert max(want) >= 5
+    assert {r.label for r in access.QUERIES["reachable_edges"](spark, sf).collect()} == want
