@@ -219,31 +219,36 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, left_key: str, right_ke
     return met.where(touch & corner).select(F.col("l_k").alias(left_key), F.col("r_k").alias(right_key))
 
 
-def segment_crossings(segments: DataFrame, segment: str, feature: str, size: float, clear: float = 0.0) -> DataFrame:
+def segment_crossings(segments: DataFrame, segment: str, feature: str, size: float, clear: float = 0.0, shares: bool = False) -> DataFrame:
     """(a, b, x, y): proper crossings of segments of different features; shared end points are none, nor are places
-    within `clear` of an end. Segments are unique.
+    within `clear` of an end. Segments are unique. shares: also share_a and share_b, where the place lies on each.
 
     Segments whose boxes touch meet once, in the cell of their common corner. Cells of more than BLOCK segments are
     dealt into blocks and each pair of blocks is a key of its own, so no key holds more than some BLOCK rows a side,
     however dense the segments lie. The crossings of a dense place still grow with the square of its segments.
     """
     columns = (segment, feature, "ax", "ay", "bx", "by")
-    cells = checkpointed(_segment_cells(segments.select(*columns), size, 0.0))
+    boxed = segments.select(*columns, *[f(f"a{c}", f"b{c}").alias(f"{n}{c}") for n, f in (("low", F.least), ("high", F.greatest)) for c in "xy"])
+    boxed = boxed.withColumns({f"at{c}": F.floor(F.col(f"low{c}") / size).cast("long") for c in "xy"})
+    cells = checkpointed(_segment_cells(boxed, size, 0.0))
     dense = cells.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n")).where("_n > 1")
     dealt = cells.join(small(checkpointed(dense)), ["_cx", "_cy"], "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(segment), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    left, right = (dealt.select("_cx", "_cy", F.col(one).alias("_i"), F.col(two).alias("_j"), *[F.col(c).alias(f"{p}_{c}") for c in columns]) for p, one, two in (("l", "_own", "_other"), ("r", "_other", "_own")))
-    low, high = (lambda p, c: F.least(f"{p}_a{c}", f"{p}_b{c}")), (lambda p, c: F.greatest(f"{p}_a{c}", f"{p}_b{c}"))
-    touch = [(low("l", c) <= high("r", c)) & (low("r", c) <= high("l", c)) & (F.floor(F.greatest(low("l", c), low("r", c)) / size) == F.col(f"_c{c}")) for c in "xy"]
-    met = left.hint("merge").join(right, ["_cx", "_cy", "_i", "_j"]).where((F.col(f"l_{segment}") < F.col(f"r_{segment}")) & (F.col(f"l_{feature}") != F.col(f"r_{feature}")) & touch[0] & touch[1])
+    left, right = (dealt.select("_cx", "_cy", F.col(one).alias("_i"), F.col(two).alias("_j"), *[F.col(c).alias(f"{p}_{c}") for c in boxed.columns]) for p, one, two in (("l", "_own", "_other"), ("r", "_other", "_own")))
+    touch = [(F.col(f"l_low{c}") <= F.col(f"r_high{c}")) & (F.col(f"r_low{c}") <= F.col(f"l_high{c}")) & (F.greatest(f"l_at{c}", f"r_at{c}") == F.col(f"_c{c}")) for c in "xy"]
     side = lambda p, q, x: (F.col(f"{p}_bx") - F.col(f"{p}_ax")) * (F.col(f"{q}_{x}y") - F.col(f"{p}_ay")) - (F.col(f"{p}_by") - F.col(f"{p}_ay")) * (F.col(f"{q}_{x}x") - F.col(f"{p}_ax"))
-    met = met.withColumns({"d1": side("l", "r", "a"), "d2": side("l", "r", "b"), "d3": side("r", "l", "a"), "d4": side("r", "l", "b")})
-    crossing = met.where((F.col("d1") * F.col("d2") < 0) & (F.col("d3") * F.col("d4") < 0)).withColumn("t", F.col("d3") / (F.col("d3") - F.col("d4")))
-    x, y = (F.col(f"l_a{c}") + F.col("t") * (F.col(f"l_b{c}") - F.col(f"l_a{c}")) for c in "xy")
-    crossing = crossing.withColumns({"_x": x, "_y": y})
+    apart = (side("l", "r", "a") * side("l", "r", "b") < 0) & (side("r", "l", "a") * side("r", "l", "b") < 0)
+    met = left.hint("merge").join(right, ["_cx", "_cy", "_i", "_j"]).where(touch[0] & touch[1] & apart & (F.col(f"l_{segment}") < F.col(f"r_{segment}")) & (F.col(f"l_{feature}") != F.col(f"r_{feature}")))
+    t = side("r", "l", "a") / (side("r", "l", "a") - side("r", "l", "b"))
+    x, y = (F.col(f"l_a{c}") + t * (F.col(f"l_b{c}") - F.col(f"l_a{c}")) for c in "xy")
+    # an inner row, so that conditions on the place stay out of the join: with them, the code that tests a pair gets too long to be compiled
+    crossing = met.select("*", F.inline(F.array(F.struct(x.alias("_x"), y.alias("_y")))))
     if clear:
         crossing = crossing.where(F.least(*[distance(F.col("_x"), F.col("_y"), F.col(f"{p}_{e}x"), F.col(f"{p}_{e}y")) for p in "lr" for e in "ab"]) > clear)
-    return crossing.select(F.col(f"l_{segment}").alias("a"), F.col(f"r_{segment}").alias("b"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    run = lambda p, c: F.col(f"{p}_b{c}") - F.col(f"{p}_a{c}")
+    share = lambda p: ((F.col("_x") - F.col(f"{p}_ax")) * run(p, "x") + (F.col("_y") - F.col(f"{p}_ay")) * run(p, "y")) / (run(p, "x") * run(p, "x") + run(p, "y") * run(p, "y"))
+    also = [share("l").alias("share_a"), share("r").alias("share_b")] if shares else []
+    return crossing.select(F.col(f"l_{segment}").alias("a"), F.col(f"r_{segment}").alias("b"), F.col("_x").alias("x"), F.col("_y").alias("y"), *also)
 
 
 def vertices_on_segments(vertices: DataFrame, segments: DataFrame, vertex: str, segment: str, tolerance: float, size: float) -> DataFrame:
