@@ -200,6 +200,24 @@ def test_greedy_selection_meets_copies_once(spark, monkeypatch):
     assert max(sizes) <= len(rows)  # 600 copies are no 180,000 pairs
 
 
+def test_greedy_selection_drops_chance_rivals_in_the_join(spark, monkeypatch):
+    rng = random.Random(8)
+    sets = [frozenset(rng.sample(range(200), rng.choice([9, 10, 11, 12]))) for _ in range(800)]
+    sets += [frozenset([*rng.sample(sorted(s), len(s) - 2), 300]) for s in sets[:40]]
+    order = sorted(range(len(sets)), key=lambda i: (-len(sets[i]), i))
+    kept = []
+    for i in order:
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i]) for k in kept):
+            kept.append(i)
+    made, plain = [], whatif.checkpointed
+    monkeypatch.setattr(whatif, "checkpointed", lambda df: made.append((df.columns, (out := plain(df)).count())) or out)
+    rows = [(i, e) for i, s in enumerate(sets) for e in s]
+    got = whatif.greedy_distinct(spark.createDataFrame(rows, "candidate_id int, effect int"), spark.createDataFrame([(c, r) for r, c in enumerate(order)], "candidate_id int, rank int"))
+    assert sorted(r.candidate_id for r in got.where("kept").collect()) == sorted(kept)
+    found = next(n for columns, n in made if columns == ["candidate_id", "rival"])
+    assert found < len(sets)  # several thousand share two rare effects
+
+
 def test_crossings_of_a_dense_cell_meet_in_blocks(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, i % 3, *(float(rng.randint(-9, 9)) for _ in range(4))) for i in range(150)] + [(200, 1, -90.0, -70.5, 80.0, 90.0), (201, 2, 50.0, 50.0, 40.0, 61.0)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayspan.operators.graph import checkpointed
+from wayspan.operators.graph import bucketed, checkpointed
 from wayspan.operators.sizes import small
 
 
@@ -56,34 +56,42 @@ def greedy_distinct(effects: DataFrame, ranks: DataFrame, share: float = 0.8) ->
     can be kept: what covers it covers the others, and so does it. Sets are told apart by 128 bits and their size, and
     only the first of each go on. A rival that covers c of a candidate's n effects has one of any n - c + 1 of them and
     two of any n - c + 2, so a candidate's rarest effects look for rivals: pairs of them for rivals of up to NARROW
-    effects, single ones for wider rivals and where c is 1. Overlaps are counted for the candidates found. Rounds decide
-    all candidates whose earlier rivals are decided, which gives the sequential result; one test a round reaches the
-    driver.
+    effects, single ones for wider rivals and where c is 1. Each effect sets one of 64 bits of its set, and who meets
+    goes on only if the bits leave room for c common effects, so the join drops nearly all that have just two in
+    common. Overlaps are counted for the candidates found. Effects are dealt by candidate once. Rounds decide all
+    candidates whose earlier rivals are decided, which gives the sequential result; one test a round reaches the driver.
     """
-    every = checkpointed(effects.select("candidate_id", "effect").distinct().join(ranks, "candidate_id"))
+    every = bucketed(effects.select("candidate_id", "effect").distinct().join(ranks, "candidate_id"), "candidate_id")
     digest = lambda seed: F.sum(F.xxhash64(F.lit(seed), "effect").cast("decimal(38,0)"))
     alone = F.when(F.bool_or(F.col("effect").isNull()), F.col("candidate_id"))  # nulls equal nothing
-    sets = checkpointed(every.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), digest(0).alias("_g"), digest(1).alias("_h"), alone.alias("_alone")))
-    first = checkpointed(sets.groupBy("n", "_g", "_h", "_alone").agg(F.min_by("candidate_id", "rank").alias("candidate_id"), F.min("rank").alias("rank")).select("candidate_id", "rank", "n"))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(effect), 64) as int))"))
+    sets = checkpointed(every.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"), digest(0).alias("_g"), digest(1).alias("_h"), alone.alias("_alone"), bits.alias("bits")))
+    first = checkpointed(sets.groupBy("n", "_g", "_h", "_alone").agg(F.min_by("candidate_id", "rank").alias("candidate_id"), F.min("bits").alias("bits")).select("candidate_id", "n", "bits"))
     least = F.ceil(F.col("n") * share - 1e-9)
-    sized = first.select("candidate_id", "n", least.alias("c")).withColumn("paired", (F.col("c") >= 2) & (F.col("n") - F.col("c") + 2 <= NARROW))
-    own = checkpointed(every.join(sized.hint("merge"), "candidate_id"))
-    common = own.groupBy("effect").agg(F.count(F.lit(1)).alias("common"))
-    placed = own.join(common.hint("merge"), "effect").withColumn("_r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("common", "effect")))
-    heads = checkpointed(placed.where(F.col("_r") <= F.col("n") - F.col("c") + F.when(F.col("paired"), 2).otherwise(1)).select("candidate_id", "effect", "rank", "n", "c", "paired", "_r"))
+    sized = first.withColumn("c", least.cast("int")).withColumn("paired", (F.col("c") >= 2) & (F.col("n") - F.col("c") + 2 <= NARROW))
+    own = bucketed(every.join(sized.hint("merge"), "candidate_id"), "candidate_id")
+    common = checkpointed(own.groupBy("effect").agg(F.count(F.lit(1)).alias("common")))
+    placed = own.join(small(common), "effect").withColumn("_r", F.row_number().over(Window.partitionBy("candidate_id").orderBy("common", "effect")))
+    heads = checkpointed(placed.where(F.col("_r") <= F.col("n") - F.col("c") + F.when(F.col("paired"), 2).otherwise(1)).select("candidate_id", "effect", "n", "c", "bits", "paired", "_r"))
+    # ranks are looked at after the join, so that its rows stay small
+    earlier = own.select(F.col("candidate_id").alias("rival"), "effect", F.col("rank").alias("_rank"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
     listed = F.sort_array(F.collect_list("effect"))
-    earlier = own.select(F.col("candidate_id").alias("rival"), "effect", F.col("rank").alias("_rank"), F.col("n").alias("_n"))
-    spread = lambda df, keys: df.groupBy(*keys).agg(listed.alias("_e")).select(*keys, F.explode(_pairs_of(F.col("_e"))).alias("_p"))
-    ahead = (F.col("_rank") < F.col("rank")) & (F.col("_n") >= F.col("c"))
-    by_two = spread(heads.where("paired"), ["candidate_id", "rank", "c"]).join(spread(earlier.where(F.col("_n") <= NARROW), ["rival", "_rank", "_n"]).hint("merge"), "_p").where(ahead)
+    pair = F.xxhash64("_p.a", "_p.b").alias("_key")  # what shares a number by chance is found out with the overlaps
+    spread = lambda df, keys: df.groupBy(*keys).agg(listed.alias("_e")).select(*keys, F.explode(_pairs_of(F.col("_e"))).alias("_p")).select(*keys, pair)
+    room = F.bit_count(F.col("bits").bitwiseAND(F.col("_bits"))) + F.col("n") - F.bit_count("bits")
+    ahead = (F.col("rival") != F.col("candidate_id")) & (F.col("_n") >= F.col("c")) & (room >= F.col("c"))
+    asks, is_asked = ["candidate_id", "n", "c", "bits"], ["rival", "_n", "_bits"]
+    narrow, wide = (earlier.where(kind).select("effect", *is_asked) for kind in (F.col("_n") <= NARROW, F.col("_n") > NARROW))
+    by_two = spread(heads.where("paired"), asks).join(spread(narrow, is_asked).hint("merge"), "_key").where(ahead)
     single = heads.where("_r <= n - c + 1")
-    to_wide = single.join(earlier.where(F.col("_n") > NARROW).hint("merge"), "effect").where(ahead)
-    by_one = single.where("not paired").join(earlier.where(F.col("_n") <= NARROW).hint("merge"), "effect").where(ahead)
+    to_wide = single.join(wide.hint("merge"), "effect").where(ahead)
+    by_one = single.where("not paired").join(narrow.hint("merge"), "effect").where(ahead)
     found = [df.select("candidate_id", "rival") for df in (by_two, to_wide, by_one)]
     pairs = checkpointed(found[0].union(found[1]).union(found[2]).distinct())
-    both = pairs.join(own.select("candidate_id", "effect").hint("merge"), "candidate_id").join(earlier.select("rival", "effect").hint("merge"), ["rival", "effect"])
-    shared = both.groupBy("candidate_id", "rival").agg(F.count(F.lit(1)).alias("common"))
-    rivals = checkpointed(shared.join(first.select("candidate_id", "n").hint("merge"), "candidate_id").where(F.col("common") >= F.col("n") * share).select("candidate_id", "rival"))
+    mine = own.select("candidate_id", "effect", "n", F.col("rank").alias("_own"))
+    both = pairs.join(mine.hint("merge"), "candidate_id").join(earlier.select("rival", "effect", "_rank").hint("merge"), ["rival", "effect"]).where("_rank < _own")
+    shared = both.groupBy("candidate_id", "rival", "n").agg(F.count(F.lit(1)).alias("common"))
+    rivals = checkpointed(shared.where(F.col("common") >= F.col("n") * share).select("candidate_id", "rival"))
     state = checkpointed(first.select("candidate_id", F.lit(None).cast("boolean").alias("kept")))
     while True:
         told = rivals.join(state.select(F.col("candidate_id").alias("rival"), F.col("kept").alias("rival_kept")), "rival")
